@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.llm import chat, packing, token_count
+from planweave.llm import chat, langid, line_dedup, mixing, ngram_join, packing, quality, token_count, topk
+from planweave.llm.common import fold
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,13 +66,124 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "stream_start", "continues", "continued")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), k=5, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), budget=1.5, max_rate=2.0)
+    return mixed.select(
+        "doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
+        (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"), F.col("_mix_rate").alias("rate"), F.col("_mix_copies").alias("copies"),
+    )
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("_ld_drop", F.lit(0), lambda a, d: a + d["size"])
+    return rows.select("doc_id", F.size("_ld_lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.size("_ld_drop").cast("long").alias("n_chunks"), "text")
+
+
+OP3_SQL = """
+WITH cut AS (
+  SELECT doc_id, text, list_filter(string_split(replace(replace(replace(replace(text, chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(1)), lambda x: x <> '') AS lines
+  FROM documents),
+line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS n FROM cut),
+bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS b FROM line),
+ends AS (SELECT *, substr(md5(coalesce(lag(md5(b)) OVER (PARTITION BY doc_id ORDER BY i), '') || md5(b)), 1, 1) <= '4' OR i = n AS ends FROM bare),
+numbered AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ends),
+chunk AS (
+  SELECT doc_id, pos, string_agg(b, chr(10) ORDER BY i) AS t, min(i) AS start, count(*) AS size,
+         len(list_filter(string_split_regex(string_agg(line, '' ORDER BY i), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+  FROM numbered GROUP BY doc_id, pos),
+again AS (SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_pos FROM chunk WINDOW w AS (PARTITION BY t, size ORDER BY doc_id, pos)),
+later AS (SELECT * FROM again WHERE doc_id <> first_doc OR pos <> first_pos),
+whole AS (SELECT * FROM later WHERE size > 1 AND words >= 10),
+gone AS (
+  SELECT doc_id, pos, start, size FROM whole
+  UNION ALL
+  SELECT doc_id, pos, start, size FROM later m WHERE size = 1 AND EXISTS (
+    SELECT 1 FROM whole w WHERE w.doc_id = m.doc_id AND w.first_doc = m.first_doc AND abs(w.pos - m.pos) = 1 AND w.first_pos - m.first_pos = w.pos - m.pos)),
+kept AS (
+  SELECT n.doc_id, string_agg(n.line, '' ORDER BY n.i) FILTER (WHERE g.doc_id IS NULL) AS text, count(g.doc_id) AS n_removed
+  FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.pos = n.pos GROUP BY n.doc_id)
+SELECT c.doc_id, CAST(coalesce(len(c.lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(g.n, 0) AS BIGINT) AS n_chunks, CASE WHEN c.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM cut c LEFT JOIN kept k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+"""
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.apply(quality.ledger(_read(spark, sf_dir, "documents")), quality.STANDARD)
+    base = quality.fails(quality.BASE).alias("base_failed")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base, "kept", "failures", "n_lines", "n_letters", "n_bullet_lines", "n_ellipsis_lines")
+
+
+OP6_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+windows AS (
+  SELECT row_no, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+  FROM (SELECT row_no, words, unnest(range(1, len(words) - 1)) AS i FROM split)),
+twice AS (SELECT row_no, i FROM (SELECT row_no, i, count(*) OVER (PARTITION BY row_no, w) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT row_no, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY row_no),
+measures AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(len(lines) AS BIGINT) AS n_lines, CAST(length(regexp_replace(text, '\PL+', '', 'g')) AS BIGINT) AS n_letters,
+         CAST(len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS BIGINT) AS n_bullet_lines,
+         CAST(len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) AS BIGINT) AS n_ellipsis_lines
+  FROM split LEFT JOIN repeats r USING (row_no)),
+rules AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+       + (CASE WHEN 2 * word_chars < 5 * n_words THEN 4 ELSE 0 END) + (CASE WHEN word_chars > 14 * n_words THEN 8 ELSE 0 END)
+       + (CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END)
+       + (CASE WHEN 10 * n_letters < 6 * word_chars THEN 64 ELSE 0 END) + (CASE WHEN 10 * n_bullet_lines > 9 * n_lines THEN 128 ELSE 0 END)
+       + (CASE WHEN 10 * n_ellipsis_lines > 3 * n_lines THEN 256 ELSE 0 END) AS failures
+  FROM measures)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept,
+       CAST(failures AS BIGINT) AS failures, n_lines, n_letters, n_bullet_lines, n_ellipsis_lines
+FROM rules
+"""
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 4) == 2
+    found = langid.identify(docs, langid.sample(docs.filter(~held)))
+    return docs.select("doc_id", held.alias("held_out"), found.alias("f")).select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"), F.col("f.bits").alias("entropy"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_chat_format": op4_chat_format, "op5_pack": op5_pack, "op8_token_count": op8_token_count}
+    return {
+        "op1_mix": op1_mix, "op3_line_dedup": op3_line_dedup, "op4_chat_format": op4_chat_format, "op5_pack": op5_pack, "op6_quality": op6_quality, "op7_ngram_join": op7_ngram_join, "op8_token_count": op8_token_count,
+        "op9_top_k": op9_top_k, "op10_language": op10_language,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_quality": OP6_SQL, "op9_top_k": OP9_SQL}
