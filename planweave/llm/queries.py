@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.llm import chat, langid, line_dedup, mixing, ngram_join, packing, quality, token_count, topk
+from planweave.llm import chat, langid, line_dedup, lm_score, mixing, ngram_join, packing, quality, token_count, topk
 from planweave.llm.common import fold
 
 
@@ -83,6 +83,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = lm_score.score(docs, fold(F.col("doc_id"), 10) != 0)
+    return found.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup(_read(spark, sf_dir, "documents"))
     removed = F.aggregate("_ld_drop", F.lit(0), lambda a, d: a + d["size"])
@@ -180,7 +186,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_mix": op1_mix, "op3_line_dedup": op3_line_dedup, "op4_chat_format": op4_chat_format, "op5_pack": op5_pack, "op6_quality": op6_quality, "op7_ngram_join": op7_ngram_join, "op8_token_count": op8_token_count,
+        "op1_mix": op1_mix, "op2_lm_score": op2_lm_score, "op3_line_dedup": op3_line_dedup, "op4_chat_format": op4_chat_format, "op5_pack": op5_pack, "op6_quality": op6_quality, "op7_ngram_join": op7_ngram_join, "op8_token_count": op8_token_count,
         "op9_top_k": op9_top_k, "op10_language": op10_language,
     }
 
