@@ -13,6 +13,7 @@ null id stays null; other columns are ignored; an empty table gives no pieces.
 from __future__ import annotations
 
 import array
+import os
 import re
 import sys
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from planweave.llm.common import ship, stored
 
 _CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|]*)")
+_LATIN = "".join(chr(c) for c in [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)])
 #: White space to str.split() that the tokenizer reads as symbols.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -41,36 +43,45 @@ class WordIds(dict):
     """Ids of words as little-endian 32-bit bytes, each encoded when first met.
 
     The tokenizer splits at white space before it merges, so the ids of a text are those of its words.
-    A word that is letters and then punctuation is split again there, as the tokenizer does, and
-    Latin letters are lower-cased as it does; so few words need encoding. Bounded: cleared when full."""
+    A word that is Latin letters and then punctuation is split again there, as the tokenizer does, and
+    the letters are lower-cased as it does; so few words need encoding, and letters go to its merges
+    directly. All of that is checked on the tokenizer itself, else texts are encoded whole. Bounded:
+    when `entries` words are known, those not met since the last such time are forgotten."""
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 300_000):
         super().__init__()
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tok, self.entries = Tokenizer.from_file(path), entries
-        pre = str(self.tok.pre_tokenizer) + str(self.tok.normalizer)
-        #: whether words can be encoded apart; checked on the tokenizer itself
-        self.apart = "\\\\s+" in repr(pre) or "\\s+" in pre
-        probe = "Ab'll céD, x9;; \n\t　Zz*** don't."
-        self.apart = self.apart and self.encode(probe) == b"".join(map(self.encode, probe.split())) and self.encode("AbÉc.,") == self.encode("abéc") + self.encode(".,")
+        self.tok, self.entries, self.older = Tokenizer.from_file(path), entries, {}
+        self.model = self.tok.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in _LATIN})
+        probe = "Ab'll céD, x9;; \n\t　Zz*** don't. Straße ÀÉÎõü"
+        words = [*probe.split(), *"the strasse élan ñandú überœuvre".split()]
+        self.apart = self.encode(probe) == b"".join(map(self.encode, probe.split())) and self.encode("AbÉc.,") == self.encode("abéc") + self.encode(".,")
+        self.direct = all(self.merge(w) == self.encode(w) for w in words if _CORE.fullmatch(w) and w.isalpha() and w == w.lower())
 
     def encode(self, text: str) -> bytes:
         return _le(self.tok.encode(text, add_special_tokens=False).ids)
 
+    def merge(self, core: str) -> bytes:
+        """Ids of lower-case Latin letters, by the model's merges alone."""
+        return _le([t.id for t in self.model.tokenize(core if core.isascii() else core.translate(self.as_bytes))])
+
     def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            m = _CORE.fullmatch(word)
+            if m and (m[2] or not word.islower()):
+                out = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
+            else:
+                out = self.merge(word) if m and self.direct else self.encode(word)
         if len(self) >= self.entries:
+            self.older = dict(self)
             self.clear()
-        m = _CORE.fullmatch(word)
-        if m:
-            core, tail = m[1].lower(), m[2]
-            if tail or core != word:
-                out = self[word] = self[core] + (self[tail] if tail else b"")
-                return out
-        out = self[word] = self.encode(word)
+        self[word] = out
         return out
 
     def text(self, text: str | None) -> bytes:
