@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planweave.plans import pages
+from planweave.plans import pages, tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(pages.QUERIES)
+    return pages.QUERIES | tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(pages.SQL)
+    return pages.SQL | tables.SQL
