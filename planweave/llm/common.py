@@ -48,7 +48,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     that the loss of an executor costs no more than the tasks that read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/planweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -57,55 +57,61 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, broadcast_rows: int = 100_000) -> DataFrame:
-    """The rows of docs with _ld_lines (array) and _ld_drop (array of struct<start, size>: the lines to
-    remove). Names that begin with _ld_ are reserved."""
+    """The rows of docs with _ld_lines (array), _ld_drop (array of struct<start, size>: the lines to
+    remove) and _ld_clean (the text without them). Names that begin with _ld_ are reserved."""
     found = stored(chunks(docs, id_col, text_col), "chunks")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row_key", "pos")
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select(F.col("h").alias("g"), "first")
+    repeated = stored(repeated, "repeated")  # a table, so that the join may split a hash that many documents hold
     held = found.join(repeated, F.col("h") == F.col("g"))
     row = F.struct("pos", "h", "start", "size", F.col("first.row_key").alias("first_key"), F.col("first.pos").alias("first_pos"))
     marks = held.groupBy(F.col("row_key").alias("_ld_row")).agg(F.sort_array(F.collect_set(row)).alias("_ld_marks"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*columns, F.xxhash64(id_col, text_col).alias("_ld_key"), F.col(text_col).alias("_ld_text"))
+    rows = docs.select(*columns, F.xxhash64(id_col, text_col).alias("_ld_key"))
     rows = stored(rows.join(marks, F.col("_ld_key") == F.col("_ld_row"), "left").drop("_ld_row"), "marked")
-    # Byte comparison: all chunks of a hash are the same text if the least and the greatest are.
-    seen = rows.filter("_ld_marks is not null").select(lines(F.col("_ld_text")).alias("u"), "_ld_marks")
+    # Byte comparison: all chunks of a hash are the same text if it has one distinct text.
+    seen = rows.filter("_ld_marks is not null").select(lines(F.col(f"`{text_col}`")).alias("u"), "_ld_marks")
     seen = seen.select("u", F.explode("_ld_marks").alias("m"))
     text = F.array_join(F.transform(F.slice("u", F.col("m.start") + 1, F.col("m.size")), _bare), "\n")
-    same = seen.select("m.h", text.alias("t")).groupBy("h").agg((F.min("t") == F.max("t")).alias("same"))
-    bad = stored(same.filter(~F.col("same")).select(F.col("h").alias("b")), "unequal")
+    texts = seen.select("m.h", text.alias("t")).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    bad = stored(texts.filter("n > 1").select(F.col("h").alias("b")), "unequal")
     n_bad = bad.count()
     if n_bad:
         bad = F.broadcast(bad) if n_bad <= broadcast_rows else bad
         flat = rows.filter("_ld_marks is not null").select("_ld_key", F.explode(F.array_distinct("_ld_marks")).alias("m"))
         good = flat.join(bad, F.col("m.h") == F.col("b"), "left_anti").groupBy(F.col("_ld_key").alias("_ld_row")).agg(F.sort_array(F.collect_set("m")).alias("_ld_good"))
         rows = rows.join(good, F.col("_ld_key") == F.col("_ld_row"), "left").withColumn("_ld_marks", F.col("_ld_good")).drop("_ld_row", "_ld_good")
-    rows = rows.withColumn("_ld_lines", lines(F.col("_ld_text")))
     key = F.col("_ld_key")
+    bind = lambda made, body: F.element_at(F.transform(F.array(made), body), 1)  # noqa: E731  made once, wherever the plan puts it
 
-    def words(m: Column) -> Column:
-        part = F.array_join(F.slice("_ld_lines", m["start"] + 1, m["size"]), "")
-        return F.size(F.array_remove(F.split(part, SPACE), ""))
+    def drop(u: Column) -> Column:
+        def words(m: Column) -> Column:
+            return F.size(F.array_remove(F.split(F.array_join(F.slice(u, m["start"] + 1, m["size"]), ""), SPACE), ""))
 
-    again = F.filter("_ld_marks", lambda m: (m["first_key"] != key) | (m["first_pos"] != m["pos"]))
-    rows = rows.withColumn("_ld_again", again)
-    rows = rows.withColumn("_ld_whole", F.filter("_ld_again", lambda m: (m["size"] > 1) & (words(m) >= min_words)))
+        def of(again: Column) -> Column:
+            whole = F.filter(again, lambda m: (m["size"] > 1) & (words(m) >= min_words))
 
-    def joined(m: Column) -> Column:
-        return F.exists("_ld_whole", lambda w: (w["first_key"] == m["first_key"]) & (F.abs(w["pos"] - m["pos"]) == 1) & (w["first_pos"] - m["first_pos"] == w["pos"] - m["pos"]))
+            def with_singles(w: Column) -> Column:
+                beside = lambda m: F.exists(w, lambda x: (x["first_key"] == m["first_key"]) & (F.abs(x["pos"] - m["pos"]) == 1) & (x["first_pos"] - m["first_pos"] == x["pos"] - m["pos"]))
+                return F.concat(w, F.filter(again, lambda m: (m["size"] == 1) & beside(m)))
 
-    single = F.filter("_ld_again", lambda m: (m["size"] == 1) & joined(m))
-    drop = F.transform(F.concat("_ld_whole", single), lambda m: F.struct(m["start"].alias("start"), m["size"].alias("size")))
-    return rows.select(*columns, "_ld_lines", F.coalesce(drop, F.array().cast("array<struct<start:int,size:int>>")).alias("_ld_drop"))
+            return F.transform(bind(whole, with_singles), lambda m: F.struct(m["start"].alias("start"), m["size"].alias("size")))
 
+        again = F.filter("_ld_marks", lambda m: (m["first_key"] != key) | (m["first_pos"] != m["pos"]))
+        return F.coalesce(bind(again, of), F.array().cast("array<struct<start:int,size:int>>"))
 
-def clean(text: Column) -> Column:
-    """The text without the lines to remove."""
-    kept = F.filter("_ld_lines", lambda u, i: ~F.exists("_ld_drop", lambda d: (i >= d["start"]) & (i < d["start"] + d["size"])))
-    return F.when(F.size("_ld_drop") == 0, text).otherwise(F.array_join(kept, ""))
+    text = F.col(f"`{text_col}`")
+
+    def cleaned(u: Column, gone: Column) -> Column:
+        kept = F.filter(u, lambda x, i: ~F.exists(gone, lambda d: (i >= d["start"]) & (i < d["start"] + d["size"])))
+        return F.struct(u.alias("lines"), gone.alias("drop"), F.when(F.size(gone) == 0, text).otherwise(F.array_join(kept, "")).alias("clean"))
+
+    found = bind(lines(text), lambda u: bind(drop(u), lambda gone: cleaned(u, gone)))
+    rows = rows.select(*columns, found.alias("_ld_found"))
+    return rows.select(*columns, *[F.col(f"_ld_found.{c}").alias(f"_ld_{c}") for c in ("lines", "drop", "clean")])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """The rows of docs, their texts without repeated chunks, and _ld_lines, _ld_drop."""
     rows = mark(docs, id_col, text_col, **bounds)
-    return rows.select(*[clean(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "_ld_lines", "_ld_drop")
+    return rows.select(*[F.col("_ld_clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "_ld_lines", "_ld_drop")
