@@ -178,23 +178,26 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     blocks = stored(blocks_of(docs, train, id_col, text_col, block_tokens), "blocks")
     size = blocks.agg(F.sum(F.length("words") / 8).alias("words"), F.sum(F.length("tokens") / 4).alias("tokens")).first()
     n_words, n_grams = max(1, math.ceil((size.words or 0) / range_entries)), max(1, math.ceil((size.tokens or 0) / range_entries))
-    parts = "kind int, part int, block long, hashes binary, counts binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of every block, by ranges: kind 1 words, kind 2 grams."""
-        for batch in batches:
-            for i, b in _rows(batch):
-                block, out = batch.column(0)[i].as_py(), []
-                uni = np.bincount(b.tokens[b.trained], minlength=len(b.words)).astype(np.int64)
-                pairs, times = np.unique(b.history[b.trained] * len(b.words) + b.tokens[b.trained], return_counts=True)
-                grams = _grams(b.words[pairs // len(b.words)], b.words[pairs % len(b.words)])
-                order = np.argsort(grams)
-                for kind, h, c, n in ((1, b.words, uni, n_words), (2, grams[order], times[order].astype(np.int64), n_grams)):
+    def counter(kind: int, n: int):
+        """Counts of every block by ranges: kind 1 of its words, kind 2 of its grams."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, b in _rows(batch):
+                    block, h = batch.column(0)[i].as_py(), b.words
+                    if kind == 1:
+                        c = np.bincount(b.tokens[b.trained], minlength=len(h)).astype(np.int64)
+                    else:
+                        pairs, c = np.unique(b.history[b.trained] * len(h) + b.tokens[b.trained], return_counts=True)
+                        h = _grams(h[pairs // len(h)], h[pairs % len(h)])
+                        order = np.argsort(h)
+                        h, c = h[order], c[order].astype(np.int64)
                     at = np.searchsorted(_ranges(h, n), np.arange(n + 1))
-                    out += [(kind, p, block, h[at[p] : at[p + 1]].tobytes(), c[at[p] : at[p + 1]].tobytes()) for p in range(n) if at[p] < at[p + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "part", "block", "hashes", "counts"])
+                    out = [(p, block, h[at[p] : at[p + 1]].tobytes(), c[at[p] : at[p + 1]].tobytes()) for p in range(n) if at[p] < at[p + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "hashes", "counts"])
 
-    counted = stored(blocks.select("block", "train", "sizes", "words", "tokens").mapInArrow(count, parts), "counts")
+        return blocks.select("block", "train", "sizes", "words", "tokens").mapInArrow(count, "part int, block long, hashes binary, counts binary")
 
     def words(pdf: pd.DataFrame) -> pd.DataFrame:
         """The corpus counts of a range, back to each block that has words there; block -1: totals."""
@@ -203,7 +206,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         totals = np.array([c.sum(), (c > 0).sum()], np.int64).tobytes()
         return pd.DataFrame({"block": [*pdf["block"], -1], "part": int(pdf["part"].iloc[0]), "counts": [*back, totals]})
 
-    known = stored(counted.filter("kind = 1").groupBy("part").applyInPandas(words, "block long, part int, counts binary"), "known")
+    known = stored(counter(1, n_words).groupBy("part").applyInPandas(words, "block long, part int, counts binary"), "known")
     totals = known.filter("block = -1").select("counts").toLocalIterator()
     n_train, n_types = map(int, sum((np.frombuffer(r.counts, np.int64) for r in totals), np.zeros(2, np.int64)))
 
@@ -212,7 +215,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         h, c = h[c > 1], c[c > 1]
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "hashes": [h.tobytes()], "counts": [c.tobytes()]})
 
-    merged = stored(counted.filter("kind = 2").groupBy("part").applyInPandas(grams, "part int, hashes binary, counts binary"), "grams")
+    merged = stored(counter(2, n_grams).groupBy("part").applyInPandas(grams, "part int, hashes binary, counts binary"), "grams")
     # From which count on do the grams leave the filter half empty? A histogram of levels decides.
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
