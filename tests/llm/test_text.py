@@ -1,9 +1,7 @@
 """Line dedup, n-gram join, mixing and quality rules against brute force."""
 
-import hashlib
 import random
-import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -11,16 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from planweave.llm import line_dedup, mixing, ngram_join, quality, queries
+from tests_llm_brute import dedup_brute, fill, groups_brute, words
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-SPACE = re.compile(r"[\x20\x09-\x0D]+")
-
-
-def words(text):
-    return [w for w in SPACE.split(text or "") if w]
-
-
 @pytest.fixture(scope="module")
 def docs(spark):
     """sf0.001 with nulls, empty and repeated rows, shared passages and near copies."""
@@ -45,36 +37,6 @@ def frame(spark, docs):
     return spark.createDataFrame(docs, DOCS).repartition(3).withColumns(clash)
 
 
-def cut(text):
-    """Chunks of a text as (start, lines)."""
-    lines = [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", text or "") if x]
-    out, start, last = [], 0, ""
-    for i, x in enumerate(lines):
-        h = hashlib.md5(x.strip(" \t\r\n").encode()).hexdigest()
-        if hashlib.md5((last + h).encode()).hexdigest()[0] <= "4" or i == len(lines) - 1:
-            out.append((start, lines[start : i + 1]))
-            start = i + 1
-        last = h
-    return out
-
-
-def dedup_brute(docs):
-    """doc (id, text) -> cleaned text."""
-    distinct = sorted(set((d[0], d[1]) for d in docs), key=lambda d: (d[0] is None, d[0] or 0))
-    first, chunks = {}, {d: cut(d[1]) for d in distinct}
-    bare = lambda c: tuple(x.strip(" \t\r\n") for x in c[1])
-    for d in distinct:
-        for pos, c in enumerate(chunks[d]):
-            first.setdefault(bare(c), (d, pos))
-    out = {}
-    for d in distinct:
-        again = {pos: first[bare(c)] for pos, c in enumerate(chunks[d]) if first[bare(c)] != (d, pos)}
-        gone = {p for p in again if len(chunks[d][p][1]) > 1 and len(words("".join(chunks[d][p][1]))) >= 10}
-        gone |= {p for p in again if len(chunks[d][p][1]) == 1 and any(q in gone and len(chunks[d][q][1]) > 1 and again[q][0] == again[p][0] and again[q][1] - again[p][1] == q - p for q in (p - 1, p + 1))}
-        out[d] = None if d[1] is None else "".join("".join(c[1]) for p, c in enumerate(chunks[d]) if p not in gone)
-    return out
-
-
 def test_line_dedup(spark, docs):
     want = dedup_brute(docs)
     got = line_dedup.dedup(frame(spark, docs))
@@ -93,33 +55,6 @@ def test_line_dedup_keeps_unequal_bytes(spark, docs, monkeypatch):
     assert Counter(map(tuple, got)) == Counter((d[0], d[1]) for d in docs)
 
 
-def shingle_set(text):
-    w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-
-
-def groups_brute(docs):
-    """(id, text) -> component id."""
-    distinct = list(dict.fromkeys((d[0], d[1]) for d in docs))
-    sets = [shingle_set(t) for _, t in distinct]
-    root = list(range(len(sets)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in range(len(sets)):
-        for b in range(a):
-            i = len(sets[a] & sets[b])
-            if i and 100 * i >= 80 * (len(sets[a]) + len(sets[b]) - i):
-                root[find(a)] = find(b)
-    least = defaultdict(list)
-    for k, d in enumerate(distinct):
-        least[find(k)].append(d[0])
-    return {d: min((x for x in least[find(k)] if x is not None), default=None) for k, d in enumerate(distinct)}, {d: len(sets[k]) for k, d in enumerate(distinct)}
-
-
 @pytest.mark.parametrize("block", [4096, 5])
 def test_ngram_join(spark, docs, block):
     want, size = groups_brute(docs)
@@ -151,21 +86,6 @@ def test_search_is_exact():
     assert len(joined) < 150 and all(hit[a, b] for a, b in joined)
 
 
-def fill(sizes, weights, budget):
-    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    target, left, open_ = {}, budget * sum(sizes.values()), set(order)
-    while open_:
-        over = {s for s in open_ if left * w[s] / sum(w[x] for x in open_) >= 2 * sizes[s]}
-        if not over:
-            return target | {s: left * w[s] / sum(w[x] for x in open_) for s in open_}
-        for s in over:
-            target[s] = 2.0 * sizes[s]
-        left -= sum(target[s] for s in over)
-        open_ -= over
-    return target
-
-
 def test_mix(spark, docs):
     rows = mixing.mix(frame(spark, docs)).collect()
     again = mixing.mix(frame(spark, docs).repartition(5)).collect()
