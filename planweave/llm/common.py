@@ -43,12 +43,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back: cuts the lineage, so
     that the loss of an executor costs no more than the tasks that read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/planweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

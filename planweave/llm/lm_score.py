@@ -51,8 +51,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _grams(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of grams: 48 bits, at the top of 64, so that 6 bytes of each are shuffled."""
     with np.errstate(over="ignore"):
-        return _mix(_mix(history) + word * _B)
+        return _mix(_mix(history) + word * _B) & ~np.uint64(0xFFFF)
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _long(short: bytes) -> bytes:
+    out = np.zeros((len(short) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(short, np.uint8).reshape(-1, 6)
+    return out.tobytes()
 
 
 def level(counts: np.ndarray, base: float) -> np.ndarray:
@@ -175,7 +186,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """id, n_tokens, n_known, train_tokens, base_score, score. train is a condition on docs' columns."""
     spark = docs.sparkSession
     ship(spark)
-    blocks = stored(blocks_of(docs, train, id_col, text_col, block_tokens), "blocks")
+    blocks = stored(blocks_of(docs, train, id_col, text_col, block_tokens), "blocks", codec="zstd")
     size = blocks.agg(F.sum(F.length("words") / 8).alias("words"), F.sum(F.length("tokens") / 4).alias("tokens")).first()
     n_words, n_grams = max(1, math.ceil((size.words or 0) / range_entries)), max(1, math.ceil((size.tokens or 0) / range_entries))
 
@@ -194,7 +205,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                         order = np.argsort(h)
                         h, c = h[order], c[order].astype(np.int64)
                     at = np.searchsorted(_ranges(h, n), np.arange(n + 1))
-                    out = [(p, block, h[at[p] : at[p + 1]].tobytes(), c[at[p] : at[p + 1]].tobytes()) for p in range(n) if at[p] < at[p + 1]]
+                    raw = np.ndarray.tobytes if kind == 1 else _short
+                    out = [(p, block, raw(h[at[p] : at[p + 1]]), c[at[p] : at[p + 1]].tobytes()) for p in range(n) if at[p] < at[p + 1]]
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "hashes", "counts"])
 
         return blocks.select("block", "train", "sizes", "words", "tokens").mapInArrow(count, "part int, block long, hashes binary, counts binary")
@@ -211,7 +223,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     n_train, n_types = map(int, sum((np.frombuffer(r.counts, np.int64) for r in totals), np.zeros(2, np.int64)))
 
     def grams(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, c = _merge(list(pdf["hashes"]), list(pdf["counts"]))
+        h, c = _merge(list(map(_long, pdf["hashes"])), list(pdf["counts"]))
         h, c = h[c > 1], c[c > 1]
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "hashes": [h.tobytes()], "counts": [c.tobytes()]})
 
