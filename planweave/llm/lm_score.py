@@ -10,10 +10,13 @@ words as hashes and every token as a place in that list; blocks are written once
 each block, cut into ranges of hashes and merged range by range. Two things come back: to every block
 the corpus counts of its own words (by a join, for the exact base score), and the filter.
 
-Bounds. The filter takes `filter_bytes` at every corpus size, so its broadcast and what the driver
-gathers for it are bounded; grams are stored from the smallest count (2 or more) at which the filter is
-at most half full, a rule of the corpus's own counts. No vocabulary is gathered in one place. A range
-holds about `range_entries` counts, a hot word is one entry a block.
+Bounds. The filter grows with the corpus: each range of grams is a segment with as many bits as its own
+levels need to fill a quarter of it (20.9 a level at 6 probes; a gram that is not there passes with
+probability 1 / 4096). Every gram seen `min_count` times or more is stored, so a text's score does not
+depend on the room that others leave. Segments are built where their range is merged and shipped in
+bundles of about `bundle_bytes`; the driver holds one bundle at a time, a worker that scores all of
+them. No vocabulary is gathered in one place. A range holds about `range_entries` counts, a hot word is
+one entry a block.
 
 Words are runs of anything but ASCII white space, in ASCII lower case, by 64-bit hash; a text's tokens
 are its words and one end, which is also the history of its first word. Edge cases: a null or empty
@@ -182,7 +185,7 @@ def _merge(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.nda
     return h[first], np.add.reduceat(c, first) if len(first) else c
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.1, mu: float = 2.0, base: float = math.sqrt(2), probes: int = 6, filter_bytes: int = 1 << 25, block_tokens: int = 1 << 20, range_entries: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.1, mu: float = 2.0, base: float = math.sqrt(2), probes: int = 6, min_count: int = 2, bundle_bytes: int = 1 << 25, block_tokens: int = 1 << 20, range_entries: int = 2_000_000) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score. train is a condition on docs' columns."""
     spark = docs.sparkSession
     ship(spark)
@@ -223,46 +226,35 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     n_train, n_types = map(int, sum((np.frombuffer(r.counts, np.int64) for r in totals), np.zeros(2, np.int64)))
 
     def grams(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The segment of a range, a quarter full of its own levels."""
         h, c = _merge(list(map(_long, pdf["hashes"])), list(pdf["counts"]))
-        h, c = h[c > 1], c[c > 1]
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "hashes": [h.tobytes()], "counts": [c.tobytes()]})
-
-    merged = stored(counter(2, n_grams).groupBy("part").applyInPandas(grams, "part int, hashes binary, counts binary"), "grams")
-    # From which count on do the grams leave the filter half empty? A histogram of levels decides.
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in batch.column(0):
-                lev, n = np.unique(level(np.frombuffer(c.as_py(), np.int64), base), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(lev, pa.int32()), pa.array(n, pa.int64())], ["level", "n"])
-
-    histogram = sorted((r.level, r.n) for r in merged.select("counts").mapInArrow(spread, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect())
-    bits = filter_bytes * 8 // n_grams // 8 * 8
-    room, cut = 0.69 * bits * n_grams / probes, 1 << 30
-    for lev, n in reversed(histogram):
-        room -= lev * n
-        if room < 0:
-            break
-        cut = lev
-    kind = Filter(n_grams, max(8, bits), probes, base)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                h, c = np.frombuffer(batch.column(1)[i].as_py(), np.uint64), np.frombuffer(batch.column(2)[i].as_py(), np.int64)
-                lev = level(c, base)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([kind.build(h[lev >= cut], lev[lev >= cut])], pa.binary())], ["part", "segment"])
-
-    # filter_bytes in all: the filter is gathered once and broadcast.
-    data = bytearray(kind.bits // 8 * n_grams)
-    for r in merged.mapInArrow(build, "part int, segment binary").toLocalIterator():
-        data[r.part * (kind.bits // 8) : (r.part + 1) * (kind.bits // 8)] = r.segment
-    sent = spark.sparkContext.broadcast(bytes(data))
-    del data
+        h, lev = h[c >= min_count], level(c[c >= min_count], base)
+        bits = max(1, math.ceil(int(lev.sum()) * probes / math.log(4 / 3) / 8)) * 8
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "segment": [Filter(1, bits, probes, base).build(h, lev)]})
+
+    merged = stored(counter(2, n_grams).groupBy("part").applyInPandas(grams, "part int, segment binary"), "grams")
+    sent, bundle, held_bytes = [], {}, 0
+    for r in merged.toLocalIterator():
+        bundle[r.part] = bytes(r.segment)
+        held_bytes += len(r.segment)
+        if held_bytes >= bundle_bytes:
+            sent.append(spark.sparkContext.broadcast(bundle))
+            bundle, held_bytes = {}, 0
+    sent.append(spark.sparkContext.broadcast(bundle))
     id_type = docs.schema[id_col].dataType
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(sent.value, np.uint8)
+        segments = {p: np.frombuffer(x, np.uint8) for part in sent for p, x in part.value.items()}
+
+        def counts(grams: np.ndarray) -> np.ndarray:
+            out, part = np.zeros(len(grams)), _ranges(grams, n_grams)
+            order = np.argsort(part, kind="stable")
+            at = np.searchsorted(part[order], np.arange(n_grams + 1))
+            for p, data in segments.items():
+                own = order[at[p] : at[p + 1]]
+                out[own] = Filter(1, 8 * len(data), probes, base).counts(data, grams[own])
+            return out
+
         for batch in batches:
             for i, b in _rows(batch):
                 pieces = sorted(batch.column(batch.schema.get_field_index("pieces"))[i].as_py(), key=lambda x: x["part"])
@@ -270,7 +262,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 p1 = (c + alpha) / (n_train + alpha * (n_types + 1))
                 pairs, at = np.unique(b.history * len(b.words) + b.tokens, return_inverse=True)
                 hist, word = pairs // len(b.words), pairs % len(b.words)
-                times = np.minimum(kind.counts(held, _grams(b.words[hist], b.words[word])), np.minimum(c[hist], c[word]))
+                times = np.minimum(counts(_grams(b.words[hist], b.words[word])), np.minimum(c[hist], c[word]))
                 logs = np.log10((times + mu * p1[word]) / (c[hist] + mu))
                 per = lambda x: np.add.reduceat(x, b.starts)
                 out = [b.sizes, per((c > 0).astype(np.int64)[b.tokens]), np.full(len(b.sizes), n_train, np.int64), per(np.log10(p1)[b.tokens]), per(logs[at])]

@@ -85,7 +85,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    found = lm_score.score(docs, fold(F.col("doc_id"), 10) != 0)
+    found = lm_score.score(docs, fold(F.col("doc_id"), 10) != 0, min_count=1)
     return found.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -57,6 +57,15 @@ def test_score(spark):
     assert off <= 2
 
 
+@pytest.mark.parametrize("n", [50, 400])
+def test_query_keeps_grams_seen_once(spark, monkeypatch, n):
+    """Documents of words that no other has: every bigram but the first of a text has probability (1 + mu * P1) / 3."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(100))) for i in range(n)], "doc_id long, text string")
+    monkeypatch.setattr(queries, "_read", lambda *a: docs)
+    got = queries.op2_lm_score(spark, SF).filter("not held_out").collect()
+    assert len(got) > n / 2 and all(r.score > (r.n_tokens - 1) * math.log10(1 / 3) - math.log10(n + 2) for r in got)
+
+
 def test_score_edges(spark):
     docs = spark.createDataFrame([(10, "a b"), (20, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm_score.score(docs, F.lit(False)).collect()}
