@@ -59,7 +59,7 @@ VIEWS["fx_pages"] = """
 SELECT CAST(floor(d.doc_id / 8) AS BIGINT) AS document_id,
        CAST(d.doc_id % 8 + 1 AS INT) AS page_number,
        t.title_block, t.raw_code,
-       concat(p.phrase, chr(10), substring(d.text, 1, 400)) AS extracted_text,
+       concat(p.phrase, chr(10), d.text) AS extracted_text,
        CASE WHEN d.doc_id % 5 = 0 THEN TRUE ELSE FALSE END AS ocr_used,
        d.doc_id
 FROM documents d

@@ -8,6 +8,7 @@ import __spark_entry__
 from planweave.functions import text
 from planweave.operators import catalog, classify, grid, takeoff, verify
 from planweave.plans import registry
+from planweave.plans.fixtures import view
 from planweave.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -85,6 +86,14 @@ def test_against_sql(spark, name):
     assert sorted(str([str(v) for v in r]) for r in rows) == want and want
 
 
+def test_pages_hold_whole_texts(spark):
+    """A keyword beyond the first 400 characters counts."""
+    page = view(spark, SF, "fx_pages").select("doc_id", "extracted_text")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    both = page.join(docs, "doc_id")
+    assert both.count() == docs.count() and both.filter("length(text) > 400").count() and not both.filter("not endswith(extracted_text, text)").count()
+
+
 def test_plan_stays_in_the_jvm(spark):
     plan = registry.queries()["classify_pages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
