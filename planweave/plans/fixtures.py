@@ -141,7 +141,7 @@ SELECT CAST(floor(event_id / 8) AS BIGINT) AS document_id, CAST(event_id % 8 + 1
          WHEN 3 THEN '{"page_type": "BANANA", "confidence": "certain"}'
          WHEN 4 THEN '{"page_type": "COVER", "confidence": "low", "reasoning": "trunc'
          ELSE 'no json here' END AS reply_text
-FROM events WHERE event_id < 800
+FROM events
 """
 
 VIEWS["fx_lines"] = """

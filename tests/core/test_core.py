@@ -94,6 +94,11 @@ def test_pages_hold_whole_texts(spark):
     assert both.count() == docs.count() and both.filter("length(text) > 400").count() and not both.filter("not endswith(extracted_text, text)").count()
 
 
+def test_replies_cover_all_events(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert events > 800 and registry.queries()["reply_parse"](spark, SF).count() == events
+
+
 def test_plan_stays_in_the_jvm(spark):
     plan = registry.queries()["classify_pages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
