@@ -18,6 +18,8 @@ counting, long lists are skipped, and only documents whose merged count can stil
 the query's long lists are probed there (by binary search, or as a matrix product where most are).
 In step 3 queries inside the largest component of their cell are left out: links among its members join
 nothing, and a link to another component is found from there. So a cell emits fewer links than members.
+If links are to be counted, all queries run over the whole sets; a pair counts in the cell of its smallest
+common shingle only, and a cell emits one number per member, weighted by class sizes, but no pairs.
 A cell of more than `block` classes is solved as pairs of blocks, each a group of its own.
 
 Links become components by star contraction. Edge cases: a text that is null or without words has no
@@ -225,6 +227,39 @@ def links(sets: list[np.ndarray], n: np.ndarray, percent: int) -> list[tuple[int
     return out
 
 
+def link_counts(sets: list[np.ndarray], n: np.ndarray, side: np.ndarray, weight: np.ndarray, cell: int, percent: int) -> np.ndarray:
+    """For each class of a cell the weight of the classes it links with, by the exact threshold; only pairs
+    whose smallest common shingle is the cell's, and of one block (side 2) or of different ones."""
+    m = len(sets)
+    out = np.zeros(m, np.int64)
+    if m <= 12:
+        own = [set(s.tolist()) for s in sets]
+        for a in range(m):
+            for b in range(a + 1, m):
+                if side[a] == 2 or side[a] != side[b]:
+                    both = own[a] & own[b]
+                    if 100 * len(both) >= percent * (len(own[a]) + len(own[b]) - len(both)) and min(both) == cell:
+                        out[a] += weight[b]
+                        out[b] += weight[a]
+        return out
+    lists, need = _Lists(sets), _tops(n, percent)
+    before = [s[: np.searchsorted(s, np.uint64(cell))] for s in sets]
+    early = _Lists(before) if any(len(b) for b in before) else None
+    # as many queries at a time as merge about 2 million places
+    merged = np.where(lists.long | (lists.df < 2), 0, lists.df)[lists.token]
+    work = np.concatenate(([0], np.cumsum(np.add.reduceat(merged, lists.start[:-1]))))
+    step, low = max(1, min(256, 2_000_000 // m)), 0
+    while low < m:
+        high = min(m, low + step, max(low + 1, int(np.searchsorted(work, work[low] + 2_000_000, "right")) - 1))
+        q, low = np.arange(low, high), high
+        hit = lists.search(q, need)
+        hit &= (side[q][:, None] == 2) | (side[q][:, None] != side[None, :])
+        if early is not None and hit.any():
+            hit &= ~early.search(q, lambda q: np.ones((len(q), m), np.int64))
+        out[q] = hit @ weight
+    return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of equal leading columns in sorted batches."""
     held: list[pa.RecordBatch] = []
@@ -274,13 +309,14 @@ def classes_of(docs: DataFrame, k: int, percent: int, route: int, sketch: int, i
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int = 18, sketch: int = 64, block: int = 4096, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int = 18, sketch: int = 64, block: int = 4096, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """id, row_key (hash of id and text), n_shingles, component_id (smallest id of the component), class_id
-    (smallest id with an equal set), first_key (of the component: its smallest id's smallest row_key)."""
+    (smallest id with an equal set), first_key (of the component: its smallest id's smallest row_key);
+    with count_links also n_links (the other rows that the row links with, those of its class included)."""
     ship(docs.sparkSession)
     rows = stored(classes_of(docs, k, percent, route, sketch, id_col, text_col), "sketches")
     found = rows.filter("n > 0")
-    classes = stored(found.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("least"), F.first("n").alias("n"), F.first("posted").alias("posted"), F.first("sketch").alias("sketch")), "classes")
+    classes = stored(found.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("posted").alias("posted"), F.first("sketch").alias("sketch")), "classes")
     posted = classes.select("fp", F.posexplode("posted").alias("place", "cell"))
     shared = posted.groupBy("cell").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     posted = posted.join(shared, "cell").select("fp", "cell", "place", F.ceil(F.col("df") / block).cast("int").alias("parts"))
@@ -291,14 +327,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int =
     entries = posted.join(classes.select("fp", "n", "sketch"), "fp").select(*keys, "side", "place", "n", "fp", "sketch")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*keys, "fp"]
+        names = [*keys, "side", "fp"]
         for t in _groups(batches, 3):
             if t.num_rows > 1:
                 has = candidates(_arrays(t["sketch"], np.uint32), t["place"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy(), percent, sketch)
                 if has.any():
                     yield from t.select(names).filter(pa.array(has)).combine_chunks().to_batches()
 
-    kinds = "cell long, low int, high int, fp binary"
+    kinds = "cell long, low int, high int, side int, fp binary"
     hot = stored(entries.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(find, kinds), "candidates")
     # Whole sets, of the classes that are left only, from one of their texts.
     left = hot.select("fp").distinct().join(classes.select("fp", F.col("least.row_key").alias("left_key")), "fp").select("left_key").distinct()
@@ -311,25 +347,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int =
             sets = [shingles(x.as_py(), k).tobytes() for x in b.column(0).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["fp", "set"])
 
-    sets = chosen.select("text").mapInArrow(whole, "fp binary, set binary").groupBy("fp").agg(F.first("set").alias("set"))
+    sets = chosen.select("text").mapInArrow(whole, "fp binary, set binary").groupBy("fp").agg(F.first("set").alias("set")).join(classes.select("fp", "rows"), "fp")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):
             own = _arrays(t["set"], np.uint64)
-            pairs = links(own, np.array([len(s) for s in own], np.int64), percent) if len(own) > 1 else []
+            if len(own) < 2:
+                continue
+            n = np.array([len(x) for x in own], np.int64)
+            pairs = links(own, n, percent)
+            fp = t["fp"].combine_chunks()
+            fp = fp.chunk(0) if isinstance(fp, pa.ChunkedArray) else fp
             if pairs:
-                fp = t["fp"].combine_chunks()
-                fp = fp.chunk(0) if isinstance(fp, pa.ChunkedArray) else fp
-                yield pa.RecordBatch.from_arrays([fp.take(pa.array([a for a, _ in pairs])), fp.take(pa.array([b for _, b in pairs]))], ["a", "b"])
-
-    edges = hot.join(sets, "fp").select(*keys, "fp", "set").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(solve, "a binary, b binary")
+                yield pa.RecordBatch.from_arrays([fp.take(pa.array([a for a, _ in pairs])), fp.take(pa.array([b for _, b in pairs])), pa.nulls(len(pairs), pa.int64())], ["a", "b", "n"])
+            if count_links:
+                cell = int(t["cell"][0].as_py()) & 0xFFFFFFFFFFFFFFFF
+                counts = link_counts(own, n, t["side"].to_numpy(), t["rows"].to_numpy(), cell, percent)
+                yield pa.RecordBatch.from_arrays([fp, pa.nulls(len(own), pa.binary()), pa.array(counts, pa.int64())], ["a", "b", "n"])
+
+    solved = hot.join(sets, "fp").select(*keys, "side", "fp", "set", "rows").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(solve, "a binary, b binary, n long")
+    solved = stored(solved, "solved") if count_links else solved
+    edges = solved.filter("b is not null").select("a", "b")
     roots = components(edges)
     known = classes.select("fp", "least").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = known.groupBy("root").agg(F.min("least").alias("first"))
     known = known.join(first, "root").select("fp", F.col("least.id").alias("class_id"), F.col("first.id").alias("component_id"), F.col("first.row_key").alias("first_key"))
+    if count_links:
+        counted = solved.filter("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("linked"))
+        per_class = classes.select("fp", "rows").join(counted, "fp", "left")
+        known = known.join(per_class.select("fp", (F.coalesce("linked", F.lit(0)) + F.col("rows") - 1).alias("n_links")), "fp")
     out = rows.select("id", "row_key", "n", "fp").join(known, "fp", "left")
     alone = F.col("n") == 0
     return out.select(
         F.col("id").alias(id_col), "row_key", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("row_key")).otherwise(F.col("first_key")).alias("first_key"),
+        *([F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links")] if count_links else []),
     )

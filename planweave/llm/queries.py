@@ -67,8 +67,8 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), k=5, percent=80)
-    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+    found = ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), k=5, percent=80, count_links=True)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planweave.llm import line_dedup, mixing, ngram_join, quality, queries
-from tests_llm_brute import dedup_brute, fill, groups_brute, words
+from tests_llm_brute import dedup_brute, fill, groups_brute, shingle_set, words
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -63,6 +63,23 @@ def test_ngram_join(spark, docs, block):
     assert len({want[d[0], d[1]] for d in docs}) < len(docs) - 40
 
 
+@pytest.mark.parametrize("block", [4096, 5])
+def test_ngram_join_counts_links(spark, docs, block):
+    """Each row's links with all other rows, those inside the largest component too."""
+    sets = [shingle_set(d[1]) for d in docs]
+    want = Counter()
+    for a, d in enumerate(docs):
+        n = 0
+        for b, other in enumerate(sets):
+            i = len(sets[a] & other)
+            n += a != b and i > 0 and 100 * i >= 80 * (len(sets[a]) + len(other) - i)
+        want[d[0], d[1], n] += 1
+    by_key = frame(spark, docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).distinct()
+    found = ngram_join.near_duplicates(frame(spark, docs), block=block, count_links=True).select("row_key", "n_links")
+    got = by_key.join(found, "row_key").select("doc_id", "text", "n_links").collect()
+    assert Counter(map(tuple, got)) == want and max(n for _, _, n in want) > 20
+
+
 def test_ngram_join_empty(spark, docs):
     assert ngram_join.near_duplicates(frame(spark, docs).limit(0)).count() == 0
 
