@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from planweave.llm.common import SPACE
 
-INDEX_BITS = 24
+#: Texts of up to 4095 words pack 52 bits of a window's hash beside its place; longer ones keep all 64.
+INDEX_BITS = 12
 
 #: Rules in order of their bits: (name, measurement-based condition for failure). The first two are the base.
 RULES: tuple[tuple[str, str], ...] = (

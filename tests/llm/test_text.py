@@ -163,3 +163,10 @@ def test_repeat_words_of_huge_texts(spark, monkeypatch):
         w = t.split()
         c = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
         assert usual[i] == len({k + j for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for j in range(3)})
+
+
+def test_repeat_words_tells_near_hashes_apart(spark):
+    """Windows whose hashes differ in low bits only are different, in short and in long texts."""
+    df = spark.createDataFrame([(7, [5 << 40, 5 << 40, 1 << 20, 2 << 20]), (5000, [5 << 40, 5 << 40, 1, 2])], "n long, hashes array<long>")
+    got = df.select(quality.repeat_words(F.lit(None), F.col("n"), F.col("hashes")).alias("r")).collect()
+    assert [r.r for r in got] == [4, 4]
