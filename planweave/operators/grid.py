@@ -1,5 +1,7 @@
 """Tables as rows of cells: header search, classification, trimming, records.
 
+A table is known by its document and its place there (`KEY`); nothing is ranked, grouped or joined across documents.
+
 Header scoring works on rows (document or table key, row_idx, cells): nine fields in order, each taking
 the leftmost free column that one of its aliases fits, as nine projections that carry the used columns.
 """
@@ -14,13 +16,13 @@ from pyspark.sql import functions as F
 from planweave.functions.text import any_of, collapse, strip
 from planweave.operators import rules as R
 
-KEY = "table_index"
+KEY = ["document_id", "table_index"]
 
 
 def rows_of(cells: DataFrame) -> DataFrame:
-    """table_index, page_number, row_idx, cells (array in order of columns)."""
+    """document_id, table_index, page_number, row_idx, cells (array in order of columns)."""
     order = F.sort_array(F.collect_list(F.struct("col_idx", F.coalesce("text", F.lit("")).alias("text"))))
-    return cells.groupBy(KEY, "page_number", "row_idx").agg(F.transform(order, lambda c: c["text"]).alias("cells"))
+    return cells.groupBy(*KEY, "page_number", "row_idx").agg(F.transform(order, lambda c: c["text"]).alias("cells"))
 
 
 #: The fields as a literal: aliases in order and what a field is worth.
@@ -55,7 +57,7 @@ def score_rows(rows: DataFrame) -> DataFrame:
 
 def merged_pairs(rows: DataFrame) -> DataFrame:
     """Each row joined cell by cell with the next."""
-    after = Window.partitionBy(KEY).orderBy("row_idx")
+    after = Window.partitionBy(*KEY).orderBy("row_idx")
     both = lambda a, b: F.array_join(F.filter(F.array(strip(F.coalesce(a, F.lit(""))), strip(F.coalesce(b, F.lit("")))), lambda x: x != ""), " ")
     pairs = rows.withColumn("next", F.lead("cells").over(after)).filter("next is not null")
     return pairs.withColumn("cells", F.zip_with("cells", "next", both)).drop("next")
@@ -64,18 +66,18 @@ def merged_pairs(rows: DataFrame) -> DataFrame:
 def find_header(rows: DataFrame, first: int = 10) -> DataFrame:
     """Per table the header: header_idx, merged, header (cells), score, n_fields and columns of fields. Best
     score; single rows before merged ones, then the earliest; only if it has a code column."""
-    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(KEY).orderBy("row_idx"))).filter(F.col("k") <= first).drop("k")
+    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy("row_idx"))).filter(F.col("k") <= first).drop("k")
     tried = numbered.withColumn("merged", F.lit(False)).unionByName(merged_pairs(numbered).withColumn("merged", F.lit(True)))
     scored = score_rows(tried).filter("score > 0")
     best = F.max_by(F.struct(*scored.columns), F.struct("score", (~F.col("merged")).alias("single"), (-F.col("row_idx")).alias("early")))
-    out = scored.groupBy(KEY).agg(best.alias("b")).select("b.*").filter("c_code is not null")
+    out = scored.groupBy(*KEY).agg(best.alias("b")).select("b.*").filter("c_code is not null")
     return out.withColumnsRenamed({"row_idx": "header_idx", "cells": "header"})
 
 
 def grids_of(rows: DataFrame) -> DataFrame:
-    """table_index, page_number, first_idx, grid: the rows of a table in order."""
+    """document_id, table_index, page_number, first_idx, grid: the rows of a table in order."""
     order = F.sort_array(F.collect_list(F.struct("row_idx", "cells")))
-    return rows.groupBy(KEY, "page_number").agg(F.transform(order, lambda r: r["cells"]).alias("grid"))
+    return rows.groupBy(*KEY, "page_number").agg(F.transform(order, lambda r: r["cells"]).alias("grid"))
 
 
 def header_text(grid: Column) -> Column:
@@ -88,13 +90,13 @@ def header_label(grid: Column) -> Column:
 
 
 def classify_tables(rows: DataFrame) -> DataFrame:
-    """table_index, page_number, n_rows, classification, header_label, is_fixture_schedule."""
-    grids = grids_of(rows).select(KEY, "page_number", F.size("grid").alias("n_rows"), header_text(F.col("grid")).alias("text"), header_label(F.col("grid")).alias("label"))
-    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(KEY).orderBy("row_idx"))).filter("k <= 5")
+    """document_id, table_index, page_number, n_rows, classification, header_label, is_fixture_schedule."""
+    grids = grids_of(rows).select(*KEY, "page_number", F.size("grid").alias("n_rows"), header_text(F.col("grid")).alias("text"), header_label(F.col("grid")).alias("label"))
+    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy("row_idx"))).filter("k <= 5")
     scored = score_rows(numbered).filter("score > 0")
     electrical = reduce(Column.__or__, [F.col(f"c_{f}").isNotNull() for f in R.ELECTRICAL_FIELDS])
     entry = F.struct("score", (-F.col("k")).alias("early"), "n_fields", electrical.alias("electrical"))
-    best = scored.groupBy(KEY).agg(F.max(entry).alias("five"), F.max(F.when(F.col("k") <= 3, entry)).alias("three"))
+    best = scored.groupBy(*KEY).agg(F.max(entry).alias("five"), F.max(F.when(F.col("k") <= 3, entry)).alias("three"))
     df = grids.join(best, KEY, "left")
     text, label = F.col("text"), F.col("label")
     gate = any_of(F.lower(F.concat(label, F.lit(" "), F.substring(text, 1, 200))), R.TITLE_GATE)
@@ -113,21 +115,21 @@ def classify_tables(rows: DataFrame) -> DataFrame:
         .otherwise(made(other, "Other"))
     )
     out = df.withColumn("v", verdict)
-    return out.select(KEY, "page_number", "n_rows", F.col("v.kind").alias("classification"), F.col("v.label").alias("header_label"), (F.col("v.kind") == "LIGHT_FIXTURE_SCHEDULE").alias("is_fixture_schedule"))
+    return out.select(*KEY, "page_number", "n_rows", F.col("v.kind").alias("classification"), F.col("v.label").alias("header_label"), (F.col("v.kind") == "LIGHT_FIXTURE_SCHEDULE").alias("is_fixture_schedule"))
 
 
 def filter_verdict(rows: DataFrame) -> DataFrame:
-    """table_index, verdict: positive, negative or ambiguous by words, columns and panel label."""
-    grids = grids_of(rows).select(KEY, F.lower(F.array_join(F.transform(F.slice("grid", 1, 3), lambda r: F.array_join(r, " ")), " ")).alias("text"))
-    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(KEY).orderBy("row_idx"))).filter("k <= 5")
-    best = score_rows(numbered).groupBy(KEY).agg(F.max("score").alias("best"))
+    """document_id, table_index, verdict: positive, negative or ambiguous by words, columns and panel label."""
+    grids = grids_of(rows).select(*KEY, F.lower(F.array_join(F.transform(F.slice("grid", 1, 3), lambda r: F.array_join(r, " ")), " ")).alias("text"))
+    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy("row_idx"))).filter("k <= 5")
+    best = score_rows(numbered).groupBy(*KEY).agg(F.max("score").alias("best"))
     text = F.col("text")
     verdict = (
         F.when(any_of(text, R.POSITIVE_WORDS), "positive").when(any_of(text, R.NEGATIVE_WORDS), "negative")
         .when(F.contains(text, F.lit(R.AMBIGUOUS_WORD)), F.when(F.col("best") >= 3, "positive").otherwise("negative"))
         .when(text.rlike("(?i)" + R.PANEL_LABEL), "negative").otherwise("ambiguous")
     )
-    return grids.join(best, KEY).select(KEY, verdict.alias("verdict"))
+    return grids.join(best, KEY).select(*KEY, verdict.alias("verdict"))
 
 
 def notes_cell(cell: Column) -> Column:
@@ -142,20 +144,20 @@ def header_word(cell: Column) -> Column:
 def strip_rows(rows: DataFrame) -> DataFrame:
     """Rows of each table without what stands above its header and without trailing rows that are no data.
     Cells of notes in the first row left are deleted, which shifts that row's columns."""
-    order = Window.partitionBy(KEY).orderBy("row_idx")
+    order = Window.partitionBy(*KEY).orderBy("row_idx")
     filled = F.filter(F.transform("cells", strip), lambda c: c != "")
     noise = F.forall(filled, notes_cell)  # also true of a blank row
-    df = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(KEY))).withColumn("lead", F.min(F.when(~noise, F.col("row_idx"))).over(Window.partitionBy(KEY)))
+    df = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*KEY))).withColumn("lead", F.min(F.when(~noise, F.col("row_idx"))).over(Window.partitionBy(*KEY)))
     small = df.filter("size < 2")
     df = df.filter("size >= 2 and row_idx >= lead")
     clean = F.filter("cells", lambda c: ~notes_cell(c))
     df = df.withColumn("cells", F.when((F.col("row_idx") == F.col("lead")) & (F.size(clean) > 0), clean).otherwise(F.col("cells")))
-    header = find_header(df.select(*rows.columns)).select(KEY, "header_idx")
+    header = find_header(df.select(*rows.columns)).select(*KEY, "header_idx")
     df = df.join(header, KEY, "left").filter("header_idx is null or row_idx >= header_idx")
-    df = df.withColumns({"k": F.row_number().over(order), "left": F.count(F.lit(1)).over(Window.partitionBy(KEY))})
+    df = df.withColumns({"k": F.row_number().over(order), "left": F.count(F.lit(1)).over(Window.partitionBy(*KEY))})
     first = strip(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
     idle = F.forall(F.transform("cells", strip), lambda c: c == "") | ((first != "") & first.rlike("(?i)" + R.NOTE)) | header_word(first)
-    last = F.max(F.when((F.col("k") == 1) | ~idle, F.col("k"))).over(Window.partitionBy(KEY))
+    last = F.max(F.when((F.col("k") == 1) | ~idle, F.col("k"))).over(Window.partitionBy(*KEY))
     df = df.withColumn("last", last).filter((F.col("left") < 3) | (F.col("k") <= F.col("last")))
     return df.select(*rows.columns).unionByName(small.select(*rows.columns))
 
@@ -188,12 +190,15 @@ def embedded(header: DataFrame) -> DataFrame:
     return df.filter(F.exists("cells", lambda c: c != "")).withColumn("row_idx", F.lit(-1))
 
 
-def fixtures(rows: DataFrame) -> DataFrame:
-    """table_index, page_number, row_idx, the nine fields, raw_data: records of every table with a header;
-    tables whose codes are mostly numbers are left out."""
+def fixtures(rows: DataFrame, filtered: bool = True) -> DataFrame:
+    """document_id, table_index, page_number, row_idx, the nine fields, raw_data: records of every table with a header;
+    tables that the word filter refuses are left out (unless filtered is false: they are classified
+    already), and those whose codes are mostly numbers."""
+    if filtered:
+        rows = rows.join(filter_verdict(rows).filter("verdict = 'negative'").select(*KEY), KEY, "left_anti").select(*rows.columns)
     header = find_header(rows)
     columns = [f"c_{f}" for f in R.FIELDS]
-    body = rows.join(header.select(KEY, "header_idx", "merged", "header", *columns), KEY)
+    body = rows.join(header.select(*KEY, "header_idx", "merged", "header", *columns), KEY)
     body = body.filter(F.col("row_idx") > F.col("header_idx") + F.col("merged").cast("int"))
     extra = embedded(header).select(*body.columns)
     cell = lambda f: F.coalesce(strip(F.get("cells", F.col(f"c_{f}"))), F.lit(""))
@@ -204,39 +209,89 @@ def fixtures(rows: DataFrame) -> DataFrame:
     pairs = F.transform("cells", lambda c, i: F.struct(name(i).alias("k"), strip(c).alias("v"), i.alias("i")))
     pairs = F.filter(pairs, lambda p: ~F.exists(F.slice(pairs, p["i"] + 2, F.size("cells")), lambda o: o["k"] == p["k"]))  # the last of equal names
     raw = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"], p["v"])))
-    out = all_rows.select(KEY, "page_number", "row_idx", code.alias("code"), *[cell(f).alias(f) for f in R.FIELDS if f != "code"], raw.alias("raw_data"))
+    out = all_rows.select(*KEY, "page_number", "row_idx", code.alias("code"), *[cell(f).alias(f) for f in R.FIELDS if f != "code"], raw.alias("raw_data"))
     numbers = F.col("code").rlike("^[0-9]+$").cast("double")
-    per = Window.partitionBy(KEY)
+    per = Window.partitionBy(*KEY)
     return out.withColumn("panel", (F.count(F.lit(1)).over(per) > 5) & (F.avg(numbers).over(per) > 0.60)).filter("not panel").drop("panel")
 
 
-def first_of_code(records: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The first record of each code, without regard to case and space; records without code all stay."""
+def first_of_code(records: DataFrame, keys: tuple[str, ...] = ("page_number", "table_index", "row_idx")) -> DataFrame:
+    """The first record of each code of a document, without regard to case and space; records without code all stay."""
     code = F.lower(strip(F.col("code")))
-    nth = F.row_number().over(Window.partitionBy(code).orderBy(*keys))
+    nth = F.row_number().over(Window.partitionBy("document_id", code).orderBy(*keys))
     return records.filter(code == "").unionByName(records.filter(code != "").withColumn("nth", nth).filter("nth = 1").drop("nth"))
 
 
+def only_new(records: DataFrame, known: DataFrame) -> DataFrame:
+    """Records whose code no record of `known` in the same document has."""
+    key = lambda: F.lower(strip(F.col("code"))).alias("known_code")
+    have = known.select("document_id", key()).distinct()
+    rows = records.select("*", key())
+    return rows.join(have, ["document_id", "known_code"], "left_anti").drop("known_code")
+
+
 def best_schedule(tables: DataFrame) -> DataFrame:
-    """The fixture schedule with most rows of each page, the first of equals."""
-    best = F.max_by(F.struct(KEY, "n_rows"), F.struct("n_rows", (-F.col(KEY)).alias("early")))
-    return tables.filter("is_fixture_schedule and n_rows >= 2").groupBy("page_number").agg(best.alias("b")).select("page_number", "b.*")
+    """The fixture schedule with most rows of each document, the first of equals, and the pages that hold one."""
+    best = F.max_by(F.struct("table_index", "page_number", "n_rows"), F.struct("n_rows", (-F.col("table_index")).alias("early")))
+    pages = F.sort_array(F.collect_set("page_number")).alias("pages")
+    return tables.filter("is_fixture_schedule and n_rows >= 2").groupBy("document_id").agg(best.alias("b"), pages).select("document_id", "b.*", "pages")
 
 
 def by_label(tables: DataFrame) -> DataFrame:
-    """header_label, the tables under it in order, with their place in their page (from 0)."""
-    place = F.row_number().over(Window.partitionBy("page_number").orderBy(KEY)) - 1
+    """document_id, header_label, the tables under it in order, with their place in their page (from 0)."""
+    place = F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy("table_index")) - 1
     rows = tables.withColumn("place", place)
-    order = F.sort_array(F.collect_list(F.struct("page_number", "place", KEY)))
-    return rows.groupBy("header_label").agg(F.count(F.lit(1)).alias("tables"), F.transform(order, lambda t: t[KEY]).alias("table_indexes"))
+    order = F.sort_array(F.collect_list(F.struct("page_number", "place", "table_index")))
+    return rows.groupBy("document_id", "header_label").agg(F.count(F.lit(1)).alias("tables"), F.transform(order, lambda t: t["table_index"]).alias("table_indexes"))
+
+
+def page_counts(tables: DataFrame) -> DataFrame:
+    """Tables and fixture schedules on each page."""
+    return tables.groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("tables"), F.count_if("is_fixture_schedule").alias("fixture_tables"))
 
 
 def relevant_tables(tables: DataFrame, pages: DataFrame) -> DataFrame:
-    """Tables of two rows or more on relevant pages; of all pages if none is relevant."""
-    some = pages.select("page_number").distinct()
-    any_page = some.agg((F.count(F.lit(1)) > 0).alias("some"))
-    kept = tables.filter("n_rows >= 2").join(some.withColumn("hit", F.lit(True)), "page_number", "left").crossJoin(F.broadcast(any_page))  # one row
-    return kept.filter("hit or not some").drop("hit", "some")
+    """Tables of two rows or more on the relevant pages of their document; on all its pages if none is relevant."""
+    some = pages.select("document_id", "page_number", F.lit(True).alias("hit")).distinct()
+    any_page = pages.select("document_id", F.lit(True).alias("some")).distinct()
+    kept = tables.filter("n_rows >= 2").join(some, ["document_id", "page_number"], "left").join(any_page, "document_id", "left")
+    return kept.filter("hit or some is null").drop("hit", "some")
+
+
+def with_pages(tables: DataFrame, pages: DataFrame) -> DataFrame:
+    """Tables with the type and sheet code of their page, null for a page that is not known."""
+    known = pages.select("document_id", "page_number", "page_type", F.nullif("sheet_code", F.lit("")).alias("sheet_code"))
+    return tables.join(known, ["document_id", "page_number"], "left")
+
+
+def common_prefix(names: Column) -> Column:
+    """The longest text that every name begins with."""
+
+    def both(a: Column, b: Column) -> Column:
+        n = F.least(F.length(a), F.length(b))
+        differs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i > n) | (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
+        return F.substring(a, F.lit(1), F.coalesce(F.get(differs, F.lit(0)) - 1, n))
+
+    return F.aggregate(names, F.coalesce(F.get(names, F.lit(0)), F.lit("")), both)
+
+
+def prefix_stripped(names: Column, least: int = 10) -> Column:
+    """Column names without the prefix that two or more share, if that has `least` characters: up to its last dot,
+    unless that is its first character. A name that is blank then is Column_i, from 0."""
+    shared = common_prefix(names)
+    dot = F.length(shared) - F.instr(F.reverse(shared), ".") + 1
+    size = F.when((F.size(names) > 1) & (F.length(shared) >= least) & (F.instr(shared, ".") > 0) & (dot > 1), dot).otherwise(0)
+    left = lambda n: F.substring(n, size + 1, F.length(n))
+    return F.transform(names, lambda n, i: F.when((size > 0) & (strip(left(n)) == ""), F.concat(F.lit("Column_"), i)).otherwise(left(n)))
+
+
+def synthetic_grid(records: DataFrame) -> DataFrame:
+    """Records of a model as one table per document and page: a header row, then values in order; table_index -1."""
+    names = [f for f in R.FIELDS]
+    head = records.select("document_id", "page_number").distinct().select("document_id", "page_number", F.lit(0).alias("row_idx"), F.array(*map(F.lit, names)).alias("cells"))
+    nth = F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy("row_idx"))
+    body = records.select("document_id", "page_number", nth.alias("row_idx"), F.array(*[F.coalesce(F.col(f), F.lit("")) for f in names]).alias("cells"))
+    return head.unionByName(body).select("document_id", F.lit(-1).cast("long").alias("table_index"), "page_number", "row_idx", "cells")
 
 
 def blocks_to_rows(blocks: DataFrame, zero_based: bool = False) -> DataFrame:

@@ -2,47 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave.functions.text import any_of, strip
 from planweave.operators import rules as R
+from planweave.operators.grid import KEY
 
 NONE = "No Description"
 
 
 def schedule_rows(cells: DataFrame) -> DataFrame:
-    """cells(table_index, row_idx, col_idx, text) -> table_index, row_idx, cells: stripped, without
-    columns that are empty everywhere."""
-    df = cells.select("table_index", "row_idx", "col_idx", strip(F.coalesce("text", F.lit(""))).alias("text"))
-    df = df.withColumn("used", F.max(F.col("text") != "").over(Window.partitionBy("table_index", "col_idx"))).filter("used")
+    """cells(document_id, table_index, row_idx, col_idx, text) -> document_id, table_index, row_idx, cells: stripped,
+    without columns that are empty everywhere."""
+    df = cells.select(*KEY, "row_idx", "col_idx", strip(F.coalesce("text", F.lit(""))).alias("text"))
+    df = df.withColumn("used", F.max(F.col("text") != "").over(Window.partitionBy(*KEY, "col_idx"))).filter("used")
     order = F.sort_array(F.collect_list(F.struct("col_idx", "text")))
-    return df.groupBy("table_index", "row_idx").agg(F.transform(order, lambda c: c["text"]).alias("cells"))
+    return df.groupBy(*KEY, "row_idx").agg(F.transform(order, lambda c: c["text"]).alias("cells"))
 
 
 def schedule_header(rows: DataFrame) -> DataFrame:
-    """table_index, header_idx, names (unique), code_col, desc_col (from 0)."""
-    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("table_index").orderBy("row_idx"))).filter("k <= 5")
+    """document_id, table_index, header_idx, names (unique), code_col, desc_col (from 0)."""
+    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy("row_idx"))).filter("k <= 5")
     hits = F.size(F.filter("cells", lambda c: any_of(F.lower(c), R.CSV_HEADER_WORDS)))
     best = F.max_by(F.struct("row_idx", "cells"), F.struct(hits.alias("hits"), (-F.col("k")).alias("early")))
-    df = numbered.groupBy("table_index").agg(best.alias("b")).select("table_index", F.col("b.row_idx").alias("header_idx"), "b.cells")
+    df = numbered.groupBy(*KEY).agg(best.alias("b")).select(*KEY, F.col("b.row_idx").alias("header_idx"), "b.cells")
     named = F.transform("cells", lambda c, i: F.when((c == "") | (F.lower(c) == "nan"), F.concat(F.lit("Column_"), i + 1)).otherwise(c))
-    df = df.select("table_index", "header_idx", named.alias("names"))
+    df = df.select(*KEY, "header_idx", named.alias("names"))
     nth = lambda c, i: F.size(F.filter(F.slice("names", F.lit(1), i + 1), lambda x: x == c))
     unique = F.transform("names", lambda c, i: F.when(nth(c, i) == 1, c).otherwise(F.concat(c, F.lit("_"), nth(c, i))))
-    df = df.select("table_index", "header_idx", unique.alias("names"))
+    df = df.select(*KEY, "header_idx", unique.alias("names"))
     at = lambda test: F.get(F.filter(F.transform("names", lambda c, i: F.when(test(F.lower(c)), i)), lambda i: i.isNotNull()), F.lit(0))
     return df.withColumns({"code_col": F.coalesce(at(lambda c: any_of(c, R.CSV_CODE_WORDS)), F.lit(0)), "desc_col": F.coalesce(at(lambda c: F.contains(c, F.lit("desc"))), F.lit(1))})
 
 
-def codes(cells: DataFrame) -> DataFrame:
-    """table_index, ord, code, description in order; of a code given twice the last description at the
-    first place. Codes with spaces of 12 characters or fewer are split."""
+def given_codes(cells: DataFrame) -> DataFrame:
+    """document_id, table_index, ord, code, description: codes as the schedule gives them, once each, with the last
+    description at the first place."""
     rows = schedule_rows(cells)
-    df = rows.join(schedule_header(rows), "table_index").filter("row_idx > header_idx")
+    df = rows.join(schedule_header(rows), KEY).filter("row_idx > header_idx")
     last, second = F.element_at("cells", -1), F.coalesce(F.get("cells", F.size("cells") - 2), F.lit(""))
     other = F.when((last != "") & (F.lower(last) != "nan"), last).otherwise(second)
     code = F.coalesce(F.get("cells", "code_col"), F.lit(""))
@@ -50,13 +50,21 @@ def codes(cells: DataFrame) -> DataFrame:
     fixed = F.when((other != "") & (F.length(other) <= 6) & ~F.contains(other, F.lit(" ")) & odd, other).otherwise(code)
     quotes = lambda c: F.regexp_replace(c, "^['\"]+|['\"]+$", "")
     text = F.when(F.col("desc_col") < F.size("cells"), quotes(F.coalesce(F.get("cells", "desc_col"), F.lit("")))).otherwise(NONE)
-    df = df.select("table_index", "row_idx", quotes(fixed).alias("code"), F.coalesce(F.nullif(text, F.lit("")), F.lit(NONE)).alias("description"))
+    df = df.select(*KEY, "row_idx", quotes(fixed).alias("code"), F.coalesce(F.nullif(text, F.lit("")), F.lit(NONE)).alias("description"))
     df = df.filter((F.col("code") != "") & ~F.lower("code").isin(*R.CSV_STOP_WORDS) & (F.length("code") <= 15))
-    once = df.groupBy("table_index", "code").agg(F.min("row_idx").alias("ord"), F.max_by("description", "row_idx").alias("description"))
+    return df.groupBy(*KEY, "code").agg(F.min("row_idx").alias("ord"), F.max_by("description", "row_idx").alias("description"))
+
+
+def split_codes(given: DataFrame) -> DataFrame:
+    """given_codes() with codes of 12 characters or fewer split at their spaces: given, part (from 0), code."""
     parts = F.when(F.contains("code", F.lit(" ")) & (F.length("code") <= 12), F.filter(F.split("code", r"\s+"), lambda c: c != "")).otherwise(F.array("code"))
-    split = once.select("table_index", "ord", "description", F.posexplode(parts).alias("part", "code"))
+    return given.select(*KEY, "ord", "description", F.col("code").alias("given"), F.posexplode(parts).alias("part", "code"))
+
+
+def codes(cells: DataFrame) -> DataFrame:
+    """document_id, table_index, place, code, description; of a code given twice the last description at the first place."""
     place = F.struct("ord", "part")
-    return split.groupBy("table_index", "code").agg(F.min(place).alias("place"), F.max_by("description", place).alias("description"))
+    return split_codes(given_codes(cells)).groupBy(*KEY, "code").agg(F.min(place).alias("place"), F.max_by("description", place).alias("description"))
 
 
 def with_bases(found: DataFrame) -> DataFrame:
@@ -64,9 +72,9 @@ def with_bases(found: DataFrame) -> DataFrame:
     the description of the first code that gives it."""
     base = F.regexp_replace("code", "(?i)" + R.CODE_SUFFIX, "")
     bases = found.withColumn("base", base).filter("base <> '' and base <> code")
-    bases = bases.groupBy("table_index", F.col("base").alias("code")).agg(F.min_by("description", "place").alias("description"), F.min_by(F.col("code"), "place").alias("base_of"))
-    new = bases.join(found.select("table_index", "code"), ["table_index", "code"], "left_anti")
-    return found.select("table_index", "code", "description", F.lit(None).cast("string").alias("base_of")).unionByName(new)
+    bases = bases.groupBy(*KEY, F.col("base").alias("code")).agg(F.min_by("description", "place").alias("description"), F.min_by(F.col("code"), "place").alias("base_of"))
+    new = bases.join(found.select(*KEY, "code"), [*KEY, "code"], "left_anti")
+    return found.select(*KEY, "code", "description", F.lit(None).cast("string").alias("base_of")).unionByName(new)
 
 
 def sheet_ids(words: DataFrame, known: Sequence[str], width: float, height: float) -> DataFrame:
@@ -128,10 +136,36 @@ def counts(accepted: DataFrame, sheets: DataFrame, known: Sequence[str]) -> Data
     return every.join(n, ["document_id", "sheet", "code"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def matrix(counted: DataFrame, sheets: Sequence[str]) -> DataFrame:
-    """A row per code, a column per sheet and TOTAL."""
-    wide = counted.groupBy("code").pivot("sheet", list(sheets)).agg(F.sum("n")).na.fill(0)
-    return wide.withColumn("TOTAL", reduce(Column.__add__, [F.col(s) for s in sheets]))
+def matrix(counted: DataFrame, sheets: DataFrame, descriptions: Mapping[str, str] | None = None) -> DataFrame:
+    """document_id, code, description, sheets (in the order in which the document's pages show them), counts
+    (in that order), total: a row for each code of each document, with whatever sheets the document has."""
+    seen = sheets.groupBy("document_id", "sheet").agg(F.min("page_number").alias("first_page"))
+    order = F.sort_array(F.collect_list(F.struct("first_page", "sheet", "n")))
+    rows = counted.join(seen, ["document_id", "sheet"]).groupBy("document_id", "code").agg(order.alias("cells"), F.sum("n").alias("total"))
+    told = F.create_map(*[F.lit(x) for pair in (descriptions or {}).items() for x in pair]) if descriptions else F.create_map(F.lit(""), F.lit(""))
+    text = F.coalesce(F.element_at(told, F.col("code")), F.lit(""))
+    return rows.select("document_id", "code", text.alias("description"), F.transform("cells", lambda c: c["sheet"]).alias("sheets"), F.transform("cells", lambda c: c["n"]).alias("counts"), "total")
+
+
+def matrix_of(document_id: int, matrices: DataFrame) -> DataFrame:
+    """One document's matrix as its file has it: TYPE, DESCRIPTION, a column per sheet, TOTAL. The sheet names of
+    that document, a handful, become columns."""
+    rows = matrices.filter(F.col("document_id") == document_id)
+    first = rows.select("sheets").first()
+    columns = [F.col("counts")[k].alias(s) for k, s in enumerate(first.sheets if first else [])]
+    return rows.select(F.col("code").alias("TYPE"), F.col("description").alias("DESCRIPTION"), *columns, F.col("total").alias("TOTAL"))
+
+
+def count_maps(counted: DataFrame) -> DataFrame:
+    """document_id, counts: map of code to map of sheet to count."""
+    by_code = counted.groupBy("document_id", "code").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("sheet", "n")))).alias("sheets"))
+    return by_code.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "sheets")), lambda a, b: F.when(a["code"] < b["code"], -1).otherwise(1))).alias("counts"))
+
+
+def grand_total(counts: Column, nested: bool = True) -> Column:
+    """Sum over a map of counts, or over a map of such maps."""
+    add = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, n: a + n)
+    return F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, m: a + add(m)) if nested else add(counts)
 
 
 def plan_codes(pages: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ SELECT * FROM (VALUES
 
 VIEWS["fx_cells"] = """
 WITH base AS (
-  SELECT CAST(floor(p_partkey / 12) AS BIGINT) AS table_index, CAST(p_partkey % 12 AS INT) AS r,
+  SELECT CAST(floor(p_partkey / 12) AS BIGINT) AS t, CAST(p_partkey % 12 AS INT) AS r,
          CASE WHEN p_partkey % 12 = 11 THEN 'NOTE: SEE SPEC'
               WHEN CAST(floor(p_partkey / 12) AS BIGINT) % 13 = 5 THEN CAST(p_size AS STRING)
               WHEN p_partkey % 10 = 3 THEN concat(substring(p_type, 1, 1), CAST(p_size % 9 AS STRING), '-EM')
@@ -106,20 +106,19 @@ WITH base AS (
               WHEN p_partkey % 10 = 6 THEN ''
               ELSE concat(substring(p_type, 1, 1), CAST(p_size % 9 AS STRING)) END AS code,
          p_name AS descr, CASE WHEN p_size % 2 = 0 THEN '120V' ELSE '277V' END AS volt,
-         CAST(p_size * 100 AS STRING) AS lum, concat(CAST(p_size AS STRING), 'W') AS va
+         CAST(p_size * 100 AS STRING) AS lum, concat(CAST(p_size AS STRING), CASE WHEN p_partkey % 20 = 4 THEN ' WATTS MAX' ELSE 'W' END) AS va
   FROM part),
-tabs AS (SELECT DISTINCT b.table_index, h.* FROM base b JOIN fx_headers h ON h.variant = b.table_index % 8)
-SELECT table_index, CAST(table_index % 5 + 1 AS INT) AS page_number, 0 AS row_idx, c.col_idx,
-       CASE WHEN c.col_idx = 0 THEN title ELSE '' END AS text
+tabs AS (SELECT DISTINCT b.t, h.* FROM base b JOIN fx_headers h ON h.variant = b.t % 8),
+placed AS (
+SELECT t, 0 AS row_idx, c.col_idx, CASE WHEN c.col_idx = 0 THEN title ELSE '' END AS text
 FROM tabs CROSS JOIN (VALUES (0),(1),(2),(3),(4)) AS c(col_idx)
 UNION ALL
-SELECT table_index, CAST(table_index % 5 + 1 AS INT), 1, c.col_idx,
-       CASE c.col_idx WHEN 0 THEN h0 WHEN 1 THEN h1 WHEN 2 THEN h2 WHEN 3 THEN h3 ELSE h4 END
+SELECT t, 1, c.col_idx, CASE c.col_idx WHEN 0 THEN h0 WHEN 1 THEN h1 WHEN 2 THEN h2 WHEN 3 THEN h3 ELSE h4 END
 FROM tabs CROSS JOIN (VALUES (0),(1),(2),(3),(4)) AS c(col_idx)
 UNION ALL
-SELECT table_index, CAST(table_index % 5 + 1 AS INT), r + 2, c.col_idx,
-       CASE c.col_idx WHEN 0 THEN code WHEN 1 THEN descr WHEN 2 THEN volt WHEN 3 THEN lum ELSE va END
-FROM base CROSS JOIN (VALUES (0),(1),(2),(3),(4)) AS c(col_idx)
+SELECT t, r + 2, c.col_idx, CASE c.col_idx WHEN 0 THEN code WHEN 1 THEN descr WHEN 2 THEN volt WHEN 3 THEN lum ELSE va END
+FROM base CROSS JOIN (VALUES (0),(1),(2),(3),(4)) AS c(col_idx))
+SELECT CAST(floor(t / 4) AS BIGINT) AS document_id, t % 4 AS table_index, CAST(t % 3 + 1 AS INT) AS page_number, row_idx, col_idx, text FROM placed
 """
 
 VIEWS["fx_words"] = """
@@ -145,20 +144,19 @@ FROM events
 """
 
 VIEWS["fx_lines"] = """
-WITH t AS (SELECT table_index, row_idx, concat_ws(',', max(CASE WHEN col_idx=0 THEN text END), max(CASE WHEN col_idx=1 THEN text END), max(CASE WHEN col_idx=2 THEN text END), max(CASE WHEN col_idx=3 THEN text END), max(CASE WHEN col_idx=4 THEN text END)) AS line
-           FROM fx_cells GROUP BY table_index, row_idx),
-n AS (SELECT table_index, count(*) AS n_rows FROM t GROUP BY table_index),
+WITH t AS (SELECT document_id, table_index, row_idx, concat_ws(',', max(CASE WHEN col_idx=0 THEN text END), max(CASE WHEN col_idx=1 THEN text END), max(CASE WHEN col_idx=2 THEN text END), max(CASE WHEN col_idx=3 THEN text END), max(CASE WHEN col_idx=4 THEN text END)) AS line
+           FROM fx_cells GROUP BY document_id, table_index, row_idx),
+n AS (SELECT document_id, table_index, document_id * 4 + table_index AS g, count(*) AS n_rows FROM t GROUP BY document_id, table_index),
 u AS (
- SELECT table_index, 0 AS k, 0 AS j, concat('=== PAGE ', CAST(table_index % 4 + 1 AS STRING), ' ===') AS line FROM n
- UNION ALL SELECT table_index, 1, 0, '============================================================' FROM n
- UNION ALL SELECT n.table_index, 2, CAST(x.j AS INT), concat('context line ', CAST(x.j AS STRING)) FROM n CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15),(16)) AS x(j) WHERE n.table_index % 2 = 0
- UNION ALL SELECT table_index, 3, 0, CASE WHEN table_index % 3 = 0 THEN 'LIGHTING FIXTURE SCHEDULE' ELSE '-- rule' END FROM n
- UNION ALL SELECT table_index, 4, 0, concat('TABLE ', CAST(table_index + 1 AS STRING), ' (', CAST(n_rows AS STRING), ' rows)') FROM n
- UNION ALL SELECT table_index, 5, 0, '============================================================' FROM n
- UNION ALL SELECT table_index, 6, row_idx, line FROM t
- UNION ALL SELECT table_index, 7, 0, '============================================================' FROM n)
-SELECT CAST(floor(table_index / 4) AS BIGINT) AS document_id,
-       CAST(row_number() OVER (PARTITION BY CAST(floor(table_index / 4) AS BIGINT) ORDER BY table_index, k, j) AS INT) AS line_no, line FROM u
+ SELECT document_id, table_index, 0 AS k, 0 AS j, concat('=== PAGE ', CAST(table_index + 1 AS STRING), ' ===') AS line FROM n
+ UNION ALL SELECT document_id, table_index, 1, 0, '============================================================' FROM n
+ UNION ALL SELECT n.document_id, n.table_index, 2, CAST(x.j AS INT), concat('context line ', CAST(x.j AS STRING)) FROM n CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15),(16)) AS x(j) WHERE n.table_index % 2 = 0
+ UNION ALL SELECT document_id, table_index, 3, 0, CASE WHEN g % 3 = 0 THEN 'LIGHTING FIXTURE SCHEDULE' ELSE '-- rule' END FROM n
+ UNION ALL SELECT document_id, table_index, 4, 0, concat('TABLE ', CAST(g + 1 AS STRING), ' (', CAST(n_rows AS STRING), ' rows)') FROM n
+ UNION ALL SELECT document_id, table_index, 5, 0, '============================================================' FROM n
+ UNION ALL SELECT document_id, table_index, 6, row_idx, line FROM t
+ UNION ALL SELECT document_id, table_index, 7, 0, '============================================================' FROM n)
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY table_index, k, j) AS INT) AS line_no, line FROM u
 """
 
 # Pages with an index line each, a file name, and some documents of one page.
@@ -173,11 +171,11 @@ FROM fx_pages p
 
 # A block graph made from the grids: tables, cells (1-based, some spanning) and words.
 VIEWS["fx_blocks"] = """
-SELECT concat('t', CAST(table_index AS STRING)) AS id, 'TABLE' AS kind, '' AS text, 0 AS row_index, 0 AS col_index, 1 AS row_span, 1 AS col_span, '' AS parent FROM fx_cells WHERE row_idx = 0 AND col_idx = 0
+SELECT concat('t', CAST(document_id AS STRING), '_', CAST(table_index AS STRING)) AS id, 'TABLE' AS kind, '' AS text, 0 AS row_index, 0 AS col_index, 1 AS row_span, 1 AS col_span, '' AS parent FROM fx_cells WHERE row_idx = 0 AND col_idx = 0
 UNION ALL
-SELECT concat('c', CAST(table_index AS STRING), '_', CAST(row_idx AS STRING), '_', CAST(col_idx AS STRING)), 'CELL', '', row_idx + 1, col_idx + 1, 1, CASE WHEN row_idx = 0 AND col_idx = 0 THEN 3 ELSE 1 END, concat('t', CAST(table_index AS STRING)) FROM fx_cells WHERE row_idx > 0 OR col_idx = 0 OR col_idx > 2
+SELECT concat('c', CAST(document_id AS STRING), '_', CAST(table_index AS STRING), '_', CAST(row_idx AS STRING), '_', CAST(col_idx AS STRING)), 'CELL', '', row_idx + 1, col_idx + 1, 1, CASE WHEN row_idx = 0 AND col_idx = 0 THEN 3 ELSE 1 END, concat('t', CAST(document_id AS STRING), '_', CAST(table_index AS STRING)) FROM fx_cells WHERE row_idx > 0 OR col_idx = 0 OR col_idx > 2
 UNION ALL
-SELECT concat('w', CAST(table_index AS STRING), '_', CAST(row_idx AS STRING), '_', CAST(col_idx AS STRING)), CASE WHEN table_index % 5 = 3 AND col_idx = 4 THEN 'SELECTION' ELSE 'WORD' END, text, 0, 0, 1, 1, concat('c', CAST(table_index AS STRING), '_', CAST(row_idx AS STRING), '_', CAST(col_idx AS STRING)) FROM fx_cells WHERE text <> ''
+SELECT concat('w', CAST(document_id AS STRING), '_', CAST(table_index AS STRING), '_', CAST(row_idx AS STRING), '_', CAST(col_idx AS STRING)), CASE WHEN table_index % 5 = 3 AND col_idx = 4 THEN 'SELECTION' ELSE 'WORD' END, text, 0, 0, 1, 1, concat('c', CAST(document_id AS STRING), '_', CAST(table_index AS STRING), '_', CAST(row_idx AS STRING), '_', CAST(col_idx AS STRING)) FROM fx_cells WHERE text <> ''
 """
 
 NEEDS = {

@@ -11,7 +11,6 @@ from planweave.plans.pages import CLASSIFY_CTES, HEIGHT, WIDTH, classified, q, s
 
 #: Codes that the takeoff looks for, longest first and then in order.
 CODES = ("AA1", "A1", "B0", "B1", "B2", "B3")
-SHEETS = ("E100", "E101", "E102", "E103", "E104", "E105", "E106")
 
 QUERIES, SQL = {}, {}
 
@@ -38,7 +37,7 @@ def sql_fit(cell: str, aliases) -> str:
 
 
 def sql_scored(name: str, source: str) -> str:
-    """name over source(table_index, row_idx, cells, ...): c_<field> (from 0), score, n_fields."""
+    """name over source(document_id, table_index, row_idx, cells, ...): c_<field> (from 0), score, n_fields."""
     out = f"{name}_0 AS (SELECT *, list_transform(cells, lambda c: lower(trim(regexp_replace(c, '\\s+', ' ', 'g')))) AS low, CAST([] AS INTEGER[]) AS used FROM {source})"
     for k, (field, aliases) in enumerate(R.ALIASES):
         pick = f"list_filter(CAST(range(1, len(low) + 1) AS INTEGER[]), lambda i: low[i] <> '' AND NOT list_contains(used, i) AND {sql_fit('low[i]', aliases)})[1]"
@@ -48,40 +47,40 @@ def sql_scored(name: str, source: str) -> str:
     return out + f",\n{name} AS (SELECT * EXCLUDE (used, low), {worth} AS score, {n} AS n_fields FROM {name}_9)"
 
 
-ROWS = f"{with_views('fx_cells')}, rows_t AS (SELECT table_index, page_number, row_idx, list(coalesce(text, '') ORDER BY col_idx) AS cells FROM fx_cells GROUP BY ALL)"
+ROWS = f"{with_views('fx_cells')}, rows_t AS (SELECT document_id, table_index, page_number, row_idx, list(coalesce(text, '') ORDER BY col_idx) AS cells FROM fx_cells GROUP BY ALL)"
 
 
 def sql_header(source: str) -> str:
     """header over source: best of the first ten rows and their pairs."""
-    return f"""h_num AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_index ORDER BY row_idx) AS k FROM {source}) WHERE k <= 10),
-h_pair AS (SELECT *, lead(cells) OVER (PARTITION BY table_index ORDER BY row_idx) AS nxt FROM h_num),
+    return f"""h_num AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, table_index ORDER BY row_idx) AS k FROM {source}) WHERE k <= 10),
+h_pair AS (SELECT *, lead(cells) OVER (PARTITION BY document_id, table_index ORDER BY row_idx) AS nxt FROM h_num),
 h_try AS (
-  SELECT table_index, row_idx, cells, FALSE AS merged FROM h_num UNION ALL
-  SELECT table_index, row_idx, list_transform(CAST(range(1, greatest(len(cells), len(nxt)) + 1) AS INTEGER[]), lambda i: trim(concat(trim(coalesce(cells[i], '')), CASE WHEN trim(coalesce(cells[i], '')) <> '' AND trim(coalesce(nxt[i], '')) <> '' THEN ' ' ELSE '' END, trim(coalesce(nxt[i], '')))))  AS cells, TRUE FROM h_pair WHERE nxt IS NOT NULL),
+  SELECT document_id, table_index, row_idx, cells, FALSE AS merged FROM h_num UNION ALL
+  SELECT document_id, table_index, row_idx, list_transform(CAST(range(1, greatest(len(cells), len(nxt)) + 1) AS INTEGER[]), lambda i: trim(concat(trim(coalesce(cells[i], '')), CASE WHEN trim(coalesce(cells[i], '')) <> '' AND trim(coalesce(nxt[i], '')) <> '' THEN ' ' ELSE '' END, trim(coalesce(nxt[i], '')))))  AS cells, TRUE FROM h_pair WHERE nxt IS NOT NULL),
 {sql_scored("h_score", "h_try")},
-header AS (SELECT * EXCLUDE (row_idx, cells, n), row_idx AS header_idx, cells AS header FROM (SELECT *, row_number() OVER (PARTITION BY table_index ORDER BY score DESC, merged, row_idx) AS n FROM h_score WHERE score > 0) WHERE n = 1 AND c_code IS NOT NULL)"""
+header AS (SELECT * EXCLUDE (row_idx, cells, n), row_idx AS header_idx, cells AS header FROM (SELECT *, row_number() OVER (PARTITION BY document_id, table_index ORDER BY score DESC, merged, row_idx) AS n FROM h_score WHERE score > 0) WHERE n = 1 AND c_code IS NOT NULL)"""
 
 
-@add("header_score", f"{ROWS}, {sql_scored('scored', 'rows_t')} SELECT table_index, row_idx, score, n_fields, c_code, c_description, c_voltage, c_lumens, c_max_va FROM scored")
+@add("header_score", f"{ROWS}, {sql_scored('scored', 'rows_t')} SELECT document_id, table_index, row_idx, score, n_fields, c_code, c_description, c_voltage, c_lumens, c_max_va FROM scored")
 def _(s, d):
-    return grid.score_rows(rows(s, d)).select("table_index", "row_idx", "score", "n_fields", "c_code", "c_description", "c_voltage", "c_lumens", "c_max_va")
+    return grid.score_rows(rows(s, d)).select("document_id", "table_index", "row_idx", "score", "n_fields", "c_code", "c_description", "c_voltage", "c_lumens", "c_max_va")
 
 
-@add("header_find", f"{ROWS}, {sql_header('rows_t')} SELECT table_index, header_idx, merged, score, n_fields, c_code FROM header")
+@add("header_find", f"{ROWS}, {sql_header('rows_t')} SELECT document_id, table_index, header_idx, merged, score, n_fields, c_code FROM header")
 def _(s, d):
-    return grid.find_header(rows(s, d)).select("table_index", "header_idx", "merged", "score", "n_fields", "c_code")
+    return grid.find_header(rows(s, d)).select("document_id", "table_index", "header_idx", "merged", "score", "n_fields", "c_code")
 
 
-_CLASSIFY = f"""{ROWS}, five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_index ORDER BY row_idx) AS k FROM rows_t) WHERE k <= 5),
+_CLASSIFY = f"""{ROWS}, five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, table_index ORDER BY row_idx) AS k FROM rows_t) WHERE k <= 5),
 {sql_scored("five_score", "five")},
-best5 AS (SELECT table_index, score AS s5, n_fields AS n5 FROM (SELECT *, row_number() OVER (PARTITION BY table_index ORDER BY score DESC, k) AS n FROM five_score) WHERE n = 1),
-best3 AS (SELECT table_index, score AS s3, n_fields AS n3, c_voltage IS NOT NULL OR c_lumens IS NOT NULL OR c_cct IS NOT NULL OR c_dimming IS NOT NULL OR c_max_va IS NOT NULL AS electrical
-          FROM (SELECT *, row_number() OVER (PARTITION BY table_index ORDER BY score DESC, k) AS n FROM five_score WHERE k <= 3) WHERE n = 1),
-grids AS (SELECT table_index, page_number, list(cells ORDER BY row_idx) AS g FROM rows_t GROUP BY ALL),
+best5 AS (SELECT document_id, table_index, score AS s5, n_fields AS n5 FROM (SELECT *, row_number() OVER (PARTITION BY document_id, table_index ORDER BY score DESC, k) AS n FROM five_score) WHERE n = 1),
+best3 AS (SELECT document_id, table_index, score AS s3, n_fields AS n3, c_voltage IS NOT NULL OR c_lumens IS NOT NULL OR c_cct IS NOT NULL OR c_dimming IS NOT NULL OR c_max_va IS NOT NULL AS electrical
+          FROM (SELECT *, row_number() OVER (PARTITION BY document_id, table_index ORDER BY score DESC, k) AS n FROM five_score WHERE k <= 3) WHERE n = 1),
+grids AS (SELECT document_id, table_index, page_number, list(cells ORDER BY row_idx) AS g FROM rows_t GROUP BY ALL),
 texts AS (SELECT *, lower(trim(regexp_replace(array_to_string(list_transform(g[1:3], lambda r: array_to_string(r, ' ')), ' '), '\\s+', ' ', 'g'))) AS t,
           list_filter(list_transform(flatten(g[1:3]), lambda c: regexp_extract(c, {q(R.LABEL)}, 1, 'i')), lambda x: x <> '')[1] AS raw_label FROM grids),
 labelled AS (SELECT *, coalesce(array_to_string(list_transform(string_split(lower(raw_label), ' '), lambda w: upper(w[1]) || w[2:]), ' '), '') AS label FROM texts),
-gated AS (SELECT *, {sql_any("lower(label || ' ' || substr(t, 1, 200))", R.TITLE_GATE)} AS gate FROM labelled JOIN best5 USING (table_index) JOIN best3 USING (table_index)),
+gated AS (SELECT *, {sql_any("lower(label || ' ' || substr(t, 1, 200))", R.TITLE_GATE)} AS gate FROM labelled JOIN best5 USING (document_id, table_index) JOIN best3 USING (document_id, table_index)),
 verdicts AS (
   SELECT *, CASE WHEN {sql_any("t", R.POSITIVE_WORDS)} AND gate THEN 1
     WHEN {sql_any("t", R.NEGATIVE_WORDS)} THEN CASE WHEN s5 >= 8 AND n5 >= 4 AND gate THEN 1 ELSE 2 END
@@ -90,7 +89,7 @@ verdicts AS (
     WHEN {sql_any("t", R.BROAD_NEGATIVE_WORDS)} THEN 5
     WHEN s3 >= 3 AND n3 >= 2 AND electrical AND gate THEN 3 ELSE 5 END AS v FROM gated),
 tables_t AS (
-  SELECT table_index, page_number, len(g) AS n_rows, CASE v WHEN 1 THEN 'LIGHT_FIXTURE_SCHEDULE' WHEN 3 THEN 'LIGHT_FIXTURE_SCHEDULE' WHEN 2 THEN 'PANEL_SCHEDULE' ELSE 'OTHER' END AS classification,
+  SELECT document_id, table_index, page_number, len(g) AS n_rows, CASE v WHEN 1 THEN 'LIGHT_FIXTURE_SCHEDULE' WHEN 3 THEN 'LIGHT_FIXTURE_SCHEDULE' WHEN 2 THEN 'PANEL_SCHEDULE' ELSE 'OTHER' END AS classification,
          coalesce(nullif(label, ''), CASE v WHEN 1 THEN 'Light Fixture Schedule' WHEN 2 THEN 'Panel Schedule' WHEN 5 THEN 'Other' ELSE 'Fixture Schedule' END) AS header_label, v IN (1, 3) AS is_fixture_schedule FROM verdicts)"""
 
 
@@ -99,44 +98,57 @@ def _(s, d):
     return grid.classify_tables(rows(s, d))
 
 
-@add("table_filter", f"""{_CLASSIFY} SELECT table_index, CASE WHEN {sql_any("t", R.POSITIVE_WORDS)} THEN 'positive' WHEN {sql_any("t", R.NEGATIVE_WORDS)} THEN 'negative'
+@add("table_filter", f"""{_CLASSIFY} SELECT document_id, table_index, CASE WHEN {sql_any("t", R.POSITIVE_WORDS)} THEN 'positive' WHEN {sql_any("t", R.NEGATIVE_WORDS)} THEN 'negative'
   WHEN contains(t, 'fixture schedule') THEN CASE WHEN s5 >= 3 THEN 'positive' ELSE 'negative' END WHEN regexp_matches(t, {q(R.PANEL_LABEL)}, 'i') THEN 'negative' ELSE 'ambiguous' END AS verdict FROM gated""")
 def _(s, d):
     return grid.filter_verdict(rows(s, d))
 
 
-@add("best_schedule", f"{_CLASSIFY} SELECT page_number, table_index, n_rows FROM (SELECT *, row_number() OVER (PARTITION BY page_number ORDER BY n_rows DESC, table_index) AS n FROM tables_t WHERE is_fixture_schedule AND n_rows >= 2) WHERE n = 1")
+@add("best_schedule", f"""{_CLASSIFY}, fixture_tables AS (SELECT * FROM tables_t WHERE is_fixture_schedule AND n_rows >= 2)
+SELECT t.document_id, t.table_index, t.page_number, t.n_rows, p.pages FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n_rows DESC, table_index) AS n FROM fixture_tables) t
+JOIN (SELECT document_id, list_sort(list(DISTINCT page_number)) AS pages FROM fixture_tables GROUP BY document_id) p USING (document_id) WHERE n = 1""")
 def _(s, d):
     return grid.best_schedule(grid.classify_tables(rows(s, d)))
 
 
-@add("tables_by_label", f"{_CLASSIFY}, placed AS (SELECT *, row_number() OVER (PARTITION BY page_number ORDER BY table_index) - 1 AS place FROM tables_t) SELECT header_label, count(*) AS tables, list(table_index ORDER BY page_number, place) AS table_indexes FROM placed GROUP BY header_label")
+@add("tables_by_label", f"""{_CLASSIFY}, placed AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY table_index) - 1 AS place FROM tables_t)
+SELECT document_id, header_label, count(*) AS tables, list(table_index ORDER BY page_number, place) AS table_indexes FROM placed GROUP BY document_id, header_label""")
 def _(s, d):
     return grid.by_label(grid.classify_tables(rows(s, d)))
 
 
-@add("page_table_counts", f"{_CLASSIFY} SELECT page_number, count(*) AS tables, count(*) FILTER (WHERE is_fixture_schedule) AS fixture_tables FROM tables_t GROUP BY page_number")
+@add("page_table_counts", f"{_CLASSIFY} SELECT document_id, page_number, count(*) AS tables, count(*) FILTER (WHERE is_fixture_schedule) AS fixture_tables FROM tables_t GROUP BY ALL")
 def _(s, d):
-    return grid.classify_tables(rows(s, d)).groupBy("page_number").agg(F.count(F.lit(1)).alias("tables"), F.count_if("is_fixture_schedule").alias("fixture_tables"))
+    return grid.page_counts(grid.classify_tables(rows(s, d)))
 
 
-@add("relevant_tables", f"{_CLASSIFY}, {CLASSIFY_CTES.strip().replace('fx_sheets', 'sheets_v')} , pages_p AS (SELECT DISTINCT page_number FROM classified WHERE is_relevant AND document_id = 3) SELECT t.table_index FROM tables_t t WHERE n_rows >= 2 AND (page_number IN (SELECT page_number FROM pages_p) OR NOT EXISTS (SELECT 1 FROM pages_p))".replace("WITH RECURSIVE ", "WITH RECURSIVE " + with_views("fx_sheets")[len("WITH RECURSIVE "):] + ", sheets_v AS (SELECT * FROM fx_sheets), ", 1))
+#: Tables and classified pages in one statement.
+_ON_PAGES = f"{_CLASSIFY}, {CLASSIFY_CTES.strip()}".replace("WITH RECURSIVE ", with_views("fx_sheets") + ",\n", 1)
+
+
+@add("relevant_tables", f"""{_ON_PAGES}, pages_p AS (SELECT DISTINCT document_id, page_number FROM classified WHERE is_relevant)
+SELECT t.document_id, t.table_index FROM tables_t t WHERE n_rows >= 2 AND ((t.document_id, t.page_number) IN (SELECT (document_id, page_number) FROM pages_p) OR t.document_id NOT IN (SELECT document_id FROM pages_p))""")
+def _(s, d):
+    return grid.relevant_tables(grid.classify_tables(rows(s, d)), classified(s, d).filter("is_relevant")).select("document_id", "table_index")
+
+
+@add("tables_with_pages", f"""{_ON_PAGES} SELECT t.document_id, t.table_index, t.page_number, t.header_label, c.page_type, nullif(c.sheet_code, '') AS sheet_code
+FROM tables_t t LEFT JOIN classified c ON c.document_id = t.document_id AND c.page_number = t.page_number""")
 def _(s, d):
-    pages = classified(s, d).filter("is_relevant and document_id = 3")
-    return grid.relevant_tables(grid.classify_tables(rows(s, d)), pages).select("table_index")
+    return grid.with_pages(grid.classify_tables(rows(s, d)), classified(s, d)).select("document_id", "table_index", "page_number", "header_label", "page_type", "sheet_code")
 
 
 _HW = ", ".join(q(w) for w in R.HEADER_WORDS)
 _NOTECELL = lambda c: f"(trim({c}) <> '' AND (regexp_matches({c}, {q(R.NOTE)}, 'i') OR (length(trim({c})) > 80 AND len(regexp_extract_all({c}, '[.!?]')) > 1)))"
 _STRIP = f"""{ROWS},
-sized AS (SELECT *, count(*) OVER (PARTITION BY table_index) AS size, len(list_filter(cells, lambda c: trim(c) <> '' AND NOT {_NOTECELL("c")})) = 0 AS noise FROM rows_t),
-led AS (SELECT *, min(CASE WHEN NOT noise THEN row_idx END) OVER (PARTITION BY table_index) AS lead_idx FROM sized),
-kept1 AS (SELECT table_index, page_number, row_idx, size, CASE WHEN row_idx = lead_idx AND len(list_filter(cells, lambda c: NOT {_NOTECELL("c")})) > 0 THEN list_filter(cells, lambda c: NOT {_NOTECELL("c")}) ELSE cells END AS cells FROM led WHERE size >= 2 AND row_idx >= lead_idx),
+sized AS (SELECT *, count(*) OVER (PARTITION BY document_id, table_index) AS size, len(list_filter(cells, lambda c: trim(c) <> '' AND NOT {_NOTECELL("c")})) = 0 AS noise FROM rows_t),
+led AS (SELECT *, min(CASE WHEN NOT noise THEN row_idx END) OVER (PARTITION BY document_id, table_index) AS lead_idx FROM sized),
+kept1 AS (SELECT document_id, table_index, page_number, row_idx, size, CASE WHEN row_idx = lead_idx AND len(list_filter(cells, lambda c: NOT {_NOTECELL("c")})) > 0 THEN list_filter(cells, lambda c: NOT {_NOTECELL("c")}) ELSE cells END AS cells FROM led WHERE size >= 2 AND row_idx >= lead_idx),
 {sql_header("kept1")},
-kept2 AS (SELECT k.*, row_number() OVER w AS pos, count(*) OVER (PARTITION BY table_index) AS remaining FROM kept1 k LEFT JOIN (SELECT table_index, header_idx FROM header) h USING (table_index) WHERE header_idx IS NULL OR row_idx >= header_idx WINDOW w AS (PARTITION BY table_index ORDER BY row_idx)),
+kept2 AS (SELECT k.*, row_number() OVER w AS pos, count(*) OVER (PARTITION BY document_id, table_index) AS remaining FROM kept1 k LEFT JOIN (SELECT document_id, table_index, header_idx FROM header) h USING (document_id, table_index) WHERE header_idx IS NULL OR row_idx >= header_idx WINDOW w AS (PARTITION BY document_id, table_index ORDER BY row_idx)),
 idle AS (SELECT *, len(list_filter(cells, lambda c: trim(c) <> '')) = 0 OR (trim(cells[1]) <> '' AND regexp_matches(trim(cells[1]), {q(R.NOTE)}, 'i')) OR lower(trim(cells[1])) IN ({_HW}) AS idle FROM kept2),
-lasted AS (SELECT *, max(CASE WHEN pos = 1 OR NOT idle THEN pos END) OVER (PARTITION BY table_index) AS last_pos FROM idle)
-SELECT table_index, page_number, row_idx, cells FROM lasted WHERE remaining < 3 OR pos <= last_pos UNION ALL SELECT table_index, page_number, row_idx, cells FROM sized WHERE size < 2"""
+lasted AS (SELECT *, max(CASE WHEN pos = 1 OR NOT idle THEN pos END) OVER (PARTITION BY document_id, table_index) AS last_pos FROM idle)
+SELECT document_id, table_index, page_number, row_idx, cells FROM lasted WHERE remaining < 3 OR pos <= last_pos UNION ALL SELECT document_id, table_index, page_number, row_idx, cells FROM sized WHERE size < 2"""
 
 
 @add("strip_rows", _STRIP)
@@ -147,19 +159,19 @@ def _(s, d):
 _DATA = lambda c: f"({c} <> '' AND lower({c}) NOT IN ({_HW}) AND (length({c}) <= 3 OR regexp_matches({c}, '\\d')))"
 
 
-@add("data_rows", f"{ROWS} SELECT table_index, row_idx FROM rows_t WHERE {_DATA('trim(cells[1])')}")
+@add("data_rows", f"{ROWS} SELECT document_id, table_index, row_idx FROM rows_t WHERE {_DATA('trim(cells[1])')}")
 def _(s, d):
-    return rows(s, d).filter(grid.data_row(F.get("cells", F.lit(0)))).select("table_index", "row_idx")
+    return rows(s, d).filter(grid.data_row(F.get("cells", F.lit(0)))).select("document_id", "table_index", "row_idx")
 
 
 _CLEAN = f"""CASE WHEN NOT last_is_code AND lastv <> '' AND length(lastv) <= 6 AND regexp_matches(lastv, {q(R.SHORT_CODE)}) AND lower(lastv) NOT IN ({_HW}) AND length(code) > length(lastv) THEN lastv
   WHEN length(code) > 6 AND regexp_extract(code, {q(R.LEADING_CODE)}, 1) <> '' THEN regexp_extract(code, {q(R.LEADING_CODE)}, 1) ELSE code END"""
 
 
-@add("code_clean", f"{ROWS} SELECT table_index, row_idx, {_CLEAN} AS code FROM (SELECT table_index, row_idx, trim(cells[1]) AS code, trim(cells[len(cells)]) AS lastv, FALSE AS last_is_code FROM rows_t) WHERE code <> ''")
+@add("code_clean", f"{ROWS} SELECT document_id, table_index, row_idx, {_CLEAN} AS code FROM (SELECT document_id, table_index, row_idx, trim(cells[1]) AS code, trim(cells[len(cells)]) AS lastv, FALSE AS last_is_code FROM rows_t) WHERE code <> ''")
 def _(s, d):
     code, last = F.trim(F.get("cells", F.lit(0))), F.trim(F.element_at("cells", -1))
-    return rows(s, d).filter(code != "").select("table_index", "row_idx", grid.clean_code(code, last, F.lit(False)).alias("code"))
+    return rows(s, d).filter(code != "").select("document_id", "table_index", "row_idx", grid.clean_code(code, last, F.lit(False)).alias("code"))
 
 
 def _embed_sql() -> str:
@@ -174,19 +186,21 @@ def _embed_sql() -> str:
 
 
 _FIELD = lambda f, cells="cells": f"coalesce(trim({cells}[c_{f} + 1]), '')"
-_PARSED = f"""{ROWS}, {sql_header("rows_t")},
-embed_0 AS (SELECT h.*, r.page_number FROM header h JOIN (SELECT DISTINCT table_index, page_number FROM rows_t) r USING (table_index)){_embed_sql()},
-synthetic AS (SELECT table_index, page_number, -1 AS row_idx, list_transform(CAST(range(0, len(header)) AS INTEGER[]), lambda i: CASE {' '.join(f"WHEN i = c_{f} AND e_{f} <> '' THEN e_{f}" for f in R.FIELDS)} ELSE '' END) AS cells FROM embed_9),
+_REFUSED = f"""{sql_any("t", R.NEGATIVE_WORDS)} OR (contains(t, 'fixture schedule') AND s5 < 3) OR (NOT contains(t, 'fixture schedule') AND regexp_matches(t, {q(R.PANEL_LABEL)}, 'i'))"""
+_PARSED = f"""{_CLASSIFY}, refused AS (SELECT document_id, table_index FROM gated WHERE NOT {sql_any("t", R.POSITIVE_WORDS)} AND ({_REFUSED})),
+rows_ok AS (SELECT r.* FROM rows_t r WHERE NOT EXISTS (SELECT 1 FROM refused x WHERE x.document_id = r.document_id AND x.table_index = r.table_index)), {sql_header("rows_ok")},
+embed_0 AS (SELECT h.*, r.page_number FROM header h JOIN (SELECT DISTINCT document_id, table_index, page_number FROM rows_ok) r USING (document_id, table_index)){_embed_sql()},
+synthetic AS (SELECT document_id, table_index, page_number, -1 AS row_idx, list_transform(CAST(range(0, len(header)) AS INTEGER[]), lambda i: CASE {' '.join(f"WHEN i = c_{f} AND e_{f} <> '' THEN e_{f}" for f in R.FIELDS)} ELSE '' END) AS cells FROM embed_9),
 body AS (
-  SELECT r.table_index, r.page_number, r.row_idx, r.cells FROM rows_t r JOIN header h USING (table_index) WHERE r.row_idx > h.header_idx + CAST(h.merged AS INTEGER)
+  SELECT r.document_id, r.table_index, r.page_number, r.row_idx, r.cells FROM rows_ok r JOIN header h USING (document_id, table_index) WHERE r.row_idx > h.header_idx + CAST(h.merged AS INTEGER)
   UNION ALL SELECT * FROM synthetic WHERE len(list_filter(cells, lambda c: c <> '')) > 0),
 records AS (
-  SELECT b.table_index, page_number, row_idx, {_FIELD("code")} AS code, trim(cells[len(cells)]) AS lastv, len(cells) - 1 = c_code AS last_is_code, cells, header, {", ".join(f"{_FIELD(f)} AS {f}" for f in R.FIELDS if f != "code")}
-  FROM body b JOIN header h USING (table_index)),
+  SELECT b.document_id, b.table_index, page_number, row_idx, {_FIELD("code")} AS code, trim(cells[len(cells)]) AS lastv, len(cells) - 1 = c_code AS last_is_code, cells, header, {", ".join(f"{_FIELD(f)} AS {f}" for f in R.FIELDS if f != "code")}
+  FROM body b JOIN header h USING (document_id, table_index)),
 coded AS (SELECT * EXCLUDE (code), {_CLEAN} AS code FROM records WHERE {_DATA("code")}),
-judged AS (SELECT *, count(*) OVER (PARTITION BY table_index) > 5 AND avg(CASE WHEN regexp_matches(code, '^[0-9]+$') THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY table_index) > 0.6 AS panel FROM coded),
+judged AS (SELECT *, count(*) OVER (PARTITION BY document_id, table_index) > 5 AND avg(CASE WHEN regexp_matches(code, '^[0-9]+$') THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY document_id, table_index) > 0.6 AS panel FROM coded),
 fixtures_t AS (SELECT * FROM judged WHERE NOT panel)"""
-_FX = "table_index, page_number, row_idx, code, description, mounting, fixture_style, voltage, lumens, cct, dimming, max_va"
+_FX = "document_id, table_index, page_number, row_idx, code, description, mounting, fixture_style, voltage, lumens, cct, dimming, max_va"
 
 
 @add("parse_fixtures", f"{_PARSED} SELECT {_FX} FROM fixtures_t")
@@ -194,28 +208,28 @@ def _(s, d):
     return grid.fixtures(rows(s, d)).drop("raw_data")
 
 
-@add("fixture_raw_data", f"""{_PARSED}, cells_x AS (SELECT table_index, row_idx, unnest(cells) AS v, generate_subscripts(cells, 1) AS i, header FROM fixtures_t),
-named AS (SELECT table_index, row_idx, i, trim(v) AS value, coalesce(nullif(trim(header[i]), ''), concat('Column_', i)) AS name FROM cells_x)
-SELECT table_index, row_idx, name, value FROM (SELECT *, row_number() OVER (PARTITION BY table_index, row_idx, name ORDER BY i DESC) AS n FROM named) WHERE n = 1""")
+@add("fixture_raw_data", f"""{_PARSED}, cells_x AS (SELECT document_id, table_index, row_idx, unnest(cells) AS v, generate_subscripts(cells, 1) AS i, header FROM fixtures_t),
+named AS (SELECT document_id, table_index, row_idx, i, trim(v) AS value, coalesce(nullif(trim(header[i]), ''), concat('Column_', i)) AS name FROM cells_x)
+SELECT document_id, table_index, row_idx, name, value FROM (SELECT *, row_number() OVER (PARTITION BY document_id, table_index, row_idx, name ORDER BY i DESC) AS n FROM named) WHERE n = 1""")
 def _(s, d):
-    return grid.fixtures(rows(s, d)).select("table_index", "row_idx", F.explode("raw_data").alias("name", "value"))
+    return grid.fixtures(rows(s, d)).select("document_id", "table_index", "row_idx", F.explode("raw_data").alias("name", "value"))
 
 
-@add("panel_reject", f"{_PARSED} SELECT table_index, count(*) AS records FROM judged WHERE NOT panel GROUP BY table_index")
+@add("panel_reject", f"{_PARSED} SELECT document_id, table_index, count(*) AS records FROM judged WHERE NOT panel GROUP BY document_id, table_index")
 def _(s, d):
-    return grid.fixtures(rows(s, d)).groupBy("table_index").agg(F.count(F.lit(1)).alias("records"))
+    return grid.fixtures(rows(s, d)).groupBy("document_id", "table_index").agg(F.count(F.lit(1)).alias("records"))
 
 
 @add("fixtures_dedup", f"""{_PARSED} SELECT {_FX} FROM fixtures_t WHERE trim(code) = '' UNION ALL
-SELECT {_FX} FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(code)) ORDER BY page_number, table_index, row_idx) AS n FROM fixtures_t WHERE trim(code) <> '') WHERE n = 1""")
+SELECT {_FX} FROM (SELECT *, row_number() OVER (PARTITION BY document_id, lower(trim(code)) ORDER BY page_number, table_index, row_idx) AS n FROM fixtures_t WHERE trim(code) <> '') WHERE n = 1""")
 def _(s, d):
-    return grid.first_of_code(grid.fixtures(rows(s, d)).drop("raw_data"), ("page_number", "table_index", "row_idx"))
+    return grid.first_of_code(grid.fixtures(rows(s, d)).drop("raw_data"))
 
 
-@add("fixtures_not_known", f"{_PARSED} SELECT {_FX} FROM fixtures_t f WHERE NOT EXISTS (SELECT 1 FROM fixtures_t o WHERE o.page_number = 1 AND lower(trim(o.code)) = lower(trim(f.code)))")
+@add("fixtures_not_known", f"{_PARSED} SELECT {_FX} FROM fixtures_t f WHERE f.page_number > 1 AND NOT EXISTS (SELECT 1 FROM fixtures_t o WHERE o.document_id = f.document_id AND o.page_number = 1 AND lower(trim(o.code)) = lower(trim(f.code)))")
 def _(s, d):
-    found = grid.fixtures(rows(s, d)).drop("raw_data").withColumn("key", F.lower(F.trim("code")))
-    return found.join(found.filter("page_number = 1").select("key").distinct(), "key", "left_anti").drop("key")
+    found = grid.fixtures(rows(s, d)).drop("raw_data")
+    return grid.only_new(found.filter("page_number > 1"), found.filter("page_number = 1"))
 
 
 _BLOCKS = f"""{with_views("fx_blocks")},
@@ -236,10 +250,10 @@ def _(s, d):
 
 
 @add("tables_csv_lines", f"""{ROWS}, csv AS (
-  SELECT table_index, 0 AS part, -1 AS row_idx, concat('Table ', table_index + 1, ' (page ', page_number, ')') AS line FROM (SELECT DISTINCT table_index, page_number FROM rows_t)
-  UNION ALL SELECT table_index, 1, row_idx, array_to_string(list_transform(cells, lambda c: CASE WHEN regexp_matches(c, '[",\\n]') THEN concat('"', replace(c, '"', '""'), '"') ELSE c END), ',') FROM rows_t
-  UNION ALL SELECT DISTINCT table_index, 2, -1, '' FROM rows_t)
-SELECT row_number() OVER (ORDER BY table_index, part, row_idx) AS ord, line FROM csv""")
+  SELECT document_id, table_index, 0 AS part, -1 AS row_idx, concat('Table ', table_index + 1, ' (page ', page_number, ')') AS line FROM (SELECT DISTINCT document_id, table_index, page_number FROM rows_t)
+  UNION ALL SELECT document_id, table_index, 1, row_idx, array_to_string(list_transform(cells, lambda c: CASE WHEN regexp_matches(c, '[",\\n]') THEN concat('"', replace(c, '"', '""'), '"') ELSE c END), ',') FROM rows_t
+  UNION ALL SELECT DISTINCT document_id, table_index, 2, -1, '' FROM rows_t)
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY table_index, part, row_idx) AS ord, line FROM csv""")
 def _(s, d):
     from planweave.sources.files import csv_lines
 
@@ -305,52 +319,44 @@ _CH = lambda c: sql_any(f"lower({c})", R.CSV_HEADER_WORDS)
 _STOP = ", ".join(q(w) for w in R.CSV_STOP_WORDS)
 _QUOTE = "'^[''\"]+|[''\"]+$'"
 _CODES = f"""{with_views("fx_cells")},
-used AS (SELECT table_index, row_idx, col_idx, trim(coalesce(text, '')) AS text, max(trim(coalesce(text, '')) <> '') OVER (PARTITION BY table_index, col_idx) AS used FROM fx_cells),
-srows AS (SELECT table_index, row_idx, list(text ORDER BY col_idx) AS cells FROM used WHERE used GROUP BY ALL),
-shead AS (SELECT table_index, row_idx AS header_idx, cells FROM (SELECT *, row_number() OVER (PARTITION BY table_index ORDER BY len(list_filter(cells, lambda c: {_CH("c")})) DESC, k) AS n
-  FROM (SELECT *, row_number() OVER (PARTITION BY table_index ORDER BY row_idx) AS k FROM srows) WHERE k <= 5) WHERE n = 1),
-snames AS (SELECT table_index, header_idx, list_transform(CAST(range(1, len(cells) + 1) AS INTEGER[]), lambda i: CASE WHEN cells[i] = '' OR lower(cells[i]) = 'nan' THEN concat('Column_', i) ELSE cells[i] END) AS raw FROM shead),
-suniq AS (SELECT table_index, header_idx, list_transform(CAST(range(1, len(raw) + 1) AS INTEGER[]), lambda i: CASE WHEN len(list_filter(raw[1:i], lambda x: x = raw[i])) = 1 THEN raw[i] ELSE concat(raw[i], '_', len(list_filter(raw[1:i], lambda x: x = raw[i]))) END) AS names FROM snames),
+used AS (SELECT document_id, table_index, row_idx, col_idx, trim(coalesce(text, '')) AS text, max(trim(coalesce(text, '')) <> '') OVER (PARTITION BY document_id, table_index, col_idx) AS used FROM fx_cells),
+srows AS (SELECT document_id, table_index, row_idx, list(text ORDER BY col_idx) AS cells FROM used WHERE used GROUP BY ALL),
+shead AS (SELECT document_id, table_index, row_idx AS header_idx, cells FROM (SELECT *, row_number() OVER (PARTITION BY document_id, table_index ORDER BY len(list_filter(cells, lambda c: {_CH("c")})) DESC, k) AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY document_id, table_index ORDER BY row_idx) AS k FROM srows) WHERE k <= 5) WHERE n = 1),
+snames AS (SELECT document_id, table_index, header_idx, list_transform(CAST(range(1, len(cells) + 1) AS INTEGER[]), lambda i: CASE WHEN cells[i] = '' OR lower(cells[i]) = 'nan' THEN concat('Column_', i) ELSE cells[i] END) AS raw FROM shead),
+suniq AS (SELECT document_id, table_index, header_idx, list_transform(CAST(range(1, len(raw) + 1) AS INTEGER[]), lambda i: CASE WHEN len(list_filter(raw[1:i], lambda x: x = raw[i])) = 1 THEN raw[i] ELSE concat(raw[i], '_', len(list_filter(raw[1:i], lambda x: x = raw[i]))) END) AS names FROM snames),
 scols AS (SELECT *, coalesce(list_filter(CAST(range(1, len(names) + 1) AS INTEGER[]), lambda i: {sql_any("lower(names[i])", R.CSV_CODE_WORDS)})[1], 1) AS cc, coalesce(list_filter(CAST(range(1, len(names) + 1) AS INTEGER[]), lambda i: contains(lower(names[i]), 'desc'))[1], 2) AS dc FROM suniq),
 sdata AS (
-  SELECT table_index, row_idx, coalesce(cells[cc], '') AS c, CASE WHEN cells[len(cells)] <> '' AND lower(cells[len(cells)]) <> 'nan' THEN cells[len(cells)] ELSE coalesce(cells[len(cells) - 1], '') END AS alt,
-         CASE WHEN dc <= len(cells) THEN regexp_replace(cells[dc], {_QUOTE}, '', 'g') ELSE '{takeoff.NONE}' END AS d FROM srows JOIN scols USING (table_index) WHERE row_idx > header_idx),
-sfix AS (SELECT table_index, row_idx, regexp_replace(CASE WHEN alt <> '' AND length(alt) <= 6 AND NOT contains(alt, ' ') AND (length(c) > 6 OR contains(c, ' ')) THEN alt ELSE c END, {_QUOTE}, '', 'g') AS code, coalesce(nullif(d, ''), '{takeoff.NONE}') AS description FROM sdata),
+  SELECT document_id, table_index, row_idx, coalesce(cells[cc], '') AS c, CASE WHEN cells[len(cells)] <> '' AND lower(cells[len(cells)]) <> 'nan' THEN cells[len(cells)] ELSE coalesce(cells[len(cells) - 1], '') END AS alt,
+         CASE WHEN dc <= len(cells) THEN regexp_replace(cells[dc], {_QUOTE}, '', 'g') ELSE '{takeoff.NONE}' END AS d FROM srows JOIN scols USING (document_id, table_index) WHERE row_idx > header_idx),
+sfix AS (SELECT document_id, table_index, row_idx, regexp_replace(CASE WHEN alt <> '' AND length(alt) <= 6 AND NOT contains(alt, ' ') AND (length(c) > 6 OR contains(c, ' ')) THEN alt ELSE c END, {_QUOTE}, '', 'g') AS code, coalesce(nullif(d, ''), '{takeoff.NONE}') AS description FROM sdata),
 sgood AS (SELECT * FROM sfix WHERE code <> '' AND lower(code) NOT IN ({_STOP}) AND length(code) <= 15),
-sonce AS (SELECT table_index, code, min(row_idx) AS ord, arg_max(description, row_idx) AS description FROM sgood GROUP BY ALL),
-sparts AS (SELECT table_index, ord, description, CASE WHEN contains(code, ' ') AND length(code) <= 12 THEN list_filter(string_split_regex(code, '\\s+'), lambda x: x <> '') ELSE [code] END AS parts FROM sonce),
-ssplit AS (SELECT table_index, ord, description, unnest(parts) AS code, generate_subscripts(parts, 1) - 1 AS part FROM sparts),
-codes_t AS (SELECT table_index, code, min(ord * 1000 + part) AS place, arg_max(description, ord * 1000 + part) AS description FROM ssplit GROUP BY ALL)"""
+sonce AS (SELECT document_id, table_index, code, min(row_idx) AS ord, arg_max(description, row_idx) AS description FROM sgood GROUP BY ALL),
+sparts AS (SELECT document_id, table_index, ord, description, code AS sgiven, CASE WHEN contains(code, ' ') AND length(code) <= 12 THEN list_filter(string_split_regex(code, '\\s+'), lambda x: x <> '') ELSE [code] END AS parts FROM sonce),
+ssplit AS (SELECT document_id, table_index, ord, description, sgiven, unnest(parts) AS code, generate_subscripts(parts, 1) - 1 AS part FROM sparts),
+codes_t AS (SELECT document_id, table_index, code, min(ord * 1000 + part) AS place, arg_max(description, ord * 1000 + part) AS description FROM ssplit GROUP BY ALL)"""
 
 
-@add("fixture_codes_from_csv", f"{_CODES} SELECT table_index, code, description, row_number() OVER (PARTITION BY table_index ORDER BY place) AS ord FROM codes_t")
+@add("fixture_codes_from_csv", f"{_CODES} SELECT document_id, table_index, code, description, row_number() OVER (PARTITION BY document_id, table_index ORDER BY place) AS ord FROM codes_t")
 def _(s, d):
     from pyspark.sql import Window
 
-    return takeoff.codes(view(s, d, "fx_cells")).select("table_index", "code", "description", F.row_number().over(Window.partitionBy("table_index").orderBy("place")).alias("ord"))
+    return takeoff.codes(view(s, d, "fx_cells")).select("document_id", "table_index", "code", "description", F.row_number().over(Window.partitionBy("document_id", "table_index").orderBy("place")).alias("ord"))
 
 
-@add("csv_headers", f"{_CODES} SELECT table_index, header_idx, names, cc - 1 AS code_col, dc - 1 AS desc_col FROM scols")
+@add("csv_headers", f"{_CODES} SELECT document_id, table_index, header_idx, names, cc - 1 AS code_col, dc - 1 AS desc_col FROM scols")
 def _(s, d):
     return takeoff.schedule_header(takeoff.schedule_rows(view(s, d, "fx_cells")))
 
 
-@add("merged_code_split", f"{_CODES} SELECT table_index, code, count(*) AS given FROM ssplit GROUP BY ALL HAVING count(*) > 1")
+@add("merged_code_split", f"{_CODES} SELECT document_id, table_index, sgiven AS given, CAST(part AS INTEGER) AS part, code FROM ssplit WHERE contains(sgiven, ' ')")
 def _(s, d):
-    parts = F.when(F.contains("code", F.lit(" ")) & (F.length("code") <= 12), F.split("code", r"\s+")).otherwise(F.array("code"))
-    rows_s = takeoff.schedule_rows(view(s, d, "fx_cells"))
-    df = rows_s.join(takeoff.schedule_header(rows_s), "table_index").filter("row_idx > header_idx")
-    last, second = F.element_at("cells", -1), F.coalesce(F.get("cells", F.size("cells") - 2), F.lit(""))
-    other = F.when((last != "") & (F.lower(last) != "nan"), last).otherwise(second)
-    code = F.coalesce(F.get("cells", "code_col"), F.lit(""))
-    fixed = F.when((other != "") & (F.length(other) <= 6) & ~F.contains(other, F.lit(" ")) & ((F.length(code) > 6) | F.contains(code, F.lit(" "))), other).otherwise(code)
-    df = df.select("table_index", F.regexp_replace(fixed, "^['\"]+|['\"]+$", "").alias("code")).filter((F.col("code") != "") & ~F.lower("code").isin(*R.CSV_STOP_WORDS) & (F.length("code") <= 15)).distinct()
-    return df.select("table_index", F.explode(parts).alias("code")).groupBy("table_index", "code").agg(F.count(F.lit(1)).alias("given")).filter("given > 1")
+    return takeoff.split_codes(takeoff.given_codes(view(s, d, "fx_cells"))).filter("given like '% %'").select("document_id", "table_index", "given", "part", "code")
 
 
 @add("base_codes", f"""{_CODES}, based AS (SELECT *, regexp_replace(code, '{R.CODE_SUFFIX}', '', 'i') AS base FROM codes_t)
-SELECT table_index, code, description, NULL AS base_of FROM codes_t UNION ALL
-SELECT table_index, base, arg_min(description, place), arg_min(code, place) FROM based b WHERE base <> '' AND base <> code AND NOT EXISTS (SELECT 1 FROM codes_t c WHERE c.table_index = b.table_index AND c.code = b.base) GROUP BY table_index, base""")
+SELECT document_id, table_index, code, description, NULL AS base_of FROM codes_t UNION ALL
+SELECT document_id, table_index, base, arg_min(description, place), arg_min(code, place) FROM based b WHERE base <> '' AND base <> code AND NOT EXISTS (SELECT 1 FROM codes_t c WHERE c.document_id = b.document_id AND c.table_index = b.table_index AND c.code = b.base) GROUP BY document_id, table_index, base""")
 def _(s, d):
     return takeoff.with_bases(takeoff.codes(view(s, d, "fx_cells")))
 
@@ -420,9 +426,19 @@ def _(s, d):
     return takeoff.counts(_accepted(s, d), _sheets(s, d), CODES)
 
 
-@add("count_matrix_pivot", f"{_COUNTS} SELECT code, {', '.join(f'''coalesce(CAST(sum(n) FILTER (WHERE sheet = '{x}') AS BIGINT), 0) AS {x}''' for x in SHEETS)}, CAST(coalesce(sum(n) FILTER (WHERE sheet IN ({', '.join(map(q, SHEETS))})), 0) AS BIGINT) AS TOTAL FROM counted GROUP BY code")
+@add("count_matrix_pivot", f"""{_COUNTS}, first_seen AS (SELECT document_id, sheet, min(page_number) AS first_page FROM sheets GROUP BY ALL)
+SELECT c.document_id, c.code, concat('Fixture ', c.code) AS description, list(c.sheet ORDER BY f.first_page) AS sheets, list(CAST(c.n AS BIGINT) ORDER BY f.first_page) AS counts, CAST(sum(c.n) AS BIGINT) AS total
+FROM counted c JOIN first_seen f ON f.document_id = c.document_id AND f.sheet = c.sheet GROUP BY c.document_id, c.code""")
+def _(s, d):
+    sheets = _sheets(s, d)
+    return takeoff.matrix(takeoff.counts(_accepted(s, d), sheets, CODES), sheets, {c: f"Fixture {c}" for c in CODES})
+
+
+@add("takeoff_totals", f"{_ACCEPT} SELECT p.document_id, count(k) AS total FROM (SELECT DISTINCT document_id FROM sheets) p LEFT JOIN accepted a USING (document_id) GROUP BY p.document_id")
 def _(s, d):
-    return takeoff.matrix(takeoff.counts(_accepted(s, d), _sheets(s, d), CODES), SHEETS)
+    sheets = _sheets(s, d)
+    nested = takeoff.count_maps(takeoff.counts(_accepted(s, d), sheets, CODES))
+    return nested.select("document_id", takeoff.grand_total(F.col("counts")).alias("total"))
 
 
 @add("fallback_codes", f"{with_views('fx_pages')}, found AS (SELECT DISTINCT document_id, unnest(regexp_extract_all(extracted_text, {q(R.PLAN_CODE)}, 1)) AS code FROM fx_pages) SELECT document_id, list(code ORDER BY code) AS codes FROM found WHERE code NOT IN ({', '.join(map(q, R.NOT_CODES))}) GROUP BY document_id")

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from planweave.operators.takeoff import count_maps
+
 TABLE_INDEX = T.StructType([
-    T.StructField("table_index", T.LongType()), T.StructField("page_number", T.IntegerType()), T.StructField("csv_file", T.StringType()), T.StructField("row_count", T.IntegerType()),
+    T.StructField("document_id", T.LongType()), T.StructField("table_index", T.LongType()), T.StructField("page_number", T.IntegerType()), T.StructField("csv_file", T.StringType()), T.StructField("row_count", T.IntegerType()),
     T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("caption", T.StringType()),
 ])
 
@@ -66,9 +68,9 @@ def write_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_table_index(rows: DataFrame, path: str) -> None:
-    """rows(table_index, page_number, row_idx, cells): a JSON line per table."""
+    """rows(document_id, table_index, page_number, row_idx, cells): a JSON line per table."""
     order = F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "cells"))), lambda r: r["cells"])
-    tables = rows.groupBy("table_index", "page_number").agg(order.alias("rows"))
+    tables = rows.groupBy("document_id", "table_index", "page_number").agg(order.alias("rows"))
     tables.withColumn("row_count", F.size("rows")).write.mode("overwrite").json(path)
 
 
@@ -81,21 +83,16 @@ def quoted(cell: Column) -> Column:
 
 
 def csv_lines(rows: DataFrame) -> DataFrame:
-    """ord, line: every table as a title, its rows and a blank line."""
-    tables = rows.select("table_index", "page_number").distinct()
-    title = tables.select("table_index", F.lit(0).alias("part"), F.lit(-1).alias("row_idx"), F.concat(F.lit("Table "), F.col("table_index") + 1, F.lit(" (page "), "page_number", F.lit(")")).alias("line"))
-    body = rows.select("table_index", F.lit(1).alias("part"), "row_idx", F.array_join(F.transform("cells", quoted), ",").alias("line"))
-    blank = tables.select("table_index", F.lit(2).alias("part"), F.lit(-1).alias("row_idx"), F.lit("").alias("line"))
-    lines = title.unionByName(body).unionByName(blank)
-    # Places by table first, so that no task sees all lines.
-    size = lines.groupBy("table_index").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("table_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = size.select("table_index", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("table_index").orderBy("part", "row_idx"))
-    return lines.withColumn("own", own).join(start, "table_index").select((F.col("before") + F.col("own")).alias("ord"), "line")
+    """document_id, ord, line: every table of a document as a title, its rows and a blank line."""
+    tables = rows.select("document_id", "table_index", "page_number").distinct()
+    keys = ["document_id", "table_index"]
+    title = tables.select(*keys, F.lit(0).alias("part"), F.lit(-1).alias("row_idx"), F.concat(F.lit("Table "), F.col("table_index") + 1, F.lit(" (page "), "page_number", F.lit(")")).alias("line"))
+    body = rows.select(*keys, F.lit(1).alias("part"), "row_idx", F.array_join(F.transform("cells", quoted), ",").alias("line"))
+    blank = tables.select(*keys, F.lit(2).alias("part"), F.lit(-1).alias("row_idx"), F.lit("").alias("line"))
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("table_index", "part", "row_idx"))
+    return title.unionByName(body).unionByName(blank).select("document_id", place.cast("long").alias("ord"), "line")
 
 
 def counts_json(counted: DataFrame) -> DataFrame:
     """document_id, counts: {code: {sheet: n}} as JSON text."""
-    by_code = counted.groupBy("document_id", "code").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("sheet", "n")))).alias("sheets"))
-    return by_code.groupBy("document_id").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "sheets"))))).alias("counts"))
+    return count_maps(counted).select("document_id", F.to_json("counts").alias("counts"))

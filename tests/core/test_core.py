@@ -12,6 +12,7 @@ from planweave.plans.fixtures import view
 from planweave.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
+KEYS = "document_id long, table_index long"
 
 
 def value(spark, column, **given):
@@ -51,11 +52,58 @@ def test_records(spark):
     code = lambda c, last: value(spark, grid.clean_code(F.col("c"), F.col("last"), F.lit(False)), c=c, last=last)
     assert code("A1 2X4 LED TROFFER", "9W") == "A1" and code("A1", "B") == "B"
     cells = [["SYMBOL A", "DESCRIPTION", "VOLTAGE", "LUMENS"], ["B1", "second", "120V", "900"]]
-    rows = spark.createDataFrame([(0, 1, i, c) for i, c in enumerate(cells)], "table_index long, page_number int, row_idx int, cells array<string>")
+    rows = spark.createDataFrame([(7, 0, 1, i, c) for i, c in enumerate(cells)], f"{KEYS}, page_number int, row_idx int, cells array<string>")
     got = {r.code: r for r in grid.fixtures(rows).collect()}
     assert set(got) == {"A", "B1"} and got["B1"].lumens == "900" and got["B1"].raw_data["SYMBOL A"] == "B1"
     one = rows.withColumn("code", F.element_at("cells", 1))
-    assert grid.first_of_code(one.unionByName(one), ("row_idx",)).count() == 2
+    assert grid.first_of_code(one.unionByName(one)).count() == 2
+
+
+def test_documents_are_apart(spark):
+    """Two documents with the same table numbers, pages and codes."""
+    head, rows = ["LIGHT FIXTURE SCHEDULE", "", "", ""], []
+    for doc in (1, 2):
+        for t, n in ((0, 2 + doc), (1, 4)):
+            cells = [head, ["MARK", "DESCRIPTION", "VOLTAGE", "LUMENS"], *[[f"A{k}", f"{doc}{t}{k}", "120V", "900"] for k in range(n)]]
+            rows += [(doc, t, t + 1, i, c) for i, c in enumerate(cells)]
+    rows = spark.createDataFrame(rows, f"{KEYS}, page_number int, row_idx int, cells array<string>")
+    tables, found = grid.classify_tables(rows), grid.fixtures(rows).drop("raw_data")
+    assert {tuple(r) for r in grid.best_schedule(tables).select("document_id", "table_index", "n_rows").collect()} == {(1, 1, 6), (2, 0, 6)}
+    assert {(r.document_id, r.code, r.description) for r in grid.first_of_code(found).collect()} == {(1, "A0", "100"), (1, "A1", "101"), (1, "A2", "102"), (1, "A3", "113"), *((2, f"A{k}", f"20{k}") for k in range(4))}
+    assert {(r.document_id, r.code) for r in grid.only_new(found.filter("page_number = 2"), found.filter("page_number = 1")).collect()} == {(1, "A3")}
+    assert all(r.tables == 1 for r in grid.page_counts(tables).collect()) and grid.page_counts(tables).count() == 4
+    pages = spark.createDataFrame([(1, 2, "SCHEDULE", "E601")], "document_id long, page_number int, page_type string, sheet_code string")
+    assert {(r.document_id, r.table_index) for r in grid.relevant_tables(tables, pages).collect()} == {(1, 1), (2, 0), (2, 1)}
+    assert {(r.document_id, r.sheet_code) for r in grid.with_pages(tables, pages).collect()} == {(1, "E601"), (1, None), (2, None)}
+
+
+def test_filter_comes_before_the_header(spark):
+    cells = [["PANEL SCHEDULE", "", "", ""], ["MARK", "DESCRIPTION", "VOLTAGE", "LUMENS"], ["A1", "x", "120V", "900"]]
+    rows = spark.createDataFrame([(1, 0, 1, i, c) for i, c in enumerate(cells)], f"{KEYS}, page_number int, row_idx int, cells array<string>")
+    assert grid.fixtures(rows).count() == 0 and grid.fixtures(rows, filtered=False).count() == 1
+
+
+def test_column_prefix(spark):
+    strip = lambda *names: spark.range(1).select(grid.prefix_stripped(F.array(*map(F.lit, names))).alias("v")).first().v
+    assert strip("TABLE CAPTION.MARK", "TABLE CAPTION.VOLTS", "TABLE CAPTION.") == ["MARK", "VOLTS", "Column_2"]
+    assert strip("CAP.MARK", "CAP.VOLTS") == ["CAP.MARK", "CAP.VOLTS"] and strip("TABLE CAPTION.A") == ["TABLE CAPTION.A"]
+    assert strip("TABLE CAPTION A", "TABLE CAPTION B") == ["TABLE CAPTION A", "TABLE CAPTION B"]
+
+
+def test_matrix_has_every_sheet(spark):
+    """Sheets come from the data, in the order of their pages; the total is that of the long form."""
+    from planweave.plans import tables as q
+
+    counted, sheets = takeoff.counts(q._accepted(spark, SF), q._sheets(spark, SF), q.CODES).cache(), q._sheets(spark, SF)
+    wide = takeoff.matrix(counted, sheets, {"A1": "Troffer"}).cache()
+    assert wide.agg(F.sum("total")).first()[0] == counted.agg(F.sum("n")).first()[0] > 0
+    one = takeoff.matrix_of(0, wide)
+    assert one.columns[:2] == ["TYPE", "DESCRIPTION"] and one.columns[-1] == "TOTAL" and set(one.columns[2:-1]) == {r.sheet for r in sheets.filter("document_id = 0").collect()}
+    assert {r.TYPE: r.DESCRIPTION for r in one.collect()}["A1"] == "Troffer"
+    assert takeoff.matrix_of(-5, wide).count() == 0
+    maps = takeoff.count_maps(counted)
+    assert maps.select(F.sum(takeoff.grand_total(F.col("counts")))).first()[0] == wide.agg(F.sum("total")).first()[0]
+    assert spark.range(1).select(takeoff.grand_total(F.expr("map('a', 2L, 'b', 3L)"), nested=False)).first()[0] == 5
 
 
 def test_replies(spark):
