@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,13 +18,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it. Only where it is unset
-    (tests on one machine) is a temporary folder set."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Where it is unset, only a session
+    that runs on one machine gets a temporary folder; a cluster is an error, since its executors would
+    write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = chosen.get() if chosen.isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="planweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,7 +53,22 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/planweave/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._planweave_path = path
+    return out
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more: what was made from them is stored itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._planweave_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """k1, k2: 128 bits of hash of a row's id and text; nulls are told from empty values."""
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return [F.xxhash64(i.isNull(), i, t.isNull(), t).alias("k1"), F.xxhash64(t.isNull(), t, i.isNull(), i, F.lit("second")).alias("k2")]
 
 
 def n_words(text: Column) -> Column:

@@ -1,20 +1,27 @@
 """Line deduplication by content-defined chunks of lines.
 
-A line ends after a line feed or after a sentence (`. `, `! `, `? `), so that passages inside long
-lines are seen. A rolling hash over the hashes of two neighbouring lines decides whether a chunk ends
-there; so boundaries depend on nothing but the lines around them, and a passage is cut alike wherever
-it stands. Chunks of two lines or more and `min_words` words or more that occur before (by id, then
-place) are removed everywhere but at their first occurrence, once their bytes are known to be equal;
-a single repeated line next to a removed chunk goes too if both have neighbouring first occurrences.
-
-DataFrame functions only. Chunks are shuffled as 64-bit hashes; texts once, with the marks of their
-repeated chunks. Counts and first occurrences are pre-aggregated, so a chunk that a third of all
-documents hold is one row per task. Hashes whose chunks differ in bytes are kept, not removed; their
-list is broadcast up to `broadcast_rows` rows and joined by shuffle beyond that.
+A line ends after a line feed, a sentence or a clause (`. ` `! ` `? ` `, ` `; ` `: `), so that passages
+inside long lines are seen. Line hashes, in a window of two that rolls over them, decide where chunks end:
+after a line whose hash is less than the next one's. So a boundary depends on nothing but the lines beside
+it, a passage is cut alike wherever it stands, and half of the lines end a chunk.
+
+A chunk of two lines or more that occurs elsewhere marks its place. At every later occurrence (by id, then place) the mark
+grows line by line to both sides, up to `REACH` lines, as long as the lines are those around the first
+occurrence. Marks that touch are one passage; a passage of `min_words` words or more is removed
+everywhere but at its first occurrence, once the bytes of its chunks and of the lines it grew by are
+known to be equal. A chunk of which unequal bytes share a hash is not removed at all.
+
+DataFrame functions only. What is shuffled: chunk hashes; places of repeated chunks; texts once, with
+their marks; the distinct texts of repeated chunks, for the comparison. Counts and first occurrences are
+aggregated in each task first, so a chunk that a third of all documents hold is one row per task;
+joins on a chunk read stored tables on both sides, so the planner can split a hot one. Up to
+`broadcast_rows` hashes (8 bytes each) are broadcast to filter the chunks, beyond that they are joined by
+shuffle; the same bound decides whether documents without a mark (their keys, 16 bytes) skip the shuffle of texts.
 
 Edge cases: a null text stays null, an empty one empty; rows alike in id and text are one document,
-all treated alike, and never duplicates of themselves; null ids come last; other columns are kept; an
-empty table gives no rows. A text may become empty if all of it stands elsewhere.
+all treated alike, and never duplicates of themselves; between equal ids the row with the smaller hash of
+id and text is first; null ids come last; a text is read whole at any length, in time proportional to it;
+other columns are kept; an empty table gives no rows. A text may become empty if all of it stands elsewhere.
 """
 
 from __future__ import annotations
@@ -22,96 +29,187 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.common import SPACE, stored
+from planweave.llm.common import SPACE, drop_stored, row_keys, stored
 
-_CUT = "\x01"
-_ENDS = ("\n", ". ", "! ", "? ")
-#: First hex digits of the rolling hash that end a chunk: 5 of 16, so 3.2 lines on average.
-LAST_DIGIT = "4"
+#: Lines that a mark may grow by, on each side.
+REACH = 3
+_SIDES = [f"{side}{j}" for side in "lr" for j in range(1, REACH + 1)]
 
 
 def lines(text: Column) -> Column:
     """The lines of a text; joined without anything between, they are the text."""
-    fast = text
-    for end in _ENDS:
-        fast = F.replace(fast, F.lit(end), F.lit(end + _CUT))
-    exact = F.split(text, r"(?<=\n|[.!?] )")
-    return F.array_remove(F.when(F.contains(text, F.lit(_CUT)), exact).otherwise(F.split(fast, _CUT)), "")
+    return F.array_remove(F.split(text, r"(?<=[ \n])(?<=[.!?,;:] |\n)"), "")
 
 
 def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\n"))
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row_key, id, pos, h (hash), start, size: a row for each chunk."""
-    df = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(id_col).alias("id"), F.transform(lines(F.col(text_col)), lambda u: F.md5(_bare(u).cast("binary"))).alias("hashes"))
-    before = F.concat(F.array(F.lit("")), F.slice("hashes", 1, F.greatest(F.size("hashes") - 1, F.lit(0))))
-    rolling = F.zip_with(before, "hashes", lambda a, b: F.substring(F.md5(F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))).cast("binary")), 1, 1) <= LAST_DIGIT)
-    df = df.filter(F.size("hashes") > 0).select("row_key", "id", "hashes", rolling.alias("ends"))
-    last = F.filter(F.transform("ends", lambda e, i: F.when(e | (i == F.size("hashes") - 1), i + 1)), lambda i: i.isNotNull())
-    df = df.select("row_key", "id", "hashes", last.alias("last"))
-    df = df.select("row_key", "id", "hashes", F.transform("last", lambda e, j: F.struct(F.coalesce(F.when(j > 0, F.get("last", j - 1)), F.lit(0)).alias("start"), e.alias("end"))).alias("spans"))
-    cut = F.transform("spans", lambda s: F.struct(F.xxhash64(F.slice("hashes", s["start"] + 1, s["end"] - s["start"])).alias("h"), s["start"].alias("start"), (s["end"] - s["start"]).alias("size")))
-    return df.select("row_key", "id", F.posexplode(cut).alias("pos", "c")).select("row_key", "id", "pos", "c.*")
-
-
-def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, broadcast_rows: int = 100_000) -> DataFrame:
-    """The rows of docs with _ld_lines (array), _ld_drop (array of struct<start, size>: the lines to
-    remove) and _ld_clean (the text without them). Names that begin with _ld_ are reserved."""
-    found = stored(chunks(docs, id_col, text_col), "chunks")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "row_key", "pos")
-    repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select(F.col("h").alias("g"), "first")
-    repeated = stored(repeated, "repeated")  # a table, so that the join may split a hash that many documents hold
-    held = found.join(repeated, F.col("h") == F.col("g"))
-    row = F.struct("pos", "h", "start", "size", F.col("first.row_key").alias("first_key"), F.col("first.pos").alias("first_pos"))
-    marks = held.groupBy(F.col("row_key").alias("_ld_row")).agg(F.sort_array(F.collect_set(row)).alias("_ld_marks"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*columns, F.xxhash64(id_col, text_col).alias("_ld_key"))
-    rows = stored(rows.join(marks, F.col("_ld_key") == F.col("_ld_row"), "left").drop("_ld_row"), "marked")
-    # Byte comparison: all chunks of a hash are the same text if it has one distinct text.
-    seen = rows.filter("_ld_marks is not null").select(lines(F.col(f"`{text_col}`")).alias("u"), "_ld_marks")
-    seen = seen.select("u", F.explode("_ld_marks").alias("m"))
-    text = F.array_join(F.transform(F.slice("u", F.col("m.start") + 1, F.col("m.size")), _bare), "\n")
-    texts = seen.select("m.h", text.alias("t")).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    bad = stored(texts.filter("n > 1").select(F.col("h").alias("b")), "unequal")
-    n_bad = bad.count()
-    if n_bad:
-        bad = F.broadcast(bad) if n_bad <= broadcast_rows else bad
-        flat = rows.filter("_ld_marks is not null").select("_ld_key", F.explode(F.array_distinct("_ld_marks")).alias("m"))
-        good = flat.join(bad, F.col("m.h") == F.col("b"), "left_anti").groupBy(F.col("_ld_key").alias("_ld_row")).agg(F.sort_array(F.collect_set("m")).alias("_ld_good"))
-        rows = rows.join(good, F.col("_ld_key") == F.col("_ld_row"), "left").withColumn("_ld_marks", F.col("_ld_good")).drop("_ld_row", "_ld_good")
-    key = F.col("_ld_key")
-    bind = lambda made, body: F.element_at(F.transform(F.array(made), body), 1)  # noqa: E731  made once, wherever the plan puts it
-
-    def drop(u: Column) -> Column:
-        def words(m: Column) -> Column:
-            return F.size(F.array_remove(F.split(F.array_join(F.slice(u, m["start"] + 1, m["size"]), ""), SPACE), ""))
-
-        def of(again: Column) -> Column:
-            whole = F.filter(again, lambda m: (m["size"] > 1) & (words(m) >= min_words))
-
-            def with_singles(w: Column) -> Column:
-                beside = lambda m: F.exists(w, lambda x: (x["first_key"] == m["first_key"]) & (F.abs(x["pos"] - m["pos"]) == 1) & (x["first_pos"] - m["first_pos"] == x["pos"] - m["pos"]))
-                return F.concat(w, F.filter(again, lambda m: (m["size"] == 1) & beside(m)))
-
-            return F.transform(bind(whole, with_singles), lambda m: F.struct(m["start"].alias("start"), m["size"].alias("size")))
-
-        again = F.filter("_ld_marks", lambda m: (m["first_key"] != key) | (m["first_pos"] != m["pos"]))
-        return F.coalesce(bind(again, of), F.array().cast("array<struct<start:int,size:int>>"))
+def _key(h: Column, place: str) -> Column:
+    return F.xxhash64(h, F.lit(place))
 
-    text = F.col(f"`{text_col}`")
 
-    def cleaned(u: Column, gone: Column) -> Column:
-        kept = F.filter(u, lambda x, i: ~F.exists(gone, lambda d: (i >= d["start"]) & (i < d["start"] + d["size"])))
-        return F.struct(u.alias("lines"), gone.alias("drop"), F.when(F.size(gone) == 0, text).otherwise(F.array_join(kept, "")).alias("clean"))
+def _bind(made: Column, body) -> Column:
+    """body(made), with made computed once wherever the planner puts it."""
+    return F.element_at(F.transform(F.array(made), body), 1)
+
+
+def cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """k1, k2, id, x (a hash of each line) and spans (h, start, size of each chunk): a row for each document."""
+
+    def spans(m: Column) -> Column:
+        low = F.array_compact(F.transform(m, lambda h, i: F.when(h < F.get(m, i + 1), i + 1)))
+        h = lambda start, end: F.xxhash64(F.slice(m, start + 1, end - start))
+        row = lambda start, end: F.struct(h(start, end).alias("h"), start.alias("start"), (end - start).alias("size"))
+        return _bind(F.when(F.size(m) > 0, F.concat(low, F.array(F.size(m)))), lambda ends: F.transform(ends, lambda e, j: _bind(F.coalesce(F.get(ends, j - 1), F.lit(0)), lambda start: row(start, e))))
+
+    def hashed(b: Column) -> Column:
+        return F.struct(F.transform(b, lambda x: F.hash(x)).alias("x"), _bind(F.transform(b, lambda x: F.md5(x.cast("binary"))), spans).alias("spans"))
+
+    text = F.col(f"`{text_col}`")
+    df = docs.select(*row_keys(id_col, text_col), F.col(f"`{id_col}`").alias("id"), _bind(F.transform(lines(text), _bare), hashed).alias("c"))
+    return df.select("k1", "k2", "id", "c.x", "c.spans")
+
+
+def places(chunks: DataFrame, repeated: DataFrame, around: bool) -> DataFrame:
+    """k1, k2, id, h, start, size of every repeated chunk, and if asked for l1... and r1..., the hashes of the lines before and after it."""
+    near = lambda s: [F.get("x", s["start"] - j).alias(f"l{j}") for j in range(1, REACH + 1)] + [F.get("x", s["start"] + s["size"] + j - 1).alias(f"r{j}") for j in range(1, REACH + 1)]
+    row = lambda s: F.struct(s["h"].alias("h"), s["start"].alias("start"), s["size"].alias("size"), *(near(s) if around else []))
+    rows = chunks.select("k1", "k2", "id", F.explode(F.transform("spans", row)).alias("s")).select("k1", "k2", "id", "s.*")
+    return rows.filter("size > 1").join(repeated, F.col("h") == F.col("g"), "left_semi")
 
-    found = bind(lines(text), lambda u: bind(drop(u), lambda gone: cleaned(u, gone)))
-    rows = rows.select(*columns, found.alias("_ld_found"))
-    return rows.select(*columns, *[F.col(f"_ld_found.{c}").alias(f"_ld_{c}") for c in ("lines", "drop", "clean")])
+
+def marks(docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
+    """m1, m2 (the row's keys) and marks, in order: each repeated chunk with its first occurrence (f1, f2, fstart) and the lines around that."""
+    chunks = stored(cut(docs, id_col, text_col), "chunks")
+    counted = chunks.select(F.explode(F.filter("spans", lambda s: s["size"] > 1)["h"]).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    repeated = stored(counted.filter("n > 1").select("g"), "repeated")
+    known = F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated
+    place = F.struct(F.col("id").isNull().alias("none"), "id", F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("start").alias("fstart"), *_SIDES)
+    first = places(chunks, known, True).groupBy(F.col("h").alias("fh")).agg(F.min(place).alias("first"))
+    first = stored(first.select("fh", *[F.col(f"first.{c}").alias(c) for c in ("f1", "f2", "fstart", *_SIDES)]), "first")
+    held = places(chunks, known, False).join(first, F.col("h") == F.col("fh"))
+    row = F.struct("start", "size", "h", "f1", "f2", "fstart", *_SIDES)
+    out = stored(held.groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(F.sort_array(F.collect_set(row)).alias("marks")), "marks")
+    drop_stored(chunks, repeated, first)
+    return out
+
+
+def _words(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(text, SPACE), ""))
+
+
+def _found(text: Column, min_words: int) -> Column:
+    """From a text and its `marks`: struct of drop (start and size in lines of each passage that goes), clean
+    (the text without them) and check (key, h, t: texts that must agree wherever the key occurs)."""
+
+    def grown(u: Column, m: Column, before: Column, after: Column) -> Column:
+        """Lines from start to end, no further than the neighbouring marks."""
+        same = lambda i, side, j: F.coalesce((i >= 0) & (F.hash(_bare(F.get(u, i))) == m[f"{side}{j}"]), F.lit(False))
+        left, right = F.lit(REACH), F.lit(REACH)
+        end = m["start"] + m["size"]
+        for j in range(REACH, 0, -1):
+            left = F.when(~same(m["start"] - j, "l", j), j - 1).otherwise(left)
+            right = F.when(~same(end + j - 1, "r", j), j - 1).otherwise(right)
+        low = F.coalesce(before["start"] + before["size"], F.lit(0))
+        high = F.coalesce(after["start"], F.size(u))
+        left = F.when(m["start"] <= low, 0).otherwise(left)
+        right = F.when(end >= high, 0).otherwise(right)
+        return F.struct(F.greatest(m["start"] - left, low).alias("start"), F.least(end + right, high).alias("end"))
+
+    def joined(spans: Column) -> Column:
+        """Spans that touch, as one."""
+        heads = F.array_compact(F.transform(spans, lambda s, i: F.when((i == 0) | (s["start"] > F.get(spans, i - 1)["end"]), s["start"])))
+        tails = F.array_compact(F.transform(spans, lambda s, i: F.when((i == F.size(spans) - 1) | (s["end"] < F.get(spans, i + 1)["start"]), s["end"])))
+        return F.zip_with(heads, tails, lambda a, b: F.struct(a.alias("start"), (b - a).alias("size")))
+
+    def text_of(u: Column, start: Column, size: Column) -> Column:
+        return F.array_join(F.slice(u, start + 1, size), "")
+
+    def of(u: Column) -> Column:
+        def with_later(later: Column) -> Column:
+            spans = F.transform(later, lambda m, i: grown(u, m, F.get(later, i - 1), F.get(later, i + 1)))
+            return _bind(spans, lambda g: result(later, g))
+
+        def result(later: Column, g: Column) -> Column:
+            gone = F.filter(joined(g), lambda d: _words(text_of(u, d["start"], d["size"])) >= min_words)
+            return _bind(gone, lambda d: F.struct(d.alias("drop"), cleaned(d).alias("clean"), check(later, g).alias("check")))
+
+        def cleaned(d: Column) -> Column:
+            kept = F.transform(d, lambda x, i: _bind(F.coalesce(F.get(d, i - 1)["start"] + F.get(d, i - 1)["size"], F.lit(0)), lambda a: text_of(u, a, x["start"] - a)))
+            rest = _bind(F.element_at(d, -1), lambda x: text_of(u, x["start"] + x["size"], F.size(u) - x["start"] - x["size"]))
+            return F.when(F.size(d) == 0, text).otherwise(F.concat(F.array_join(kept, ""), rest))
+
+        def check(later: Column, g: Column) -> Column:
+            row = lambda key, m, t: F.struct(key.alias("key"), m["h"].alias("h"), t.alias("t"))
+            bare = lambda i: _bare(F.get(u, i))
+            chunk = F.transform("marks", lambda m: row(m["h"], m, F.array_join(F.transform(F.slice(u, m["start"] + 1, m["size"]), _bare), "\n")))
+
+            def sides(m: Column, low: Column, high: Column) -> Column:
+                before = [F.when(m["start"] - j >= low, row(_key(m["h"], f"l{j}"), m, bare(m["start"] - j))) for j in range(1, REACH + 1)]
+                after = [F.when(m["start"] + m["size"] + j <= high, row(_key(m["h"], f"r{j}"), m, bare(m["start"] + m["size"] + j - 1))) for j in range(1, REACH + 1)]
+                return F.array_compact(F.array(*before, *after))
+
+            first = F.flatten(F.transform(F.filter("marks", lambda m: ~_later(m)), lambda m: sides(m, F.lit(0), F.size(u))))
+            grew = F.flatten(F.transform(later, lambda m, i: sides(m, F.get(g, i)["start"], F.get(g, i)["end"])))
+            return F.concat(chunk, first, grew)
+
+        return _bind(F.filter("marks", _later), with_later)
+
+    return _bind(lines(text), of)
+
+
+def _later(m: Column) -> Column:
+    return (m["f1"] != F.col("k1")) | (m["f2"] != F.col("k2")) | (m["fstart"] != m["start"])
+
+
+def _applied(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, min_words: int, how: str) -> DataFrame:
+    """The rows of docs (with an inner join those that have marks) with _ld_drop, _ld_clean and _ld_check."""
+    columns, text = [F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text_col}`")
+    found = found.select(*[F.col(c).alias(f"_ld_{c}") for c in ("m1", "m2", "marks")])
+    rows = _keyed(docs, id_col, text_col).join(found, F.expr(_SAME), how)
+    inside = rows.select(F.struct(*columns).alias("_ld_row"), text.alias("_ld_text"), *[F.col(f"_ld_{c}").alias(c) for c in ("k1", "k2", "marks")])
+    inside = inside.select("_ld_row", "_ld_text", F.when(F.col("marks").isNotNull(), _found(F.col("_ld_text"), min_words)).alias("_ld_found"))
+    got = F.col("_ld_found")
+    return inside.select(*[F.col(f"_ld_row.`{c}`").alias(c) for c in docs.columns], F.coalesce(got["drop"], _NOTHING()).alias("_ld_drop"), F.when(got.isNull(), F.col("_ld_text")).otherwise(got["clean"]).alias("_ld_clean"), got["check"].alias("_ld_check"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[k.alias(f"_ld_{name}") for k, name in zip(row_keys(id_col, text_col), ("k1", "k2"), strict=True)])
+
+
+_SAME = "_ld_k1 = _ld_m1 and _ld_k2 = _ld_m2"
+_NOTHING = lambda: F.array().cast("array<struct<start:int,size:int>>")
+
+
+def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs with _ld_drop (array of struct<start, size>: the lines to remove) and _ld_clean
+    (the text without them). Names that begin with _ld_ are reserved."""
+    found = marks(docs, id_col, text_col, broadcast_rows)
+    keys = found.select(F.col("m1").alias("_ld_m1"), F.col("m2").alias("_ld_m2"))
+    few = keys.count() <= broadcast_rows / 2
+    hit = _keyed(docs, id_col, text_col).join(F.broadcast(keys), F.expr(_SAME), "left_semi").drop("_ld_k1", "_ld_k2") if few else docs
+    how = "inner" if few else "left"
+    rows = stored(_applied(hit, found, id_col, text_col, min_words, how), "marked")
+    # Byte comparison: what shares a key is the same text if the key has one distinct text.
+    texts = rows.select(F.explode("_ld_check").alias("c")).select("c.*").distinct()
+    bad = stored(texts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("b")).filter("n > 1").select("b").distinct(), "unequal")
+    if bad.limit(1).count():
+        flat = found.select("m1", "m2", F.explode("marks").alias("m")).join(bad, F.col("m.h") == F.col("b"), "left_anti")
+        good = stored(flat.groupBy("m1", "m2").agg(F.sort_array(F.collect_set("m")).alias("marks")), "marks")
+        again = stored(_applied(hit, good, id_col, text_col, min_words, "left"), "marked")
+        drop_stored(rows, good)
+        rows = again
+    drop_stored(bad)
+    rows = rows.drop("_ld_check")
+    if not few:
+        drop_stored(found)
+        return rows
+    rest = _keyed(docs, id_col, text_col).join(F.broadcast(keys), F.expr(_SAME), "left_anti").drop("_ld_k1", "_ld_k2")
+    return rows.unionByName(rest.withColumns({"_ld_drop": _NOTHING(), "_ld_clean": F.col(f"`{text_col}`")}))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
-    """The rows of docs, their texts without repeated chunks, and _ld_lines, _ld_drop."""
+    """The rows of docs, their texts without repeated passages, and _ld_drop."""
     rows = mark(docs, id_col, text_col, **bounds)
-    return rows.select(*[F.col("_ld_clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "_ld_lines", "_ld_drop")
+    return rows.select(*[F.col("_ld_clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "_ld_drop")

@@ -92,35 +92,45 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup(_read(spark, sf_dir, "documents"))
     removed = F.aggregate("_ld_drop", F.lit(0), lambda a, d: a + d["size"])
-    return rows.select("doc_id", F.size("_ld_lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.size("_ld_drop").cast("long").alias("n_chunks"), "text")
+    return rows.select("doc_id", removed.cast("long").alias("n_removed"), F.size("_ld_drop").cast("long").alias("n_passages"), "text")
 
 
 OP3_SQL = """
 WITH cut AS (
-  SELECT doc_id, text, list_filter(string_split(replace(replace(replace(replace(text, chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(1)), lambda x: x <> '') AS lines
+  SELECT doc_id, text, list_filter(string_split(replace(replace(replace(replace(replace(replace(replace(text, chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)),
+           '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), ', ', ', ' || chr(1)), '; ', '; ' || chr(1)), ': ', ': ' || chr(1)), chr(1)), lambda x: x <> '') AS lines
   FROM documents),
 line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS n FROM cut),
 bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS b FROM line),
-ends AS (SELECT *, substr(md5(coalesce(lag(md5(b)) OVER (PARTITION BY doc_id ORDER BY i), '') || md5(b)), 1, 1) <= '4' OR i = n AS ends FROM bare),
+ends AS (
+  SELECT *, i = n OR coalesce(md5(b) < lead(md5(b)) OVER w, false) AS ends FROM bare WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ends),
-chunk AS (
-  SELECT doc_id, pos, string_agg(b, chr(10) ORDER BY i) AS t, min(i) AS start, count(*) AS size,
-         len(list_filter(string_split_regex(string_agg(line, '' ORDER BY i), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
-  FROM numbered GROUP BY doc_id, pos),
-again AS (SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_pos FROM chunk WINDOW w AS (PARTITION BY t, size ORDER BY doc_id, pos)),
-later AS (SELECT * FROM again WHERE doc_id <> first_doc OR pos <> first_pos),
-whole AS (SELECT * FROM later WHERE size > 1 AND words >= 10),
-gone AS (
-  SELECT doc_id, pos, start, size FROM whole
-  UNION ALL
-  SELECT doc_id, pos, start, size FROM later m WHERE size = 1 AND EXISTS (
-    SELECT 1 FROM whole w WHERE w.doc_id = m.doc_id AND w.first_doc = m.first_doc AND abs(w.pos - m.pos) = 1 AND w.first_pos - m.first_pos = w.pos - m.pos)),
+chunk AS (SELECT doc_id, pos, string_agg(b, chr(10) ORDER BY i) AS t, min(i) AS start, count(*) AS size FROM numbered GROUP BY doc_id, pos HAVING count(*) > 1),
+later AS (
+  SELECT * FROM (SELECT doc_id, start, start + size - 1 AS last, first_value(doc_id) OVER w AS first_doc, first_value(start) OVER w AS first_start, size
+                 FROM chunk WINDOW w AS (PARTITION BY t, size ORDER BY doc_id, start))
+  WHERE doc_id <> first_doc OR start <> first_start),
+beside AS (SELECT *, coalesce(lag(last) OVER w, 0) AS before, coalesce(lead(start) OVER w, 1 << 30) AS after FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
+grown AS (
+  SELECT m.doc_id, m.start, m.last, m.before, m.after, d.side, d.j,
+         min(CASE WHEN o.b = f.b THEN 1 ELSE 0 END) OVER (PARTITION BY m.doc_id, m.start, d.side ORDER BY d.j) AS same
+  FROM beside m CROSS JOIN (VALUES (-1, 1), (-1, 2), (-1, 3), (1, 1), (1, 2), (1, 3)) AS d(side, j)
+  LEFT JOIN bare o ON o.doc_id = m.doc_id AND o.i = CASE d.side WHEN 1 THEN m.last + d.j ELSE m.start - d.j END
+  LEFT JOIN bare f ON f.doc_id = m.first_doc AND f.i = CASE d.side WHEN 1 THEN m.first_start + m.size - 1 + d.j ELSE m.first_start - d.j END),
+covered AS (
+  SELECT doc_id, unnest(range(start, last + 1)) AS i FROM later
+  UNION SELECT doc_id, CASE side WHEN 1 THEN last + j ELSE start - j END FROM grown WHERE same = 1 AND CASE side WHEN 1 THEN last + j < after ELSE start - j > before END),
+island AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM covered),
+sized AS (
+  SELECT c.doc_id, c.i, c.k, sum(len(list_filter(string_split_regex(b.line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) OVER (PARTITION BY c.doc_id, c.k) AS words
+  FROM island c JOIN bare b USING (doc_id, i)),
+gone AS (SELECT * FROM sized WHERE words >= 25),
 kept AS (
-  SELECT n.doc_id, string_agg(n.line, '' ORDER BY n.i) FILTER (WHERE g.doc_id IS NULL) AS text, count(g.doc_id) AS n_removed
-  FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.pos = n.pos GROUP BY n.doc_id)
-SELECT c.doc_id, CAST(coalesce(len(c.lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(g.n, 0) AS BIGINT) AS n_chunks, CASE WHEN c.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
-FROM cut c LEFT JOIN kept k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+  SELECT b.doc_id, string_agg(b.line, '' ORDER BY b.i) FILTER (WHERE g.i IS NULL) AS text, count(g.i) AS n_removed, count(DISTINCT g.k) AS n_passages
+  FROM bare b LEFT JOIN gone g USING (doc_id, i) GROUP BY b.doc_id)
+SELECT c.doc_id, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_passages, 0) AS BIGINT) AS n_passages,
+       CASE WHEN c.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM cut c LEFT JOIN kept k USING (doc_id)
 """
 
 

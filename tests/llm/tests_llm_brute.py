@@ -11,33 +11,56 @@ def words(text):
     return [w for w in SPACE.split(text or "") if w]
 
 
+def lines(text):
+    return [x for x in re.split(r"(?<=\n)|(?<=[.!?,;:] )", text or "") if x]
+
+
+def bare(line):
+    return line.strip(" \t\r\n")
+
+
 def cut(text):
-    """Chunks of a text as (start, lines)."""
-    lines = [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", text or "") if x]
-    out, start, last = [], 0, ""
-    for i, x in enumerate(lines):
-        h = hashlib.md5(x.strip(" \t\r\n").encode()).hexdigest()
-        if hashlib.md5((last + h).encode()).hexdigest()[0] <= "4" or i == len(lines) - 1:
-            out.append((start, lines[start : i + 1]))
-            start = i + 1
-        last = h
-    return out
+    """Lines of a text, without white space at the ends, and its chunks of two lines or more, as (start, end)."""
+    b = [bare(x) for x in lines(text)]
+    m = [hashlib.md5(x.encode()).hexdigest() for x in b]
+    ends = [i + 1 for i in range(len(m)) if i + 1 == len(m) or m[i] < m[i + 1]]
+    return b, [(s, e) for s, e in zip([0, *ends], ends, strict=False) if e - s > 1]
 
 
-def dedup_brute(docs):
+def dedup_brute(docs, min_words=25, reach=3):
     """doc (id, text) -> cleaned text."""
     distinct = sorted(set((d[0], d[1]) for d in docs), key=lambda d: (d[0] is None, d[0] or 0))
-    first, chunks = {}, {d: cut(d[1]) for d in distinct}
-    bare = lambda c: tuple(x.strip(" \t\r\n") for x in c[1])
+    first, made, out = {}, {d: cut(d[1]) for d in distinct}, {}
     for d in distinct:
-        for pos, c in enumerate(chunks[d]):
-            first.setdefault(bare(c), (d, pos))
-    out = {}
+        b, chunks = made[d]
+        for s, e in chunks:
+            first.setdefault(tuple(b[s:e]), (d, s))
     for d in distinct:
-        again = {pos: first[bare(c)] for pos, c in enumerate(chunks[d]) if first[bare(c)] != (d, pos)}
-        gone = {p for p in again if len(chunks[d][p][1]) > 1 and len(words("".join(chunks[d][p][1]))) >= 10}
-        gone |= {p for p in again if len(chunks[d][p][1]) == 1 and any(q in gone and len(chunks[d][q][1]) > 1 and again[q][0] == again[p][0] and again[q][1] - again[p][1] == q - p for q in (p - 1, p + 1))}
-        out[d] = None if d[1] is None else "".join("".join(c[1]) for p, c in enumerate(chunks[d]) if p not in gone)
+        b, chunks = made[d]
+        later = [(s, e, *first[tuple(b[s:e])]) for s, e in chunks if first[tuple(b[s:e])] != (d, s)]
+        gone = set()
+        for k, (s, e, fd, fs) in enumerate(later):
+            fb, fe = made[fd][0], fs + e - s
+            low, high = later[k - 1][1] if k else 0, later[k + 1][0] if k + 1 < len(later) else len(b)
+            gone |= set(range(s, e))
+            for j in range(1, reach + 1):
+                if s - j < low or fs - j < 0 or b[s - j] != fb[fs - j]:
+                    break
+                gone.add(s - j)
+            for j in range(reach):
+                if e + j >= high or fe + j >= len(fb) or b[e + j] != fb[fe + j]:
+                    break
+                gone.add(e + j)
+        text, kept, i = lines(d[1]), [], 0
+        while i < len(text):
+            j = i
+            while j in gone:
+                j += 1
+            if j == i or len(words("".join(text[i:j]))) < min_words:
+                j = max(j, i + 1)
+                kept += text[i:j]
+            i = j
+        out[d] = None if d[1] is None else "".join(kept)
     return out
 
 
