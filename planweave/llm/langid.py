@@ -1,20 +1,23 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed
+For each language a suffix automaton is built over a bounded sample of labelled texts. A text is parsed
 from left to right into the longest phrases that occur in that sample; the fewer phrases it takes, the
 more alike they are. The language with the fewest phrases, normalised by the logarithm of its sample's
 length and by the text's length (the Ziv-Merhav estimate of cross entropy), wins.
 
 Texts are read whole, as symbols: letters in lower case, and one separator for every run of other
-characters. They are parsed in segments of `segment` symbols, so that one vector operation advances
-all segments of a batch by a symbol; a phrase ends where its segment ends.
+characters. All texts of a batch are parsed at once, one vector operation a symbol; texts of more than `segment` symbols
+are parsed in segments, and a phrase ends where its segment ends (once in 8192 symbols).
 
-Bounds: at most `docs_per_language` documents (those with the smallest hashes of their ids) and
-`symbols` symbols of them are learned per language; only that text (symbols times languages) is sent to
-the workers, which build the automata themselves, 2 * symbols * alphabet * 4 bytes each.
+Bounds, all on the labelled rows that are learned from: per language the documents with the smallest hashes of their ids, at
+most `docs_per_language`, each whole, as long as they have `symbols` characters together (a document that would
+go beyond is passed over); at most `languages` languages, those with most labelled rows. The choice reads ids, labels and
+lengths. Only those texts are sent to the workers, which build the automata themselves, 2 * symbols * alphabet * 4 bytes
+each; if there are more than four languages `symbols` is shared out, so that the automata of all take 100 MB or so.
 
 Edge cases: a text that is null or has no letter gets `und` and score 0; if nothing could be learned,
-every text does; ties go to the first language by code point; rows are judged each by itself.
+every text does; ties go to the first language by code point; repeated rows are judged each by itself; a text of any length is read
+whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,21 +35,21 @@ from planweave.llm.common import ship
 UNDETERMINED = "und"
 #: Distinct letters that have a symbol of their own; all others share one.
 LETTERS = 96
-SEP, PAD = 0, 1
+SEP = 0
 
 
 class Alphabet:
-    """Code points to symbols: 0 separator, 1 padding, 2 rare letter, 3... letters."""
+    """Code points to symbols: 0 separator, 1 rare letter, 2... letters."""
 
     def __init__(self, letters: str):
-        self.size = 3 + len(letters)
+        self.size = 2 + len(letters)
         self.table = np.zeros(0x110000, np.uint8)
-        own = {c: 3 + k for k, c in enumerate(letters)}
+        own = {c: 2 + k for k, c in enumerate(letters)}
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
                 low = c.lower()
-                self.table[cp] = own.get(low if len(low) == 1 else low[0], 2)
+                self.table[cp] = own.get(low if len(low) == 1 else low[0], 1)
 
     def symbols(self, text: str) -> np.ndarray:
         """Separator first, one for each run of other characters."""
@@ -92,7 +95,6 @@ def automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
     restart = np.ones(alphabet, np.int32)  # an unknown symbol is a phrase and leaves the root
     for c, s in nxt[0].items():
         restart[c] = 2 * s * alphabet + 1
-    restart[PAD] = 0  # padding begins no phrase
     table = np.tile(restart, (len(nxt), 1))
     for s, edges in enumerate(nxt[1:], 1):
         for c, to in edges.items():
@@ -101,36 +103,41 @@ def automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, samples: dict[str, list[str]], symbols: int = 32_768, segment: int = 256):
+    def __init__(self, samples: dict[str, list[str]], segment: int = 8192):
         self.segment = segment
         self.languages = sorted(samples)
         self.alphabet = Alphabet(letters_of([t for x in samples.values() for t in x]))
         self.tables, self.lengths = [], []
         for lang in self.languages:
-            text = np.concatenate([self.alphabet.symbols(t) for t in samples[lang]] + [np.zeros(0, np.uint8)])[:symbols]
+            text = np.concatenate([self.alphabet.symbols(t) for t in samples[lang]] + [np.zeros(0, np.uint8)])
             self.tables.append(automaton(text, self.alphabet.size))
             self.lengths.append(max(2, len(text)))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of every text in every language."""
-        per = [-(-len(t) // self.segment) for t in texts]
-        flat = np.full(sum(per) * self.segment, PAD, np.uint8)
-        at = 0
-        for t, n in zip(texts, per, strict=True):
-            flat[at : at + len(t)] = t
-            at += n * self.segment
-        steps = np.ascontiguousarray(flat.reshape(-1, self.segment).T)
+        """Phrases of every text in every language. Segments are lanes, longest first, so that those still
+        running are the first ones."""
+        flat = np.concatenate(texts)
+        sizes = np.array([len(t) for t in texts])
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        per = -(-sizes // self.segment)
         owner = np.repeat(np.arange(len(texts)), per)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+        at = starts[owner] + nth * self.segment
+        length = np.minimum(sizes[owner] - nth * self.segment, self.segment)
+        order = np.argsort(-length, kind="stable")
+        owner, at, length = owner[order], at[order], length[order]
+        running = np.searchsorted(-length, -np.arange(length[0]), side="left")  # lanes longer than each step
+        state = [np.zeros(len(owner), np.int32) for _ in self.tables]
+        count = [np.zeros(len(owner), np.int32) for _ in self.tables]
+        for step, n in enumerate(running.tolist()):
+            symbols = flat[at[:n] + step]
+            for table, s, c in zip(self.tables, state, count, strict=True):
+                v = table[s[:n] + symbols]
+                c[:n] += v & 1
+                s[:n] = v >> 1
         out = np.zeros((len(texts), len(self.tables)), np.int64)
-        for k, table in enumerate(self.tables):
-            state = np.zeros(steps.shape[1], np.int32)
-            count = np.zeros(steps.shape[1], np.int32)
-            for symbols in steps:
-                state += symbols
-                v = table[state]
-                count += v & 1
-                state = v >> 1
-            out[:, k] = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
+        for k, c in enumerate(count):
+            out[:, k] = np.bincount(owner, weights=c, minlength=len(texts)).astype(np.int64)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
@@ -156,25 +163,36 @@ class Model:
                 if s.any():
                     todo.append((i, s))
                     held += len(s)
-                    if held > 4_000_000:
+                    if held > 8_000_000:
                         flush()
         flush()
         return langs, scores, bits
 
 
-def sample(docs: DataFrame, docs_per_language: int = 64, chars_per_doc: int = 4096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
-    """The labelled texts to learn from: per language the documents with the smallest hashes. The ranking
-    reads ids and labels only and keeps docs_per_language rows a task and language before it shuffles."""
-    mark = F.xxhash64(F.col(id_col))
-    rows = docs.filter(F.col(lang_col).isNotNull())
-    ranked = rows.select(F.col(lang_col).alias("lang"), mark.alias("mark")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("mark")))
-    last = ranked.filter(F.col("k") <= docs_per_language).groupBy("lang").agg(F.max("mark").alias("last"))
-    near = rows.join(F.broadcast(last.withColumnRenamed("lang", "_lang")), (F.col(lang_col) == F.col("_lang")) & (mark <= F.col("last")))
-    got = near.select(F.col(lang_col).alias("lang"), mark.alias("mark"), F.substring(F.col(text_col), 1, chars_per_doc).alias("text"))
-    order = Window.partitionBy("lang").orderBy("mark", "text")
-    kept = got.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= docs_per_language).orderBy("lang", "k").collect()
+def sample(docs: DataFrame, docs_per_language: int = 64, symbols: int = 1 << 16, languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
+    """The labelled texts to learn from, as the module says. Only ids, labels and lengths are ranked, and
+    docs_per_language rows a task and language are kept before they are shuffled."""
+    mark = F.xxhash64(F.col(f"`{id_col}`"))
+    rows = docs.filter(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").alias("lang"), mark.alias("mark"), F.col(f"`{text_col}`").alias("text"))
+    # Languages of most rows; a count per language, cut to a bounded list before it is collected.
+    most = [r.lang for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
+    if not most:
+        return {}
+    room = min(symbols, 4 * symbols // len(most))
+    slim = rows.filter(F.col("lang").isin(most) & (F.length("text") <= room)).select("lang", "mark", F.length("text").alias("size"), F.xxhash64("text").alias("key"))
+    first = slim.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "key"))).filter(F.col("k") <= docs_per_language).collect()
+    chosen: set[tuple[str, int, int]] = set()
+    left = dict.fromkeys(most, room)
+    for r in sorted(first, key=lambda r: (r.lang, r.k)):
+        if r.size <= left[r.lang] and (r.lang, r.mark, r.key) not in chosen:
+            left[r.lang] -= r.size
+            chosen.add((r.lang, r.mark, r.key))
+    if not chosen:
+        return {}
+    picked = docs.sparkSession.createDataFrame(sorted(chosen), "lang string, mark long, key long")
+    got = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(picked), ["lang", "mark", "key"]).groupBy("lang", "mark", "key").agg(F.min("text").alias("text")).collect()
     out: dict[str, list[str]] = {}
-    for r in kept:
+    for r in sorted(got, key=lambda r: (r.lang, r.mark, r.key)):
         out.setdefault(r.lang, []).append(r.text or "")
     return out
 
@@ -189,10 +207,10 @@ def _model(key: str) -> Model:
     return _MODELS[key]
 
 
-def identifier(docs: DataFrame, samples: dict[str, list[str]], symbols: int = 32_768, segment: int = 256):
+def identifier(docs: DataFrame, samples: dict[str, list[str]], segment: int = 8192):
     """A function from a text column to struct<lang, score, bits>."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(json.dumps({"samples": samples, "symbols": symbols, "segment": segment}, sort_keys=True))
+    sent = docs.sparkSession.sparkContext.broadcast(json.dumps({"samples": samples, "segment": segment}, sort_keys=True))
 
     @F.pandas_udf("lang string, score double, bits double")
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -203,4 +221,4 @@ def identifier(docs: DataFrame, samples: dict[str, list[str]], symbols: int = 32
 
 
 def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "text", **bounds) -> Column:
-    return identifier(docs, samples, **bounds)(F.col(text_col))
+    return identifier(docs, samples, **bounds)(F.col(f"`{text_col}`"))
