@@ -1,5 +1,6 @@
 """Line dedup, n-gram join, mixing and quality rules against brute force."""
 
+import math
 import random
 from collections import Counter
 
@@ -142,34 +143,78 @@ def test_search_is_exact():
     assert len(joined) < 150 and all(hit[a, b] for a, b in joined)
 
 
-def test_mix(spark, docs):
-    rows = mixing.mix(frame(spark, docs)).collect()
+def dual(sizes, target, limit=2.0):
+    """The multiplier of a source, by bisection over its documents."""
+    words = lambda lam: sum(n * min(limit, math.exp(min(lam * n, 9))) for n in sizes)
+    low, high = -1.0, math.log(limit)
+    while words(low) > target:
+        low *= 2
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if words(mid) < target else (low, mid)
+    return low
+
+
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_mix(spark, docs, bound):
+    rows = mixing.mix(frame(spark, docs), broadcast_rows=bound).collect()
     again = mixing.mix(frame(spark, docs).repartition(5)).collect()
     assert Counter((r.doc_id, r.text, r._mix_copies) for r in rows) == Counter((r.doc_id, r.text, r._mix_copies) for r in again)
-    sizes, taken, largest = Counter(), Counter(), Counter()
+    sizes, taken, every = Counter(), Counter(), {}
     for r in rows:
         assert r._mix_size == len(words(r.text)) and 0 <= r._mix_copies <= 2 and r.target == "clash"
         sizes[r.source] += r._mix_size
         taken[r.source] += r._mix_size * r._mix_copies
-        largest[r.source] = max(largest[r.source], r._mix_size)
+        every.setdefault(r.source, []).append(r._mix_size)
     want = fill(sizes, (5, 2, 1), 1.5)
+    lam = {s: dual(every[s], t) for s, t in want.items()}
     for r in rows:
         assert r._mix_source_size == sizes[r.source] and r._mix_target == pytest.approx(want[r.source])
-        assert r._mix_rate == pytest.approx(want[r.source] / sizes[r.source])
-    alike = Counter()  # rows alike share their copies, so a source may be off by those
-    for (_, text, source), n in Counter((r.doc_id, r.text, r.source) for r in rows).items():
-        alike[source] += (n > 1) * n * len(words(text))
+        assert r._mix_rate == pytest.approx(min(2.0, math.exp(min(9, lam[r.source] * r._mix_size))), rel=1e-4)
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= max(30, 0.03 * want[s]) + alike[s], (s, taken[s], want[s], largest[s])
+        assert abs(taken[s] - want[s]) <= max(30, 0.03 * want[s]), (s, taken[s], want[s])
+    assert len({round(r._mix_rate, 6) for r in rows}) > 20
     mixed = mixing.repeated(mixing.mix(frame(spark, docs)), ["doc_id", "text"]).count()
     assert mixed == sum(r._mix_copies for r in rows)
 
 
+def test_mix_splits_rows_alike(spark):
+    """A third of all rows one row, and ties of size everywhere: the words taken still meet the target."""
+    rows = [(7, "one two three four", "hot")] * 1000 + [(100 + i, "w " * (3 + i % 3), "hot" if i % 2 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df.repartition(6)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r._mix_size * r._mix_copies
+        target[r.source] = r._mix_target
+    assert len(got) == len(rows) and all(abs(taken[s] - t) <= 1.5 for s, t in target.items())
+    again = mixing.mix(df.repartition(3)).collect()
+    assert Counter((r.doc_id, r.text, r.source, r._mix_copies) for r in got) == Counter((r.doc_id, r.text, r.source, r._mix_copies) for r in again)
+    assert len({r._mix_copies for r in got if r.doc_id == 7}) == 2
+
+
 def test_mix_edges(spark):
     one = spark.createDataFrame([(1, None, "s"), (2, "", None), (3, "a b c", "t")], "doc_id long, text string, source string")
     got = {r.doc_id: r for r in mixing.mix(one).collect()}
     assert got[1]._mix_size == 0 and got[1]._mix_target == 0 and got[3]._mix_target == pytest.approx(4.5) and got[3]._mix_copies in (1, 2)
     assert mixing.mix(one.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "a " * 400_000, "s"), (2, "b " * 100, "s"), (3, "c " * 100, "t")], "doc_id long, text string, source string")
+    assert {r.doc_id: r._mix_size for r in mixing.mix(long).collect()} == {1: 400_000, 2: 100, 3: 100}
+
+
+def test_mix_targets(spark):
+    """Water-filling over many sources, ranked by ranges, and an error instead of an unfinished dual."""
+    rng = random.Random(9)
+    sizes = {f"s{k:03}" + "é" * (k % 3): rng.choice([0, 1, 5, 50, 5000]) for k in range(300)} | {None: 40}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    for budget in (0.1, 1.5, 2.0):
+        got = {r.source: r.target for r in mixing.targets(df, (5, 2, 1), budget, 2.0).collect()}
+        want = fill(sizes, (5, 2, 1), budget) if budget < 2 else {s: 2.0 * n for s, n in sizes.items()}
+        assert got == pytest.approx(want)
+    histogram = spark.createDataFrame([("a", 10, 5), ("a", 90, 5)], "source string, _size long, docs long")
+    wanted = spark.createDataFrame([("a", 500, 300.0)], "source string, source_size long, target double")
+    with pytest.raises(RuntimeError):
+        mixing.multipliers(histogram, wanted, 2.0, most=1)
 
 
 def test_quality(spark, docs):
