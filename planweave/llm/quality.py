@@ -6,8 +6,8 @@ policies can be changed, compared and ablated on the stored ledger without readi
 DataFrame functions only; a map over the scan, no shuffle. Ablations aggregate the ledger's distinct
 bit patterns (at most two to the number of rules).
 
-Edge cases: a null text has no words and fails `few_words`; repeated rows are judged each by itself; a
-null id stays null; other columns are ignored; an empty table gives an empty ledger.
+Edge cases: a null text has no words and fails `few_words`; repeated rows are judged each by itself; a text of any
+length is measured whole, in time n log n; a null id stays null; other columns are ignored; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from planweave.llm.common import SPACE
 
-#: Texts of up to 4095 words pack 52 bits of a window's hash beside its place; longer ones keep all 64.
+#: Texts of up to 4095 words pack 52 bits of a window's hash beside its place; longer ones keep all 64. Words of equal hashes are compared.
 INDEX_BITS = 12
 
 #: Rules in order of their bits: (name, measurement-based condition for failure). The first two are the base.
@@ -54,21 +54,26 @@ STANDARD = Policy("standard", 1, tuple(BITS))
 
 def repeat_words(words: Column, n: Column, hashes: Column) -> Column:
     """Words inside 3-word windows that occur twice or more: sort (hash, place), keep what equals a
-    neighbour, then add up the union of the intervals. O(n log n), inside the row."""
+    neighbour in hash and words, then add up the union of the intervals. O(n log n), inside the row."""
     mask = (1 << INDEX_BITS) - 1
 
+    def same_words(a: Column, b: Column) -> Column:
+        at = lambda i, k: F.get(words, i.cast("int") + k)
+        return (at(a, 0) == at(b, 0)) & (at(a, 1) == at(b, 1)) & (at(a, 2) == at(b, 2))
+
     def covered(places: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("sum"))
         step = lambda a, i: F.struct((i + 3).alias("end"), (a["sum"] + 3 - F.greatest(a["end"] - i, F.lit(0))).alias("sum"))
         return F.aggregate(places, start, step, lambda a: a["sum"])
 
     def packed(p: Column) -> Column:
-        same = lambda x, j: F.shiftright(x, INDEX_BITS) == F.shiftright(F.get(p, j), INDEX_BITS)
+        place = lambda x: x.bitwiseAND(F.lit(mask).cast("long"))
+        same = lambda x, j: (F.shiftright(x, INDEX_BITS) == F.shiftright(F.get(p, j), INDEX_BITS)) & same_words(place(x), place(F.get(p, j)))
         twice = F.filter(p, lambda x, j: F.coalesce(same(x, j + 1), F.lit(False)) | ((j > 0) & same(x, F.greatest(j - 1, F.lit(0)))))
-        return covered(F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.lit(mask).cast("long")))))
+        return covered(F.sort_array(F.transform(twice, place)))
 
     def paired(p: Column) -> Column:
-        same = lambda x, j: x["h"] == F.get(p, j)["h"]
+        same = lambda x, j: (x["h"] == F.get(p, j)["h"]) & same_words(x["i"], F.get(p, j)["i"])
         twice = F.filter(p, lambda x, j: F.coalesce(same(x, j + 1), F.lit(False)) | ((j > 0) & same(x, F.greatest(j - 1, F.lit(0)))))
         return covered(F.sort_array(F.transform(twice, lambda x: x["i"])))
 

@@ -249,8 +249,18 @@ def test_repeat_words_of_huge_texts(spark, monkeypatch):
         assert usual[i] == len({k + j for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for j in range(3)})
 
 
-def test_repeat_words_tells_near_hashes_apart(spark):
-    """Windows whose hashes differ in low bits only are different, in short and in long texts."""
-    df = spark.createDataFrame([(7, [5 << 40, 5 << 40, 1 << 20, 2 << 20]), (5000, [5 << 40, 5 << 40, 1, 2])], "n long, hashes array<long>")
-    got = df.select(quality.repeat_words(F.lit(None), F.col("n"), F.col("hashes")).alias("r")).collect()
-    assert [r.r for r in got] == [4, 4]
+def test_repeat_words_compares_words(spark):
+    """Windows whose hashes are equal by chance are different, in short and in long texts."""
+    words = "a b c d a b c x y z".split()
+    hashes = [5, 9, 9, 9, 5, 7, 9, 9]  # of its windows; only a b c occurs twice
+    df = spark.createDataFrame([(n, words, [h << 40 for h in hashes]) for n in (7, 5000)], "n long, words array<string>, hashes array<long>")
+    got = df.select(quality.repeat_words(F.col("words"), F.col("n"), F.col("hashes")).alias("r")).collect()
+    assert [r.r for r in got] == [6, 6]
+
+
+def test_quality_of_a_very_long_text(spark):
+    """3,000,000 words of which two windows are equal."""
+    words = [f"w{i}" for i in range(3_000_000)]
+    words[2_000_000:2_000_003] = words[5:8]
+    got = quality.measure(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    assert (got.n_words, got.n_repeat_words, got.n_lines) == (3_000_000, 6, 1)
