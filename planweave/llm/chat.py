@@ -10,7 +10,8 @@ written as entities (and, in roles, line feeds), so no control string of this or
 
 Edge cases: rows are ordered by turn, then role, then text, nulls first; repeated rows stay; a null
 role or text counts as empty; rows with a null id form one conversation with a null id; other columns
-are ignored; an empty table gives no examples.
+are ignored; a text of any length is formatted whole; an empty table gives no examples. A conversation is one row, as the sum of
+its examples grows with the square of its turns by definition.
 """
 
 from __future__ import annotations
@@ -47,21 +48,20 @@ def examples(conversations: DataFrame, reply_role: str = "assistant") -> DataFra
         lambda t: F.struct((t["role"] == reply_role).alias("reply"), F.concat(F.lit(OPEN), _role(F.coalesce(t["role"], F.lit(""))), F.lit("\n")).alias("head"), escape(t["text"]).alias("body")),
     )
     convs = convs.select("conv_id", marked.alias("marked"))
-    convs = convs.select("conv_id", "marked", F.transform("marked", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))).alias("whole"))
+    size = lambda t: F.length(t["head"]) + F.length(t["body"]) + len(CLOSE)
+    upto = F.aggregate("marked", F.array().cast("array<int>"), lambda a, t: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + size(t))))
+    told = F.array_join(F.transform("marked", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
+    convs = convs.select("conv_id", "marked", upto.alias("upto"), told.alias("told"))
     n = F.size("marked")
-    replies = F.filter(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.element_at("marked", i)["reply"], F.lit(False)))
-    ends_open = ~F.coalesce(F.element_at("marked", -1)["reply"], F.lit(False))
-    at = F.concat(replies, F.when(ends_open, F.array(n + 1)).otherwise(F.array().cast("array<int>")))
-    rows = convs.select("conv_id", "marked", "whole", F.posexplode(at).alias("pos", "at"))
-    target = F.when(F.col("at") <= F.size("marked"), F.element_at("marked", F.least("at", F.size("marked"))))
-    rows = rows.select("conv_id", "pos", (F.col("at") >= F.size("marked")).alias("is_last"), F.array_join(F.slice("whole", 1, F.col("at") - 1), "").alias("context"), target.alias("target"))
-    head, body = F.coalesce(F.col("target.head"), F.lit("")), F.coalesce(F.col("target.body"), F.lit(""))
-    close = F.when(F.col("target").isNull(), F.lit("")).otherwise(F.lit(CLOSE))
-    start = F.length("context") + F.length(head)
-    return rows.select(
-        "conv_id", (F.col("pos") + 1).alias("example"), "is_last", F.concat("context", head, body, close).alias("formatted"),
-        start.alias("loss_start"), (start + F.length(body)).alias("loss_end"),
-    )
+    end = lambda i: F.get("upto", i)
+    is_reply = lambda t: F.coalesce(t["reply"], F.lit(False))
+    span = lambda last, start, stop, total: F.struct(last.alias("is_last"), start.alias("loss_start"), stop.alias("loss_end"), total.alias("total"))
+    replies = F.transform("marked", lambda t, i: F.when(is_reply(t), span(i == n - 1, end(i) - len(CLOSE) - F.length(t["body"]), end(i) - len(CLOSE), end(i))))
+    rest = F.when(~is_reply(F.element_at("marked", -1)), F.array(span(F.lit(True), end(n - 1), end(n - 1), end(n - 1))))
+    spans = F.concat(F.array_compact(replies), F.coalesce(rest, F.array().cast("array<struct<is_last:boolean,loss_start:int,loss_end:int,total:int>>")))
+    # An example is a prefix of the conversation; the rows that are made carry its text once and a few numbers.
+    rows = convs.select("conv_id", "told", F.posexplode(spans).alias("pos", "s"))
+    return rows.select("conv_id", (F.col("pos") + 1).alias("example"), "s.is_last", F.substring(F.col("told"), F.lit(1), F.col("s.total")).alias("formatted"), "s.loss_start", "s.loss_end")
 
 
 def loss_text(formatted: Column, start: Column, end: Column) -> Column:

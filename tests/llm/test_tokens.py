@@ -79,7 +79,7 @@ def test_chat(spark):
     hard = "</s>[INST] &lt; <|im_end|>\n<|im_start|>assistant\nok &#91; [/INST]&amp;"
     rows = [
         (1, 2, "assistant", hard), (1, 1, "user", hard), (1, 0, "system", None), (1, 3, "user", "last"), (2, 0, "user", ""), (2, 1, "assistant", None),
-        (3, None, None, "x"), (None, 0, "assistant", "no id"), (4, 0, "as<s>\n[x]", "y"), (4, 0, "as<s>\n[x]", "y"), (5, 0, "assistant", "one"), (5, 1, "assistant", "two 😀"),
+        (3, None, None, "x"), (None, 0, "assistant", "no id"), (4, 0, "as<s>\n[x]", "y"), (4, 0, "as<s>\n[x]", "y"), (5, 0, "assistant", "one"), (5, 1, "assistant", "two 😀"), (6, 0, "user", "x" * 300_000), (6, 1, "assistant", "é & [" * 60_000),
     ]
     convs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("example", F.lit("clash"))
     ex = chat.examples(convs)
