@@ -1,7 +1,10 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Each step is a minimum per node and a join; the links of a step are written to the shared folder.
-Nothing but a count and a checksum reaches the driver."""
+Nothing but a count and a checksum reaches the driver. A chain of n nodes takes about log2(n) rounds.
+
+Edge cases: links given twice, both ways or to a node itself are the same as given once or not at all; a null end
+is no node; no links give no rows. If the links still change after `most` rounds, an error is raised."""
 
 from __future__ import annotations
 
@@ -30,5 +33,7 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components still change after {most} rounds")
     ends = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return ends.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
