@@ -42,7 +42,8 @@ def lines(text: Column) -> Column:
 
 
 def _bare(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r\n"))
+    """Lines are compared without spaces at their ends."""
+    return F.trim(line)
 
 
 def _key(h: Column, place: str) -> Column:
@@ -80,7 +81,8 @@ def places(chunks: DataFrame, repeated: DataFrame, around: bool) -> DataFrame:
 
 
 def marks(docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
-    """m1, m2 (the row's keys) and marks, in order: each repeated chunk with its first occurrence (f1, f2, fstart) and the lines around that."""
+    """m1, m2 (the row's keys) and marks, in order: each repeated chunk, whether it is a later occurrence, and for those
+    the lines around the first."""
     chunks = stored(cut(docs, id_col, text_col), "chunks")
     counted = chunks.select(F.explode(F.filter("spans", lambda s: s["size"] > 1)["h"]).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     repeated = stored(counted.filter("n > 1").select("g"), "repeated")
@@ -89,19 +91,22 @@ def marks(docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> D
     first = places(chunks, known, True).groupBy(F.col("h").alias("fh")).agg(F.min(place).alias("first"))
     first = stored(first.select("fh", *[F.col(f"first.{c}").alias(c) for c in ("f1", "f2", "fstart", *_SIDES)]), "first")
     held = places(chunks, known, False).join(first, F.col("h") == F.col("fh"))
-    row = F.struct("start", "size", "h", "f1", "f2", "fstart", *_SIDES)
+    later = (F.col("f1") != F.col("k1")) | (F.col("f2") != F.col("k2")) | (F.col("fstart") != F.col("start"))
+    row = F.struct("start", "size", "h", later.alias("later"), *[F.when(later, F.col(c)).alias(c) for c in _SIDES])
     out = stored(held.groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(F.sort_array(F.collect_set(row)).alias("marks")), "marks")
     drop_stored(chunks, repeated, first)
     return out
 
 
-def _words(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(text, SPACE), ""))
+def _many_words(text: Column, least: int) -> Column:
+    """Whether a text has `least` words; its beginning often tells."""
+    some = lambda t: F.size(F.array_remove(F.split(t, SPACE), "")) >= least
+    return F.when(some(F.substring(text, 1, 20 * least)), True).otherwise(some(text))
 
 
 def _found(text: Column, min_words: int) -> Column:
     """From a text and its `marks`: struct of drop (start and size in lines of each passage that goes), clean
-    (the text without them) and check (key, h, t: texts that must agree wherever the key occurs)."""
+    (the text without them) and check (key, t: texts that must agree wherever the key occurs)."""
 
     def grown(u: Column, m: Column, before: Column, after: Column) -> Column:
         """Lines from start to end, no further than the neighbouring marks."""
@@ -132,7 +137,7 @@ def _found(text: Column, min_words: int) -> Column:
             return _bind(spans, lambda g: result(later, g))
 
         def result(later: Column, g: Column) -> Column:
-            gone = F.filter(joined(g), lambda d: _words(text_of(u, d["start"], d["size"])) >= min_words)
+            gone = F.filter(joined(g), lambda d: _bind(text_of(u, d["start"], d["size"]), lambda t: _many_words(t, min_words)))
             return _bind(gone, lambda d: F.struct(d.alias("drop"), cleaned(d).alias("clean"), check(later, g).alias("check")))
 
         def cleaned(d: Column) -> Column:
@@ -141,34 +146,30 @@ def _found(text: Column, min_words: int) -> Column:
             return F.when(F.size(d) == 0, text).otherwise(F.concat(F.array_join(kept, ""), rest))
 
         def check(later: Column, g: Column) -> Column:
-            row = lambda key, m, t: F.struct(key.alias("key"), m["h"].alias("h"), t.alias("t"))
+            row = lambda key, t: F.struct(key.alias("key"), t.alias("t"))
             bare = lambda i: _bare(F.get(u, i))
-            chunk = F.transform("marks", lambda m: row(m["h"], m, F.array_join(F.transform(F.slice(u, m["start"] + 1, m["size"]), _bare), "\n")))
+            chunk = F.transform("marks", lambda m: row(m["h"], F.array_join(F.transform(F.slice(u, m["start"] + 1, m["size"]), _bare), "\n")))
 
             def sides(m: Column, low: Column, high: Column) -> Column:
-                before = [F.when(m["start"] - j >= low, row(_key(m["h"], f"l{j}"), m, bare(m["start"] - j))) for j in range(1, REACH + 1)]
-                after = [F.when(m["start"] + m["size"] + j <= high, row(_key(m["h"], f"r{j}"), m, bare(m["start"] + m["size"] + j - 1))) for j in range(1, REACH + 1)]
+                before = [F.when(m["start"] - j >= low, row(_key(m["h"], f"l{j}"), bare(m["start"] - j))) for j in range(1, REACH + 1)]
+                after = [F.when(m["start"] + m["size"] + j <= high, row(_key(m["h"], f"r{j}"), bare(m["start"] + m["size"] + j - 1))) for j in range(1, REACH + 1)]
                 return F.array_compact(F.array(*before, *after))
 
-            first = F.flatten(F.transform(F.filter("marks", lambda m: ~_later(m)), lambda m: sides(m, F.lit(0), F.size(u))))
+            first = F.flatten(F.transform(F.filter("marks", lambda m: ~m["later"]), lambda m: sides(m, F.lit(0), F.size(u))))
             grew = F.flatten(F.transform(later, lambda m, i: sides(m, F.get(g, i)["start"], F.get(g, i)["end"])))
             return F.concat(chunk, first, grew)
 
-        return _bind(F.filter("marks", _later), with_later)
+        return _bind(F.filter("marks", lambda m: m["later"]), with_later)
 
     return _bind(lines(text), of)
 
 
-def _later(m: Column) -> Column:
-    return (m["f1"] != F.col("k1")) | (m["f2"] != F.col("k2")) | (m["fstart"] != m["start"])
-
-
 def _applied(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, min_words: int, how: str) -> DataFrame:
     """The rows of docs (with an inner join those that have marks) with _ld_drop, _ld_clean and _ld_check."""
     columns, text = [F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text_col}`")
     found = found.select(*[F.col(c).alias(f"_ld_{c}") for c in ("m1", "m2", "marks")])
     rows = _keyed(docs, id_col, text_col).join(found, F.expr(_SAME), how)
-    inside = rows.select(F.struct(*columns).alias("_ld_row"), text.alias("_ld_text"), *[F.col(f"_ld_{c}").alias(c) for c in ("k1", "k2", "marks")])
+    inside = rows.select(F.struct(*columns).alias("_ld_row"), text.alias("_ld_text"), F.col("_ld_marks").alias("marks"))
     inside = inside.select("_ld_row", "_ld_text", F.when(F.col("marks").isNotNull(), _found(F.col("_ld_text"), min_words)).alias("_ld_found"))
     got = F.col("_ld_found")
     return inside.select(*[F.col(f"_ld_row.`{c}`").alias(c) for c in docs.columns], F.coalesce(got["drop"], _NOTHING()).alias("_ld_drop"), F.when(got.isNull(), F.col("_ld_text")).otherwise(got["clean"]).alias("_ld_clean"), got["check"].alias("_ld_check"))
@@ -190,12 +191,15 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
     few = keys.count() <= broadcast_rows / 2
     hit = _keyed(docs, id_col, text_col).join(F.broadcast(keys), F.expr(_SAME), "left_semi").drop("_ld_k1", "_ld_k2") if few else docs
     how = "inner" if few else "left"
-    rows = stored(_applied(hit, found, id_col, text_col, min_words, how), "marked")
+    rows = stored(_applied(hit, found, id_col, text_col, min_words, how), "marked", codec="zstd")
     # Byte comparison: what shares a key is the same text if the key has one distinct text.
     texts = rows.select(F.explode("_ld_check").alias("c")).select("c.*").distinct()
-    bad = stored(texts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("b")).filter("n > 1").select("b").distinct(), "unequal")
+    bad = stored(texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("b")), "unequal")
     if bad.limit(1).count():
-        flat = found.select("m1", "m2", F.explode("marks").alias("m")).join(bad, F.col("m.h") == F.col("b"), "left_anti")
+        flat = found.select("m1", "m2", F.explode("marks").alias("m"))
+        keys_of = F.array(F.col("m.h"), *[_key(F.col("m.h"), c) for c in _SIDES])
+        off = flat.select("m1", "m2", F.col("m.start").alias("start"), F.explode(keys_of).alias("k")).join(bad, F.col("k") == F.col("b"), "left_semi").select("m1", "m2", "start").distinct()
+        flat = flat.withColumn("start", F.col("m.start")).join(off, ["m1", "m2", "start"], "left_anti")
         good = stored(flat.groupBy("m1", "m2").agg(F.sort_array(F.collect_set("m")).alias("marks")), "marks")
         again = stored(_applied(hit, good, id_col, text_col, min_words, "left"), "marked")
         drop_stored(rows, good)

@@ -85,7 +85,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    found = lm_score.score(docs, fold(F.col("doc_id"), 10) != 0, min_count=1)
+    found = lm_score.score(docs, fold(F.col("doc_id"), 10) != 0)
     return found.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -101,7 +101,7 @@ WITH cut AS (
            '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), ', ', ', ' || chr(1)), '; ', '; ' || chr(1)), ': ', ': ' || chr(1)), chr(1)), lambda x: x <> '') AS lines
   FROM documents),
 line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS n FROM cut),
-bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS b FROM line),
+bare AS (SELECT *, trim(line) AS b FROM line),
 ends AS (
   SELECT *, i = n OR coalesce(md5(b) < lead(md5(b)) OVER w, false) AS ends FROM bare WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ends),
@@ -177,13 +177,14 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT min(row_no) AS row_no, vec_id, e FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id, e),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+  SELECT q.row_no, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM q JOIN v c ON q.row_no <> c.row_no AND len(q.e) = len(c.e))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+FROM (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
 

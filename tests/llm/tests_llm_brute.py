@@ -16,7 +16,7 @@ def lines(text):
 
 
 def bare(line):
-    return line.strip(" \t\r\n")
+    return line.strip(" ")
 
 
 def cut(text):
