@@ -5,14 +5,17 @@ are one class first, so copies are never paired. Then:
 
 1. Routing. A class is posted under its smallest shingle hashes, as many as a prefix filter needs,
    at most `route`. Hashes are random, so the first `route` hashes of the union of two sets that link
-   miss their common part with probability (1 - threshold) ** route: 2.6e-13 for 18 and 0.8, about the
-   chance of a 64-bit collision; sets of up to 85 shingles are routed exactly.
+   miss their common part with probability (1 - threshold) ** route: 2.6e-13 for 18 and 0.8;
+   sets of up to 85 shingles are routed exactly.
 2. Candidates. In each cell (classes that share a posted shingle) T-occurrence search over sketches
-   (the `sketch` smallest hashes, the whole set if it is no larger) finds the classes that have a
+   (the `sketch` smallest hashes, 64 bits each, the whole set if it is no larger) finds the classes that have a
    partner. A pair belongs to the cell of its smallest common shingle. For larger sets the required
-   count is 24 of 64, more than eight standard deviations below what a link gives.
+   count is 24 of 64 (3 of 8 of the sketch), more than eight standard deviations below what a link gives.
 3. Links. The same search over the whole sets of those classes, with the exact threshold.
 
+With route=None every class is posted under the whole prefix, with sketch=None sketches are whole sets: then
+nothing is left to chance but 64-bit hashes of shingles.
+
 T-occurrence (DivideSkip): the inverted lists of a cell are divided; short lists are merged by
 counting, long lists are skipped, and only documents whose merged count can still reach T with all of
 the query's long lists are probed there (by binary search, or as a matrix product where most are).
@@ -20,16 +23,21 @@ In step 3 queries inside the largest component of their cell are left out: links
 nothing, and a link to another component is found from there. So a cell emits fewer links than members.
 If links are to be counted, all queries run over the whole sets; a pair counts in the cell of its smallest
 common shingle only, and a cell emits one number per member, weighted by class sizes, but no pairs.
-A cell of more than `block` classes is solved as pairs of blocks, each a group of its own.
+
+Cells of more than `block` classes, or in step 3 of more than `block_shingles` shingles in all, are cut twice: by size
+(classes whose sizes are in a ratio below the threshold cannot link; a class goes to the band of its size and to the one
+below, and a pair belongs to the lower of its members' bands), and, where a band is still too large, into pairs of blocks, each a
+group of its own. So a worker holds two blocks.
 
 Links become components by star contraction. Edge cases: a text that is null or without words has no
 shingles and links with nothing; fewer words than `k` are one shingle; repeated rows are equal sets; a
-null id takes part but is never the smallest unless its whole component is null; other columns are
-ignored; an empty table gives no rows.
+null id takes part but is never the smallest unless its whole component is null, and between equal ids the smaller hash
+of id and text is first; a text of any length is read whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,31 +47,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planweave.llm.common import ship, stored
+from planweave.llm.common import row_keys, ship, stored
 from planweave.llm.components import components
+from planweave.llm.words import HASHES
 
-SKETCH_NEED = 24
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
-
-
 def shingles(text: bytes | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text (bytes.lower() and bytes.split() know
     ASCII only, which is what the definition of words asks for)."""
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
     width = min(k, len(words))
     n = len(words) - width + 1
     h = np.full(n, width, np.uint64)
@@ -143,23 +140,33 @@ def _tops(n: np.ndarray, percent: int) -> Callable[[np.ndarray], np.ndarray]:
     return lambda q: -(-percent * (n[q][:, None] + n[None, :]) // (100 + percent))
 
 
-def candidates(sets: list[np.ndarray], place: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int, sketch: int) -> np.ndarray:
+def _fits(a: int, b: int) -> bool:
+    """Whether rows with sides a and b make a pair of this group: of one block or of different ones, and not both
+    from the band above (those are the pairs of that band)."""
+    return (a & 3 == 2 or a & 3 != b & 3) and not a & b & 4
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_fits() of all a with all b."""
+    one, two, above = a[:, None] & 3, b[None, :] & 3, (a[:, None] & 4) & (b[None, :] & 4)
+    return ((one == 2) | (one != two)) & (above == 0)
+
+
+def candidates(sets: list[np.ndarray], place: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int, sketch: int | None) -> np.ndarray:
     """Which rows of a cell have a partner that belongs to this cell. sets: sketches in hash order;
-    place: where the cell's shingle stands in each; side: 0 or 1 (different blocks) or 2 (one block)."""
+    place: where the cell's shingle stands in each; side: bit 0 and 1 tell the blocks a row stands for, bit 2 that
+    it is here for the band above its own."""
     m = len(sets)
     has = np.zeros(m, bool)
 
-    def fits(a: int, b: int) -> bool:
-        return side[a] == 2 or side[a] != side[b]
-
     if m <= 12:
-        own = [set(s.tolist()) for s in sets]
+        own, at = [set(s.tolist()) for s in sets], side.tolist()
         for a in range(m):
             for b in range(a + 1, m):
                 big, small = max(n[a], n[b]), min(n[a], n[b])
-                if 100 * small < percent * big or not fits(a, b) or (has[a] and has[b]):
+                if 100 * small < percent * big or not _fits(at[a], at[b]) or (has[a] and has[b]):
                     continue
-                need = -(-percent * (big + small) // (100 + percent)) if big <= sketch else min(SKETCH_NEED, -(-percent * big // 100))
+                need = -(-percent * (big + small) // (100 + percent)) if sketch is None or big <= sketch else min(3 * sketch // 8, -(-percent * big // 100))
                 if len(own[a] & own[b]) >= need and own[a].isdisjoint(sets[b][: place[b]].tolist()):
                     has[a] = has[b] = True
         return has
@@ -168,9 +175,9 @@ def candidates(sets: list[np.ndarray], place: np.ndarray, n: np.ndarray, side: n
     def need(q: np.ndarray) -> np.ndarray:
         big = np.maximum(n[q][:, None], n[None, :])
         small = np.minimum(n[q][:, None], n[None, :])
-        w = np.where(big <= sketch, exact(q), np.minimum(SKETCH_NEED, -(-percent * big // 100)))
+        w = exact(q) if sketch is None else np.where(big <= sketch, exact(q), np.minimum(3 * sketch // 8, -(-percent * big // 100)))
         w = np.where(100 * small < percent * big, 1 << 30, w)
-        return np.where((side[q][:, None] == 2) | (side[q][:, None] != side[None, :]), w, 1 << 30)
+        return np.where(_apart(side[q], side), w, 1 << 30)
 
     # does a pair share a shingle before this cell's? the same merge over what stands before it
     before = [s[:p] for s, p in zip(sets, place, strict=True)]
@@ -229,14 +236,14 @@ def links(sets: list[np.ndarray], n: np.ndarray, percent: int) -> list[tuple[int
 
 def link_counts(sets: list[np.ndarray], n: np.ndarray, side: np.ndarray, weight: np.ndarray, cell: int, percent: int) -> np.ndarray:
     """For each class of a cell the weight of the classes it links with, by the exact threshold; only pairs
-    whose smallest common shingle is the cell's, and of one block (side 2) or of different ones."""
+    whose smallest common shingle is the cell's, and that belong to this group (side as in candidates)."""
     m = len(sets)
     out = np.zeros(m, np.int64)
     if m <= 12:
-        own = [set(s.tolist()) for s in sets]
+        own, at = [set(s.tolist()) for s in sets], side.tolist()
         for a in range(m):
             for b in range(a + 1, m):
-                if side[a] == 2 or side[a] != side[b]:
+                if _fits(at[a], at[b]):
                     both = own[a] & own[b]
                     if 100 * len(both) >= percent * (len(own[a]) + len(own[b]) - len(both)) and min(both) == cell:
                         out[a] += weight[b]
@@ -253,7 +260,7 @@ def link_counts(sets: list[np.ndarray], n: np.ndarray, side: np.ndarray, weight:
         high = min(m, low + step, max(low + 1, int(np.searchsorted(work, work[low] + 2_000_000, "right")) - 1))
         q, low = np.arange(low, high), high
         hit = lists.search(q, need)
-        hit &= (side[q][:, None] == 2) | (side[q][:, None] != side[None, :])
+        hit &= _apart(side[q], side)
         if early is not None and hit.any():
             hit &= ~early.search(q, lambda q: np.ones((len(q), m), np.int64))
         out[q] = hit @ weight
@@ -287,60 +294,75 @@ def _arrays(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
 
-def classes_of(docs: DataFrame, k: int, percent: int, route: int, sketch: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: id, row_key, n, fp (fingerprint of the set), posted (hashes), sketch."""
+def classes_of(docs: DataFrame, k: int, percent: int, route: int | None, sketch: int | None, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: id, k1, k2, n, fp (fingerprint of the set), posted (hashes), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, fp, posted, sk = [], [], [], []
-            for x in b.column(2).cast(pa.binary()):
+            for x in b.column(3).cast(pa.binary()):
                 s = shingles(x.as_py(), k)
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                prefix = min(route, len(s) + percent * len(s) // -100 + 1) if len(s) else 0
-                posted.append(s[:prefix].view(np.int64))
-                sk.append((s[:sketch] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
+                prefix = len(s) + percent * len(s) // -100 + 1 if len(s) else 0
+                posted.append(s[: prefix if route is None else min(route, prefix)].view(np.int64))
+                sk.append(s[:sketch].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(posted, pa.list_(pa.int64())), pa.array(sk, pa.binary())],
-                ["id", "row_key", "n", "fp", "posted", "sketch"],
+                [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(posted, pa.list_(pa.int64())), pa.array(sk, pa.binary())],
+                ["id", "k1", "k2", "n", "fp", "posted", "sketch"],
             )
 
-    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, t) for c, t in (("row_key", T.LongType()), ("n", T.LongType()), ("fp", T.BinaryType()), ("posted", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())))])
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).mapInArrow(run, out)
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int = 18, sketch: int = 64, block: int = 4096, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
-    """id, row_key (hash of id and text), n_shingles, component_id (smallest id of the component), class_id
+    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, t) for c, t in (("k1", T.LongType()), ("k2", T.LongType()), ("n", T.LongType()), ("fp", T.BinaryType()), ("posted", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())))])
+    return docs.select(F.col(f"`{id_col}`").alias("id"), *row_keys(id_col, text_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, out)
+
+
+def dealt(posted: DataFrame, percent: int, block: int, shingles: int | None) -> DataFrame:
+    """posted(cell, fp, n, ...) with band, low, high, side: the groups that a row goes to. Cells of one class are gone."""
+    weight = F.sum("n") if shingles else F.lit(0)
+    per_cell = stored(posted.groupBy("cell").agg(F.count(F.lit(1)).alias("df"), weight.alias("all")).filter("df > 1"), "cells")  # a table, so that the join may split a hot cell
+    large = (F.col("df") > block) | (F.col("all") > (shingles or 0)) if shingles else F.col("df") > block
+    rows = posted.join(per_cell.select("cell", large.alias("large")), "cell")
+    own = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")  # sizes of two bands or more apart cannot link
+    bands = F.when(F.col("large"), F.array(own, own - 1)).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("own_band", F.when(F.col("large"), own).otherwise(0)).withColumn("band", F.explode(bands))
+    small, big = rows.filter("not large"), rows.filter("large")
+    per_band = big.groupBy("cell", "band").agg(F.count(F.lit(1)).alias("rows"), weight.alias("band_all"))
+    parts = F.ceil(F.greatest(F.col("rows") / block, F.col("band_all") / (shingles or 1))).cast("int")
+    big = big.join(per_band.filter("rows > 1").select("cell", "band", parts.alias("parts")), ["cell", "band"])
+    big = big.withColumn("mine", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1) + F.when(F.col("own_band") != F.col("band"), 4).otherwise(0)
+    names = [c for c in posted.columns if c != "cell"]
+    big = big.select("cell", "band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), side.alias("side"), *names)
+    return big.unionByName(small.select("cell", "band", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(2).alias("side"), *names))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int | None = 18, sketch: int | None = 64, block: int = 1024, block_shingles: int = 2_000_000, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """id, row_key (128 bits of hash of id and text), n_shingles, component_id (smallest id of the component), class_id
     (smallest id with an equal set), first_key (of the component: its smallest id's smallest row_key);
     with count_links also n_links (the other rows that the row links with, those of its class included)."""
     ship(docs.sparkSession)
     rows = stored(classes_of(docs, k, percent, route, sketch, id_col, text_col), "sketches")
+    key = F.struct("k1", "k2")
     found = rows.filter("n > 0")
-    classes = stored(found.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("posted").alias("posted"), F.first("sketch").alias("sketch")), "classes")
-    posted = classes.select("fp", F.posexplode("posted").alias("place", "cell"))
-    shared = posted.groupBy("cell").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    posted = posted.join(shared, "cell").select("fp", "cell", "place", F.ceil(F.col("df") / block).cast("int").alias("parts"))
-    posted = posted.withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    posted = posted.select("fp", "cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"), "place")
-    keys = ["cell", "low", "high"]
-    entries = posted.join(classes.select("fp", "n", "sketch"), "fp").select(*keys, "side", "place", "n", "fp", "sketch")
+    classes = stored(found.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", key.alias("row_key"))).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("posted").alias("posted"), F.first("sketch").alias("sketch")), "classes")
+    posted = classes.select("fp", "n", F.posexplode("posted").alias("place", "cell"))
+    keys = ["cell", "band", "low", "high"]
+    entries = dealt(posted, percent, block, None).join(classes.select("fp", "sketch"), "fp").select(*keys, "side", "place", "n", "fp", "sketch")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*keys, "side", "fp"]
-        for t in _groups(batches, 3):
+        for t in _groups(batches, 4):
             if t.num_rows > 1:
-                has = candidates(_arrays(t["sketch"], np.uint32), t["place"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy(), percent, sketch)
+                has = candidates(_arrays(t["sketch"], np.uint64), t["place"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy(), percent, sketch)
                 if has.any():
-                    yield from t.select(names).filter(pa.array(has)).combine_chunks().to_batches()
+                    yield from t.select(["cell", "fp", "n"]).filter(pa.array(has)).combine_chunks().to_batches()
 
-    kinds = "cell long, low int, high int, side int, fp binary"
-    hot = stored(entries.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(find, kinds), "candidates")
+    kinds = "cell long, fp binary, n long"
+    hot = stored(entries.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(find, kinds).distinct(), "candidates")
     # Whole sets, of the classes that are left only, from one of their texts.
-    left = hot.select("fp").distinct().join(classes.select("fp", F.col("least.row_key").alias("left_key")), "fp").select("left_key").distinct()
-    if left.count() <= broadcast_rows:  # 8 bytes a row
+    left = hot.select("fp").distinct().join(classes.select("fp", F.col("least.row_key.k1").alias("l1"), F.col("least.row_key.k2").alias("l2")), "fp").select("l1", "l2").distinct()
+    if left.count() <= broadcast_rows:  # 16 bytes a row
         left = F.broadcast(left)
-    chosen = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).join(left, F.col("row_key") == F.col("left_key"), "left_semi")
+    chosen = docs.select(*row_keys(id_col, text_col), F.col(f"`{text_col}`").alias("text")).join(left, (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")), "left_semi")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -350,7 +372,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int =
     sets = chosen.select("text").mapInArrow(whole, "fp binary, set binary").groupBy("fp").agg(F.first("set").alias("set")).join(classes.select("fp", "rows"), "fp")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 3):
+        for t in _groups(batches, 4):
             own = _arrays(t["set"], np.uint64)
             if len(own) < 2:
                 continue
@@ -365,7 +387,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int =
                 counts = link_counts(own, n, t["side"].to_numpy(), t["rows"].to_numpy(), cell, percent)
                 yield pa.RecordBatch.from_arrays([fp, pa.nulls(len(own), pa.binary()), pa.array(counts, pa.int64())], ["a", "b", "n"])
 
-    solved = hot.join(sets, "fp").select(*keys, "side", "fp", "set", "rows").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(solve, "a binary, b binary, n long")
+    solved = dealt(hot, percent, block, block_shingles).join(sets, "fp").select(*keys, "side", "fp", "set", "rows").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(solve, "a binary, b binary, n long")
     solved = stored(solved, "solved") if count_links else solved
     edges = solved.filter("b is not null").select("a", "b")
     roots = components(edges)
@@ -376,7 +398,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int =
         counted = solved.filter("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("linked"))
         per_class = classes.select("fp", "rows").join(counted, "fp", "left")
         known = known.join(per_class.select("fp", (F.coalesce("linked", F.lit(0)) + F.col("rows") - 1).alias("n_links")), "fp")
-    out = rows.select("id", "row_key", "n", "fp").join(known, "fp", "left")
+    out = rows.select("id", key.alias("row_key"), "n", "fp").join(known, "fp", "left")
     alone = F.col("n") == 0
     return out.select(
         F.col("id").alias(id_col), "row_key", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),

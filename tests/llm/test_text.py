@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planweave.llm import line_dedup, mixing, ngram_join, quality, queries
+from planweave.llm.common import row_keys
 from tests_llm_brute import dedup_brute, fill, groups_brute, shingle_set, words
 
 SF = "/root/testdata/sf0.001"
@@ -114,7 +115,7 @@ def test_ngram_join_counts_links(spark, docs, block):
             i = len(sets[a] & other)
             n += a != b and i > 0 and 100 * i >= 80 * (len(sets[a]) + len(other) - i)
         want[d[0], d[1], n] += 1
-    by_key = frame(spark, docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).distinct()
+    by_key = frame(spark, docs).select("doc_id", "text", F.struct(*row_keys("doc_id", "text")).alias("row_key")).distinct()
     found = ngram_join.near_duplicates(frame(spark, docs), block=block, count_links=True).select("row_key", "n_links")
     got = by_key.join(found, "row_key").select("doc_id", "text", "n_links").collect()
     assert Counter(map(tuple, got)) == want and max(n for _, _, n in want) > 20
@@ -124,6 +125,54 @@ def test_ngram_join_empty(spark, docs):
     assert ngram_join.near_duplicates(frame(spark, docs).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [{}, {"route": None, "sketch": None}])
+def test_ngram_join_of_long_texts(spark, exact):
+    """Texts of thousands of words, linked at the very threshold or just not, in cells cut by sizes and blocks."""
+    rng = random.Random(11)
+    rows = []
+    for n in (400, 700, 1300, 300 if exact else 20_000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for k in range(9):  # 5 shingles go with each word that is changed
+            w = list(base)
+            for i in range(0, round(n * (0.01 + 0.002 * k)) * 25, 25):
+                w[i % n] = f"x{k}_{i}"
+            rows.append(" ".join(w))
+        rows += [" ".join(base[: n * 8 // 10 + d]) for d in (0, 1, 5, 40)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(rows)]
+    want, size = groups_brute(rows)
+    bounds = {"block": 6, "block_shingles": 8000} if exact else {"block": 5}
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), count_links=True, **bounds, **exact).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d[0]: (size[d[0], d[1]], want[d[0], d[1]]) for d in rows}
+    sets = [shingle_set(t) for _, t, *_ in rows]
+    for r in got:
+        i = [len(sets[r.doc_id] & s) for s in sets]
+        assert r.n_links == sum(100 * x >= 80 * (len(sets[r.doc_id]) + len(s) - x) for x, s in zip(i, sets, strict=True)) - 1
+
+
+def test_candidates_with_equal_low_bits():
+    """Hashes that differ above their low 32 bits only are different."""
+    core = np.arange(1, 61, dtype=np.uint64) << np.uint64(40)
+    a = np.sort(np.append(core, np.uint64(5)))
+    b = np.sort(np.append(core, np.uint64(5) + (np.uint64(1) << np.uint64(35))))
+    place = np.array([1, 1])  # the cell of the first common shingle
+    has = ngram_join.candidates([a, b], place, np.array([61, 61]), np.array([2, 2]), 80, 64)
+    assert has.tolist() == [True, True]
+
+
+def test_components(spark):
+    from planweave.llm.components import components
+
+    rng = random.Random(3)
+    links = [(k, k + 1) for k in range(1, 600)] + [(1000, k) for k in range(1001, 1100)] + [(k, k) for k in range(5)] + [(2001, 2000), (2000, 2001), (2000, 2001), (None, 7), (7, None)]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.root for r in components(df).collect()}
+    assert got == {**dict.fromkeys(range(1, 601), 1), **dict.fromkeys(range(1000, 1100), 1000), 2000: 2000, 2001: 2000}
+    assert components(df.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        components(df, most=2)
+
+
 def test_search_is_exact():
     """Merge, probe and matrix paths of a large cell against plain intersections."""
     rng = np.random.default_rng(3)
