@@ -71,6 +71,28 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
+OP7_SQL = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM split WHERE len(words) > 0)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS fp FROM shingle GROUP BY doc_id),
+class AS (SELECT fp, min(doc_id) AS class_id, any_value(n) AS n, count(*) AS members FROM sets GROUP BY fp),
+posted AS (SELECT c.class_id, s.s FROM class c JOIN shingle s ON s.doc_id = c.class_id),
+common AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS shared FROM posted a JOIN posted b ON a.s = b.s AND a.class_id < b.class_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN class x ON x.class_id = a JOIN class y ON y.class_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT class_id AS a, class_id AS b FROM class UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
+component AS (SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY a),
+linked AS (SELECT e.a AS class_id, sum(c.members) AS n FROM edge e JOIN class c ON c.class_id = e.b GROUP BY e.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(k.component_id, d.doc_id) AS component_id, coalesce(c.class_id, d.doc_id) AS class_id,
+       CAST(coalesce(l.n, 0) + coalesce(c.members, 1) - 1 AS BIGINT) AS n_links
+FROM documents d LEFT JOIN sets s USING (doc_id) LEFT JOIN class c USING (fp) LEFT JOIN component k USING (class_id) LEFT JOIN linked l USING (class_id)
+"""
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
@@ -171,6 +193,39 @@ FROM rules
 """
 
 
+def ledger_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every rule of the standard policy does to the ledger of op6."""
+    return quality.ablate(quality.ledger(_read(spark, sf_dir, "documents")), quality.STANDARD).drop("bit")
+
+
+ABLATION_SQL = f"""
+WITH book AS ({OP6_SQL}), rule AS (SELECT * FROM (VALUES {", ".join(f"('{r}', {quality.BITS[r]})" for r in quality.STANDARD.rules)}) AS r(rule, bit))
+SELECT rule, count(*) FILTER (WHERE failures & bit <> 0) AS failed, count(*) FILTER (WHERE failures = bit) AS failed_alone,
+       count(*) FILTER (WHERE failures = 0 OR failures = bit) AS kept_without, count(*) FILTER (WHERE failures = 0) AS kept
+FROM book, rule GROUP BY rule
+"""
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of op1, a row for each source."""
+    sizes = mixing.sized(_read(spark, sf_dir, "documents")).groupBy("source").agg(F.sum("_size").alias("source_size"))
+    found = mixing.targets(sizes, (5, 2, 1), 1.5, 2.0)
+    return found.select("source", "source_size", F.round("target", 4).alias("target"))
+
+
+TARGETS_SQL = """
+WITH size AS (
+  SELECT source, CAST(sum(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS BIGINT) AS source_size FROM documents GROUP BY source),
+weighed AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2.0 * source_size AS most FROM size),
+ordered AS (
+  SELECT *, 1.5 * sum(source_size) OVER () AS total, coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM weighed),
+judged AS (SELECT *, most / w <= (total - before) / rest AS full_up FROM ordered),
+level AS (SELECT (any_value(total) - coalesce(sum(most) FILTER (WHERE full_up), 0)) / nullif(sum(w) FILTER (WHERE NOT full_up), 0) AS per_weight FROM judged)
+SELECT source, source_size, round(CAST(CASE WHEN full_up THEN most ELSE w * per_weight END AS DOUBLE), 4) AS target FROM judged, level
+"""
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
 
@@ -198,9 +253,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix, "op2_lm_score": op2_lm_score, "op3_line_dedup": op3_line_dedup, "op4_chat_format": op4_chat_format, "op5_pack": op5_pack, "op6_quality": op6_quality, "op7_ngram_join": op7_ngram_join, "op8_token_count": op8_token_count,
-        "op9_top_k": op9_top_k, "op10_language": op10_language,
+        "op9_top_k": op9_top_k, "op10_language": op10_language, "ledger_ablation": ledger_ablation, "mix_targets": mix_targets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_quality": OP6_SQL, "op9_top_k": OP9_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op7_ngram_join": OP7_SQL, "ledger_ablation": ABLATION_SQL, "mix_targets": TARGETS_SQL, "op4_chat_format": OP4_SQL, "op6_quality": OP6_SQL, "op9_top_k": OP9_SQL}
