@@ -62,3 +62,39 @@ def garbled_ratio(text: Column) -> Column:
     for p in GARBLED:
         hit = hit + F.aggregate(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(1.0)).otherwise(F.least(F.lit(1.0), hit / F.length(text)))
+
+
+def numbered(name: str, n: Column, width: int, suffix: str) -> Column:
+    """A file name with a number of at least `width` digits: page_0007.png."""
+    return F.format_string(f"{name}_%0{width}d{suffix}", n.cast("long"))
+
+
+def stable_uuid(*parts: Column) -> Column:
+    """An id in the form of a UUID of version 4, from the parts' hash, so that a rerun gives the same."""
+    h = F.md5(F.to_json(F.struct(*[p.alias(f"p{k}") for k, p in enumerate(parts)])))
+    cut = lambda a, n: F.substring(h, a, n)
+    return F.concat_ws("-", cut(1, 8), cut(9, 4), F.concat(F.lit("4"), cut(14, 3)), F.concat(F.lit("a"), cut(18, 3)), cut(21, 12))
+
+
+def normal_path(path: Column) -> Column:
+    """An absolute path without `.`, `..` and double slashes; `..` above the root stays at the root."""
+    step = lambda out, p: F.when(p.isin("", "."), out).when(p == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(p)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
+
+
+def inside(path: Column, root: Column) -> Column:
+    """Whether a path, made normal, lies below a folder."""
+    return F.startswith(normal_path(path), F.concat(normal_path(root), F.lit("/")))
+
+
+def valid_name(name: Column) -> Column:
+    return F.length(strip(F.coalesce(name, F.lit("")))) >= 2
+
+
+def valid_password(word: Column) -> Column:
+    word = F.coalesce(word, F.lit(""))
+    return (F.length(word) >= 8) & word.rlike(r"\p{Lu}") & word.rlike(r"\p{Ll}") & word.rlike(r"\p{Nd}")
+
+
+def valid_email(address: Column) -> Column:
+    return F.coalesce(address, F.lit("")).rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$")

@@ -92,3 +92,70 @@ def batch_merge(pages: DataFrame, documents: DataFrame) -> DataFrame:
     order = Window.partitionBy("batch_id").orderBy("upload_time", "document_id", "page_number")
     rows = pages.join(documents.select("document_id", "batch_id", "upload_time"), "document_id")
     return rows.withColumn("merged_page", F.row_number().over(order))
+
+
+def lookup(requests: DataFrame, documents: DataFrame) -> DataFrame:
+    """Requests (document_id, owner_id) with the document that this owner has, or found = false."""
+    known = documents.withColumn("found", F.lit(True))
+    return requests.join(known, ["document_id", "owner_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def page_list(pages: DataFrame, skip: int = 0, limit: int = 50, relevance: str | None = None) -> DataFrame:
+    """Of every document the pages `skip` + 1 to `skip` + `limit` (500 at most) by number, of one relevance or all."""
+    rows = pages if relevance is None else pages.filter("is_relevant" if relevance == "relevant" else is_irrelevant())
+    nth = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number"))
+    return rows.withColumn("nth", nth).filter((F.col("nth") > max(0, skip)) & (F.col("nth") <= max(0, skip) + max(1, min(limit, 500)))).drop("nth")
+
+
+def page_view(pages: DataFrame) -> DataFrame:
+    """Pages as readers get them: with the text's length, and ocr_used under the name vlm_used."""
+    return pages.withColumn("text_length", F.length(F.coalesce("extracted_text", F.lit("")))).withColumnRenamed("ocr_used", "vlm_used")
+
+
+def command_status(command: Column, status: Column, classified: Column) -> Column:
+    """409 for work on a document that is being processed, 400 for what needs a finished classification, else 200."""
+    busy = command.isin("reprocess", "reclassify", "rerun") & (status == "processing")
+    return F.when(busy, 409).when(command.isin("takeoff", "tables") & ~F.coalesce(classified, F.lit(False)), 400).otherwise(200)
+
+
+def keynotes(notes: DataFrame, pages: DataFrame, relevance: str = "relevant") -> DataFrame:
+    """notes(document_id, page_number, number, text, section) of lighting plans, relevant ones or all: document_id,
+    page_number, sheet_code, page_type, notes in order; pages without notes are left out."""
+    plans = pages.filter("page_type = 'LIGHTING_PLAN'")
+    plans = plans if relevance == "all" else plans.filter("is_relevant")
+    by_page = notes.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("number", "text", "section"))).alias("notes"))
+    return plans.join(by_page, ["document_id", "page_number"]).select("document_id", "page_number", F.nullif("sheet_code", F.lit("")).alias("sheet_code"), "page_type", "notes")
+
+
+def fixture_report(pages: DataFrame, records: DataFrame) -> DataFrame:
+    """Per document: fixtures by code (blank codes each), schedule and plan pages, sheet codes of the schedule pages."""
+    schedule = F.coalesce((F.col("page_type") == "SCHEDULE") & F.col("is_relevant"), F.lit(False))
+    scanned = pages.groupBy("document_id").agg(
+        F.count_if(schedule).alias("schedule_pages"), F.count_if(F.col("page_type") == "LIGHTING_PLAN").alias("plan_pages"),
+        F.sort_array(F.collect_set(F.when(schedule, F.nullif("sheet_code", F.lit(""))))).alias("sheet_codes"),
+    )
+    code = F.lower(F.trim("code"))
+    found = records.groupBy("document_id").agg((F.count_distinct(F.nullif(code, F.lit(""))) + F.count_if(code == "")).alias("fixtures"))
+    return scanned.join(found, "document_id", "left").withColumn("fixtures", F.coalesce("fixtures", F.lit(0)))
+
+
+def render_info(documents: DataFrame) -> DataFrame:
+    """Per archive: the PDF documents of its batch in order of arrival, whether there are any and whether all are completed."""
+    pdf = documents.filter("file_type = 'pdf'").groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("upload_time", "document_id"))).alias("d"), F.bool_and(F.col("status") == "completed").alias("done"))
+    rows = documents.filter("file_type = 'zip'").select("document_id", "batch_id").join(pdf, "batch_id", "left")
+    return rows.select("document_id", "batch_id", F.col("d").isNotNull().alias("extraction_done"), F.coalesce("done", F.lit(True)).alias("processing_completed"), F.coalesce(F.transform("d", lambda x: x["document_id"]), F.array().cast("array<bigint>")).alias("pdfs"))
+
+
+def artifacts(files: DataFrame) -> DataFrame:
+    """files(document_id, path) of a pipeline's output folder -> per document: images, whether there is a text, a table index, a
+    schedule, and by which engine it was made."""
+    has = lambda name: F.bool_or(F.col("path") == name)
+    return files.groupBy("document_id").agg(
+        F.count_if(F.col("path").like("images/%.png")).alias("images"), has("text/full_text.txt").alias("has_text"), has("tables_all.json").alias("has_tables"),
+        has("lighting_schedule.csv").alias("schedule_found"), F.when(has("tables_all.json"), "docling").otherwise("legacy").alias("engine"),
+    )
+
+
+def verdicts(checks: DataFrame) -> DataFrame:
+    """Tallies of a report's checks(name, verdict)."""
+    return checks.agg(*[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in ("PASS", "FAIL", "WARN")])

@@ -103,22 +103,64 @@ def relevant(page_type: Column, text: Column) -> Column:
     return F.when(page_type == "SCHEDULE", luminaire_schedule(text)).otherwise(page_type.isin(*R.ALWAYS_RELEVANT))
 
 
-def index_entries(pages: DataFrame) -> DataFrame:
+def index_entries(pages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """document_id, sheet_code, description, index_type: the index of the first candidate page that has
-    entries (page 1, then pages with cover words, then page 2); of equal codes the last line."""
+    entries (page 1, then pages with cover words, then page 2); of equal codes the last line. A page without
+    entries in its text is asked for its tables, if rows(document_id, table_index, page_number, row_idx, cells) are
+    given: first two columns, below the first row."""
     low = F.lower("extracted_text")
     rank = F.when(F.col("page_number") == 1, 0).when(any_of(low, R.COVER_WORDS), F.col("page_number")).when(F.col("page_number") == 2, 1 << 30)
     text, line = F.col("extracted_text"), F.lit(_ci(R.INDEX_LINE, "im"))
     found = F.arrays_zip(F.regexp_extract_all(text, line, F.lit(1)).alias("code"), F.regexp_extract_all(text, line, F.lit(2)).alias("text"))
-    rows = pages.withColumn("rank", rank).filter("rank is not null").select("document_id", "rank", F.posexplode(found).alias("place", "e"))
-    rows = rows.select("document_id", "rank", "place", F.upper(strip(F.col("e.code"))).alias("sheet_code"), strip(F.col("e.text")).alias("description"))
-    rows = rows.filter("sheet_code <> '' and description <> ''")
-    first = F.min("rank").over(Window.partitionBy("document_id"))
-    rows = rows.withColumn("first", first).filter("rank = first")
-    last = rows.groupBy("document_id", "sheet_code").agg(F.max_by("description", "place").alias("description"))
+    ranked = pages.withColumn("rank", rank).filter("rank is not null")
+    entries = ranked.select("document_id", F.struct("rank", F.lit(0).alias("source")).alias("page"), F.posexplode(found).alias("place", "e"))
+    place = lambda *c: F.struct(*[F.col(x).cast("long").alias(f"p{k}") for k, x in enumerate(c)]).alias("place")
+    entries = entries.withColumn("none", F.lit(0)).select("document_id", "page", place("place", "none"), F.upper(strip(F.col("e.code"))).alias("sheet_code"), strip(F.col("e.text")).alias("description"))
+    entries = entries.filter("sheet_code <> '' and description <> ''")
+    if rows is not None:
+        entries = entries.unionByName(table_entries(rows).join(ranked.select("document_id", "page_number", "rank"), ["document_id", "page_number"]).select(
+            "document_id", F.struct("rank", F.lit(1).alias("source")).alias("page"), place("table_index", "row_idx"), "sheet_code", "description"))
+    first = F.min("page").over(Window.partitionBy("document_id"))
+    kept = entries.withColumn("first", first).filter("page = first")
+    last = kept.groupBy("document_id", "sheet_code").agg(F.max_by("description", "place").alias("description"))
     return last.withColumn("index_type", description_type(F.col("description")))
 
 
+def table_entries(rows: DataFrame) -> DataFrame:
+    """Index entries of tables: rows below a table's first whose first cell begins with a sheet code and whose second is not blank."""
+    first = F.min("row_idx").over(Window.partitionBy("document_id", "table_index"))
+    code, text = F.upper(strip(F.col("cells")[0])), strip(F.col("cells")[1])
+    rows = rows.withColumn("first", first).filter((F.col("row_idx") > F.col("first")) & (F.size("cells") > 1))
+    rows = rows.select("document_id", "table_index", "page_number", "row_idx", code.alias("sheet_code"), text.alias("description"))
+    return rows.filter(F.col("sheet_code").rlike("^(?:" + _ci(R.SHEET_CODE) + ")") & (F.col("description") != ""))
+
+
+def with_errors(pages: DataFrame, failed: Column) -> DataFrame:
+    """Classified pages; those that failed are OTHER, not relevant, of source `error`, and keep their code."""
+    return pages.withColumns({
+        "page_type": F.when(failed, "OTHER").otherwise(F.col("page_type")), "is_relevant": F.when(failed, False).otherwise(F.col("is_relevant")),
+        "confidence_source": F.when(failed, "error").otherwise(F.col("confidence_source")), "sheet_code": F.when(failed, F.coalesce("sheet_code", F.lit(""))).otherwise(F.col("sheet_code")),
+    })
+
+
+def schedule_override(pages: DataFrame, schedule_pages: DataFrame) -> DataFrame:
+    """Pages on which a fixture schedule was found are relevant, whatever their type, and flagged."""
+    found = schedule_pages.select("document_id", "page_number", F.lit(True).alias("_found")).distinct()
+    rows = pages.join(found, ["document_id", "page_number"], "left")
+    yes = F.coalesce("_found", F.lit(False))
+    return rows.withColumns({"is_relevant": F.when(yes, True).otherwise(F.col("is_relevant")), "has_fixture_schedule": yes}).drop("_found")
+
+
+def best_text(native: Column, ocr: Column, enhanced: Column, enhanced_mode: Column) -> Column:
+    """struct<text, ocr_used>: the longest of a page's own text and its recognised text; in enhanced mode a recognised
+    text of less than half of the own one gives way to a longer enhanced one."""
+    size = lambda c: F.length(F.coalesce(c, F.lit("")))
+    better = enhanced_mode & (size(ocr) < size(native) * 0.5) & (size(enhanced) > size(ocr))
+    found = F.when(better, enhanced).otherwise(ocr)
+    used = size(found) > size(native)
+    return F.struct(F.when(used, found).otherwise(F.coalesce(native, F.lit(""))).alias("text"), used.alias("ocr_used"))
+
+
 def classify(pages: DataFrame) -> DataFrame:
     """pages(document_id, page_number, title_block, extracted_text, filename) with sheet_code, page_type,
     confidence_source and is_relevant. The index is joined on document and code."""

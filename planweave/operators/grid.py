@@ -285,15 +285,50 @@ def prefix_stripped(names: Column, least: int = 10) -> Column:
     return F.transform(names, lambda n, i: F.when((size > 0) & (strip(left(n)) == ""), F.concat(F.lit("Column_"), i)).otherwise(left(n)))
 
 
+#: The order of the columns of a table of model records.
+MODEL_FIELDS = ("code", "description", "fixture_style", "voltage", "mounting", "lumens", "cct", "dimming", "max_va")
+
+
 def synthetic_grid(records: DataFrame) -> DataFrame:
     """Records of a model as one table per document and page: a header row, then values in order; table_index -1."""
-    names = [f for f in R.FIELDS]
+    names = MODEL_FIELDS
     head = records.select("document_id", "page_number").distinct().select("document_id", "page_number", F.lit(0).alias("row_idx"), F.array(*map(F.lit, names)).alias("cells"))
     nth = F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy("row_idx"))
     body = records.select("document_id", "page_number", nth.alias("row_idx"), F.array(*[F.coalesce(F.col(f), F.lit("")) for f in names]).alias("cells"))
     return head.unionByName(body).select("document_id", F.lit(-1).cast("long").alias("table_index"), "page_number", "row_idx", "cells")
 
 
+def with_model_tables(tables: DataFrame, records: DataFrame, pages: DataFrame) -> DataFrame:
+    """Per page of a document its tables and fixture schedules, a synthetic one of a model's records added to the page that they
+    were read from (which need not have other tables), with the page's type and sheet code ('' if not known)."""
+    counted = page_counts(tables)
+    extra = records.select("document_id", "page_number").distinct().select("document_id", "page_number", F.lit(1).alias("more"))
+    rows = counted.join(extra, ["document_id", "page_number"], "full").na.fill(0, ["tables", "fixture_tables", "more"])
+    rows = rows.withColumns({"tables": F.col("tables") + F.col("more"), "fixture_tables": F.col("fixture_tables") + F.col("more")}).drop("more")
+    known = pages.select("document_id", "page_number", "page_type", "sheet_code")
+    return rows.join(known, ["document_id", "page_number"], "left").na.fill("", ["page_type", "sheet_code"])
+
+
+def extract(records: DataFrame, pages: DataFrame) -> DataFrame:
+    """Records of a document's schedule pages, and those of its plan pages whose code is new; where the schedule pages give none,
+    those of all pages; each code once."""
+    typed = pages.select("document_id", "page_number", "page_type")
+    rows = records.join(typed, ["document_id", "page_number"], "left")
+    own = F.max((F.col("page_type") == "SCHEDULE").cast("int")).over(Window.partitionBy("document_id"))
+    rows = rows.withColumn("own", F.coalesce(own, F.lit(0)))
+    scheduled = rows.filter("page_type = 'SCHEDULE' or own = 0").select(*records.columns)
+    plans = rows.filter("own = 1 and page_type = 'LIGHTING_PLAN'").select(*records.columns)
+    return first_of_code(scheduled.unionByName(only_new(plans, scheduled)))
+
+
+def kept_grids(rows: DataFrame) -> DataFrame:
+    """Rows of tables that have two rows or more and a cell that is not blank."""
+    per = Window.partitionBy(*KEY)
+    filled = F.exists("cells", lambda c: strip(F.coalesce(c, F.lit(""))) != "")
+    out = rows.withColumns({"_n": F.count(F.lit(1)).over(per), "_some": F.max(filled).over(per)})
+    return out.filter("_n >= 2 and _some").drop("_n", "_some")
+
+
 def blocks_to_rows(blocks: DataFrame, zero_based: bool = False) -> DataFrame:
     """Tables from a block graph: words (or a selection mark) of each cell in order, spans filled by the
     later cell, and every place of the grid. With counts from 1 and zero_based false the grid keeps its

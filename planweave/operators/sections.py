@@ -80,3 +80,9 @@ def best_candidate(lines: DataFrame) -> DataFrame:
     out = df.groupBy("document_id").agg(best.alias("b"), pages(F.col("tier") == 3).alias("p3"), pages(~F.col("is_index")).alias("p2"))
     own = F.when(F.col("b.page") > 0, F.array("b.page")).otherwise(F.array().cast("array<int>"))
     return out.select("document_id", "b.seg", "b.n_lines", "b.tier", F.when(F.col("b.tier") == 3, F.col("p3")).when(F.col("b.tier") == 2, F.col("p2")).otherwise(own).alias("pages"))
+
+
+def schedule_csv(lines: DataFrame) -> DataFrame:
+    """document_id, csv (the lines of the best candidate), pages: what a document's schedule file holds."""
+    best = best_candidate(lines).select("document_id", "seg", "pages")
+    return tables(lines).select("document_id", "seg", F.col("body").alias("csv")).join(best, ["document_id", "seg"]).select("document_id", "csv", "pages")

@@ -9,20 +9,85 @@ from planweave.operators import rules as R
 
 
 def _scalar(text: Column, key: str) -> Column:
-    return F.nullif(F.regexp_extract(text, f'"{key}"\\s*:\\s*"([^"]*)"', 1), F.lit(""))
+    """The last string given for a key."""
+    return F.element_at(F.when(F.regexp_like(text, F.lit(f'"{key}"\\s*:\\s*"')), F.regexp_extract_all(text, F.lit(f'"{key}"\\s*:\\s*"([^"]*)"'), F.lit(1))), -1)
+
+
+def balanced(text: Column, opening: str = "{", closing: str = "}") -> Column:
+    """The first balanced object of a text (brackets inside strings do not count), null if none ends. A fold over
+    the characters from the first brace on."""
+    rest = F.substring(text, F.instr(text, opening), F.length(text))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(a: Column, c: Column) -> Column:
+        plain = ~a["escaped"] & ~a["quoted"] & (a["end"] == 0)
+        depth = a["depth"] + F.when(plain & (c == opening), 1).when(plain & (c == closing), -1).otherwise(0)
+        quoted = F.when((c == '"') & ~a["escaped"], ~a["quoted"]).otherwise(a["quoted"])
+        end = F.when(plain & (c == closing) & (depth == 0), a["at"] + 1).otherwise(a["end"])
+        return F.struct(depth.alias("depth"), quoted.alias("quoted"), (~a["escaped"] & (c == "\\")).alias("escaped"), (a["at"] + 1).alias("at"), end.alias("end"))
+
+    end = F.aggregate(F.split(rest, ""), start, step, lambda a: a["end"])
+    return F.when(F.contains(text, F.lit(opening)), _bind(end, lambda e: F.when(e > 0, F.substring(rest, F.lit(1), e))))
+
+
+def _bind(made: Column, body) -> Column:
+    """body(made), with made computed once."""
+    return F.element_at(F.transform(F.array(made), body), 1)
+
+
+def _fixed(text: Column) -> Column:
+    """Without commas before a closing bracket."""
+    return F.regexp_replace(text, r",\s*([}\]])", "$1")
+
+
+def unfenced(reply: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(reply, r"```(?:json)?\s*", ""), r"\s*```", ""))
 
 
 def parse(reply: Column) -> Column:
-    """struct<page_type, confidence>, null if the reply holds no type. Steps: drop code fences, take
-    from the first brace on, drop trailing commas, parse; what is cut off is scraped by field."""
-    body = F.regexp_replace(F.regexp_replace(reply, r"```(?:json)?", ""), r",\s*([}\]])", "$1")
-    whole = F.regexp_extract(body, r"(?s)(\{[^{}]*\})", 1)
-    parsed = F.from_json(whole, "page_type string, confidence string", {"mode": "PERMISSIVE"})
-    kind = F.upper(F.trim(F.coalesce(parsed["page_type"], _scalar(body, "page_type"))))
-    sure = F.lower(F.trim(F.coalesce(parsed["confidence"], _scalar(body, "confidence"), F.lit("low"))))
-    kind = F.when(kind.isin(*R.PAGE_TYPES), kind).when(kind.isNotNull(), "OTHER")
-    sure = F.when(sure.isin("high", "medium", "low"), sure).otherwise("low")
-    return F.when(kind.isNotNull(), F.struct(kind.alias("page_type"), sure.alias("confidence")))
+    """struct<page_type, confidence>, null if the reply holds no object. Steps: drop code fences and parse; else the first balanced
+    object; else that without trailing commas; what is cut off is scraped by field. An object without a known type is OTHER."""
+
+    def of(body: Column) -> Column:
+        read = lambda x: F.from_json(x, "map<string,string>")
+        simple = F.when(body.rlike(r"(?s)^\{.*\}$"), read(body))
+
+        def found(whole: Column) -> Column:
+            got = F.coalesce(simple, read(whole), read(_fixed(whole)))
+            cut = F.substring(body, F.instr(body, "{"), F.length(body))
+            scraped = F.when(F.contains(body, F.lit("{")) & cut.rlike(r'"\w+"\s*:\s*("[^"]*"|(?i:true|false)\b|\d+\s*[,}])'), F.create_map(F.lit("page_type"), _scalar(cut, "page_type"), F.lit("confidence"), _scalar(cut, "confidence")))
+            return _bind(F.coalesce(got, scraped), told)
+
+        return _bind(F.when(simple.isNull(), balanced(body)), found)
+
+    def told(m: Column) -> Column:
+        kind = F.upper(F.trim(F.coalesce(F.element_at(m, "page_type"), F.lit(""))))
+        sure = F.lower(F.trim(F.coalesce(F.element_at(m, "confidence"), F.lit("low"))))
+        return F.when(m.isNotNull(), F.struct(F.when(kind.isin(*R.PAGE_TYPES), kind).otherwise("OTHER").alias("page_type"), F.when(sure.isin("high", "medium", "low"), sure).otherwise("low").alias("confidence")))
+
+    return _bind(unfenced(reply), of)
+
+
+def json_array(reply: Column) -> Column:
+    """The text from the first opening to the last closing square bracket, null without them."""
+    return F.nullif(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), F.lit(""))
+
+
+def fixture_records(reply: Column) -> Column:
+    """array of the nine fields, from a reply that lists fixtures; of a list that is cut off, the objects that are whole."""
+    names = list(R.FIELDS)
+    schema = ", ".join(f"{f} string" for f in names)
+
+    def of(body: Column) -> Column:
+        valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+        whole = _bind(F.coalesce(balanced(body), body), lambda x: F.from_json(F.coalesce(valid(x), valid(_fixed(x))), f"fixtures array<struct<{schema}>>")["fixtures"])
+        part = F.regexp_extract(body, r'(?s)"fixtures"\s*:\s*\[(.*)$', 1)
+        objects = F.regexp_extract_all(part, F.lit(r"(\{(?:[^{}\"]|\"(?:[^\"\\]|\\.)*\")*\})"), F.lit(1))
+        pieces = F.filter(F.transform(objects, lambda o: F.from_json(F.coalesce(valid(o), valid(_fixed(o))), schema)), lambda o: o.isNotNull())
+        rows = F.coalesce(whole, F.when(F.size(pieces) > 0, pieces), F.array().cast(f"array<struct<{', '.join(f'{f}:string' for f in names)}>>"))
+        return F.transform(rows, lambda r: F.struct(*[F.coalesce(r[f], F.lit("")).alias(f) for f in names]))
+
+    return _bind(unfenced(reply), of)
 
 
 def merge(pages: DataFrame, replies: DataFrame) -> DataFrame:

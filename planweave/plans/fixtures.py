@@ -133,16 +133,40 @@ FROM lineitem
 
 VIEWS["fx_replies"] = """
 SELECT CAST(floor(event_id / 8) AS BIGINT) AS document_id, CAST(event_id % 8 + 1 AS INT) AS page_number,
-       CASE CAST(event_id % 6 AS INT)
+       CASE CAST(event_id % 9 AS INT)
          WHEN 0 THEN '{"page_type": "LIGHTING_PLAN", "confidence": "high", "reasoning": "x"}'
          WHEN 1 THEN concat('```json', chr(10), '{"page_type": "SCHEDULE", "confidence": "HIGH"}', chr(10), '```')
          WHEN 2 THEN 'Sure. {"page_type": "power_plan", "confidence": "medium",} done'
          WHEN 3 THEN '{"page_type": "BANANA", "confidence": "certain"}'
          WHEN 4 THEN '{"page_type": "COVER", "confidence": "low", "reasoning": "trunc'
+         WHEN 5 THEN '{"meta": {"page_type": "COVER", "note": "a } b"}, "page_type": "detail", "confidence": "High"}'
+         WHEN 6 THEN 'As asked: {"meta": {"k": [1, 2]}, "page_type": "RISER", "confidence": "medium"} and more'
+         WHEN 7 THEN '{"other": 1}'
          ELSE 'no json here' END AS reply_text
 FROM events
 """
 
+VIEWS["fx_notes"] = """
+SELECT CAST(floor(event_id / 24) AS BIGINT) AS document_id, CAST(event_id % 8 + 1 AS INT) AS page_number, CAST(floor(event_id / 8) AS BIGINT) % 3 + 1 AS number,
+       concat('NOTE ', upper(event_type)) AS text, CASE WHEN event_id % 2 = 0 THEN 'GENERAL' ELSE 'KEYED' END AS section
+FROM events
+"""
+
+# Replies that list fixtures; every third is cut off inside its last object.
+VIEWS["fx_lists"] = """
+SELECT p_partkey AS reply_id, p_name AS told, concat('A', CAST(p_size AS STRING)) AS code,
+       concat('Found: {"table_type": "light_fixture_schedule", "fixtures": [{"code": "A', CAST(p_size AS STRING), '", "description": "', p_name, ' {x}"}, {"code": "B1", "voltage": "277V",}',
+              CASE WHEN p_partkey % 3 = 0 THEN ', {"code": "C' ELSE ']} end.' END) AS reply_text
+FROM part
+"""
+
+VIEWS["fx_files"] = """
+SELECT CAST(floor(o_orderkey / 6) AS BIGINT) AS document_id,
+       CASE o_orderkey % 6 WHEN 0 THEN 'images/page_0001.png' WHEN 1 THEN 'images/page_0002.png' WHEN 2 THEN 'text/full_text.txt' WHEN 3 THEN concat('tables_all.', CASE WHEN o_custkey % 2 = 0 THEN 'json' ELSE 'txt' END)
+         WHEN 4 THEN concat('lighting_schedule.', CASE WHEN o_custkey % 3 = 0 THEN 'csv' ELSE 'tmp' END) ELSE 'images/readme.md' END AS path
+FROM orders
+"""
+
 VIEWS["fx_lines"] = """
 WITH t AS (SELECT document_id, table_index, row_idx, concat_ws(',', max(CASE WHEN col_idx=0 THEN text END), max(CASE WHEN col_idx=1 THEN text END), max(CASE WHEN col_idx=2 THEN text END), max(CASE WHEN col_idx=3 THEN text END), max(CASE WHEN col_idx=4 THEN text END)) AS line
            FROM fx_cells GROUP BY document_id, table_index, row_idx),

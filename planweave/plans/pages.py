@@ -382,12 +382,13 @@ def _(s, d):
 
 # ---- replies ----
 
-_SCRAPE = lambda k: f"""nullif(regexp_extract(reply_text, '"{k}"\\s*:\\s*"([^"]*)"', 1), '')"""
+#: A reply that is one object is read as JSON; of others the last string given for a key.
+_SCRAPE = lambda k: f"""CASE WHEN json_valid(reply_text) THEN json_extract_string(reply_text, '$.{k}') ELSE regexp_extract_all(reply_text, '"{k}"\\s*:\\s*"([^"]*)"', 1)[-1] END"""
 _TYPES = ", ".join(q(t) for t in R.PAGE_TYPES)
 _REPLIES = f"""replies AS (
-  SELECT document_id, page_number, CASE WHEN kind IS NULL THEN NULL WHEN kind IN ({_TYPES}) THEN kind ELSE 'OTHER' END AS vlm_page_type,
-         CASE WHEN kind IS NULL THEN NULL WHEN sure IN ('high', 'medium', 'low') THEN sure ELSE 'low' END AS vlm_confidence
-  FROM (SELECT document_id, page_number, upper(trim({_SCRAPE("page_type")})) AS kind, lower(trim(coalesce({_SCRAPE("confidence")}, 'low'))) AS sure FROM fx_replies))"""
+  SELECT document_id, page_number, CASE WHEN NOT contains(reply_text, '{{') THEN NULL WHEN kind IN ({_TYPES}) THEN kind ELSE 'OTHER' END AS vlm_page_type,
+         CASE WHEN NOT contains(reply_text, '{{') THEN NULL WHEN sure IN ('high', 'medium', 'low') THEN sure ELSE 'low' END AS vlm_confidence
+  FROM (SELECT document_id, page_number, reply_text, upper(trim({_SCRAPE("page_type")})) AS kind, lower(trim(coalesce({_SCRAPE("confidence")}, 'low'))) AS sure FROM fx_replies))"""
 
 
 @add("reply_parse", f"{with_views('fx_replies')}, {_REPLIES} SELECT * FROM replies")

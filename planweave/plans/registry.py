@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planweave.plans import pages, tables
+from planweave.plans import pages, reports, tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return pages.QUERIES | tables.QUERIES
+    return pages.QUERIES | tables.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return pages.SQL | tables.SQL
+    return pages.SQL | tables.SQL | reports.SQL

@@ -96,3 +96,39 @@ def csv_lines(rows: DataFrame) -> DataFrame:
 def counts_json(counted: DataFrame) -> DataFrame:
     """document_id, counts: {code: {sheet: n}} as JSON text."""
     return count_maps(counted).select("document_id", F.to_json("counts").alias("counts"))
+
+
+def combined_lines(pages: DataFrame, rows: DataFrame, text_per_page: bool = False) -> DataFrame:
+    """document_id, line_no, line: one stream per document with a fence and a mark for each page from 1 to the last, the text (that
+    of all pages on the first, or each page's own) and each page's tables with a title, fences and CSV lines; tables are
+    numbered through the document. read_lines() and sections read it back. pages(document_id, page_number, extracted_text)."""
+    key, fence = ["document_id", "page_number"], "=" * 60
+    per = Window.partitionBy("document_id").orderBy("page_number", "table_index")
+    sizes = rows.groupBy("document_id", "table_index", "page_number").agg(F.count(F.lit(1)).alias("n"))
+    last = F.greatest(F.coalesce(F.max("page_number"), F.lit(1)), F.lit(1))
+    every = pages.groupBy("document_id").agg(last.alias("last")).select("document_id", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("page_number"))
+    titled = sizes.withColumn("nth", F.row_number().over(per)).join(every, key)
+    at = lambda part, sub, row: F.struct(F.lit(part).alias("part"), sub.cast("long").alias("sub"), row.cast("long").alias("row"))
+    zero = F.lit(0)
+
+    def fixed(df: DataFrame, part: int, texts: list[Column], sub: Column = zero) -> DataFrame:
+        return df.select(*key, F.posexplode(F.array(*texts)).alias("k", "line"), sub.alias("sub")).select(*key, at(part, F.col("sub"), F.col("k")).alias("at"), "line")
+
+    head = fixed(every, 0, [F.lit(""), F.lit(fence), F.concat(F.lit("=== PAGE "), "page_number", F.lit(" ===")), F.lit(fence), F.lit("")])
+    own = pages if text_per_page else pages.withColumn("own", F.col("page_number")).withColumn("page_number", F.lit(1))
+    texts = own.select(*key, F.col("page_number" if text_per_page else "own").alias("own"), F.posexplode(F.split(F.coalesce("extracted_text", F.lit("")), "\n")).alias("k", "line"))
+    body = texts.select(*key, at(1, F.col("own"), F.col("k")).alias("at"), "line")
+    body = body.unionByName(fixed(every if text_per_page else every.filter("page_number = 1"), 2, [F.lit("")]))
+    title = fixed(titled, 3, [F.lit(""), F.concat(F.lit("TABLE "), "nth", F.lit(" ("), "n", F.lit(" rows)")), F.lit(fence)], F.col("nth"))
+    cells = rows.join(titled.select("document_id", "table_index", "nth"), ["document_id", "table_index"])
+    cells = cells.select(*key, at(3, F.col("nth"), F.col("row_idx") + 1000).alias("at"), F.array_join(F.transform("cells", quoted), ",").alias("line"))
+    end = titled.select(*key, F.posexplode(F.array(F.lit(fence), F.lit(""))).alias("k", "line"), "nth").select(*key, at(3, F.col("nth"), F.col("k") + (1 << 40)).alias("at"), "line")
+    foot = fixed(every, 4, [F.lit(""), F.lit("─" * 40)])
+    lines = head.unionByName(body).unionByName(title).unionByName(cells).unionByName(end).unionByName(foot)
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "at"))
+    return lines.select("document_id", place.alias("line_no"), "line")
+
+
+def write_combined(lines: DataFrame, path: str) -> None:
+    """A text file per document, its lines in order."""
+    lines.repartition("document_id").sortWithinPartitions("document_id", "line_no").select("document_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("document_id").text(path)

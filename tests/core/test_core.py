@@ -110,6 +110,85 @@ def test_replies(spark):
     each(spark, lambda c: verify.parse(c)["page_type"], [('{"page_type": "cover ", "confidence": "x"}', "COVER"), ("none", None), ('```json\n{"page_type": "NOPE",}\n```', "OTHER"), ('{"page_type": "COVER", "conf', "COVER")])
 
 
+def test_replies_with_nested_objects(spark):
+    each(spark, lambda c: verify.parse(c)["page_type"], [
+        ('{"a": {"page_type": "COVER"}, "page_type": "detail"}', "DETAIL"), ('x {"s": "} {", "page_type": "RISER",} y', "RISER"), ('{"a": 1}', "OTHER"), ("{}", "OTHER"), ("", None), (None, None),
+        ('{"page_type": "COVER", "page_type2": {"x', "COVER"),
+    ])
+    each(spark, verify.balanced, [('a {"b": {"c": "\\"}"}} d }', '{"b": {"c": "\\"}"}}'), ("{ {", None), ("none", None)])
+    each(spark, verify.json_array, [("see [1, [2]] and ]", "[1, [2]] and ]"), ("no", None)])
+    each(spark, lambda c: F.transform(verify.fixture_records(c), lambda r: r["code"]), [('{"fixtures": [{"code": "A"}, {"code": "B", "voltage": "1', ["A"]), ('{"fixtures": []}', []), ("none", []), ('```json\n{"fixtures": [{"code": "A{"}]}\n```', ["A{"])])
+
+
+def test_paths_and_users(spark):
+    each(spark, text.normal_path, [("/a/./b//../c", "/a/c"), ("/../..", "/"), ("/a/b/", "/a/b")])
+    each(spark, lambda c: text.inside(c, F.lit("/store/7")), [("/store/7/a.png", True), ("/store/77/a.png", False), ("/store/7/../8/a", False), ("/store/7", False)])
+    each(spark, text.valid_password, [("Abcdefg1", True), ("abcdefg1", False), ("Ab1", False), (None, False), ("ÀBcdefg1", True)])
+    each(spark, text.valid_email, [("a.b+c@d-e.org", True), ("a@b", False), ("a b@c.de", False), (None, False)])
+    each(spark, text.valid_name, [(" Al ", True), (" A ", False), (None, False)])
+    each(spark, lambda c: text.numbered("page", F.length(c), 4, ".png"), [("abc", "page_0003.png")])
+
+
+def test_best_text(spark):
+    best = lambda native, ocr, more, mode: tuple(spark.range(1).select(classify.best_text(F.lit(native), F.lit(ocr), F.lit(more), F.lit(mode)).alias("b")).first().b)
+    assert best("abcdef", "ab", "abcdefg", True) == ("abcdefg", True) and best("abcdef", "ab", "abcdefg", False) == ("abcdef", False)
+    assert best("abc", "abc", "abcdefg", True) == ("abc", False) and best(None, "x", None, True) == ("x", True) and best(None, None, None, False) == ("", False)
+
+
+def test_index_from_tables(spark):
+    pages = spark.createDataFrame([(1, 1, "no index"), (1, 2, "E900   TEXT DETAIL"), (2, 1, "E101   LIGHTING PLAN")], "document_id long, page_number int, extracted_text string")
+    cells = [["SHEET", "NAME"], ["e101", " Lighting Plan "], ["E102 x", "POWER PLAN"], ["E101", "ROOF DETAIL"], ["none", "x"], ["E103", ""]]
+    rows = spark.createDataFrame([(d, 0, 1, i, c) for d in (1, 2) for i, c in enumerate(cells)], f"{KEYS}, page_number int, row_idx int, cells array<string>")
+    got = {(r.document_id, r.sheet_code): r.description for r in classify.index_entries(pages, rows).collect()}
+    assert got == {(1, "E101"): "ROOF DETAIL", (1, "E102 X"): "POWER PLAN", (2, "E101"): "LIGHTING PLAN"}
+    assert classify.index_entries(pages).filter("document_id = 1").first().sheet_code == "E900"
+
+
+def test_combined_text_reads_back(spark, tmp_path):
+    """What the writer writes, the line operators find again."""
+    from planweave.operators import sections
+    from planweave.sources import files
+
+    pages = spark.createDataFrame([(1, 1, "first\nLIGHTING FIXTURE SCHEDULE"), (1, 2, "second"), (2, 3, None)], "document_id long, page_number int, extracted_text string")
+    cells = [["TYPE", "DESCRIPTION", "VOLTAGE"], ["A1", "LED, 2x4", "120V"]]
+    rows = spark.createDataFrame([(1, t, t + 1, i, c) for t in (0, 1) for i, c in enumerate(cells)], f"{KEYS}, page_number int, row_idx int, cells array<string>")
+    lines = files.combined_lines(pages, rows)
+    found = {(r.seg, r.page): r.body for r in sections.tables(lines).filter("document_id = 1").collect()}
+    assert found == {(0, 1): 'TYPE,DESCRIPTION,VOLTAGE\nA1,"LED, 2x4",120V', (1, 2): 'TYPE,DESCRIPTION,VOLTAGE\nA1,"LED, 2x4",120V'}
+    assert lines.filter("document_id = 2 and line like '=== PAGE%'").count() == 3
+    assert sections.schedule_csv(lines).first().csv.startswith("TYPE")
+    files.write_combined(lines, str(tmp_path / "out"))
+    back = files.read_lines(spark, str(tmp_path / "out" / "document_id=1"))
+    assert [r.line for r in back.orderBy("line_no").collect()][: lines.filter("document_id = 1").count()] == [r.line for r in lines.filter("document_id = 1").orderBy("line_no").collect()]
+
+
+def test_files(spark, tmp_path):
+    """Uploads, archives, grids and indexes that are written are read again."""
+    import zipfile
+
+    from planweave.sources import files
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name in ("one.pdf", "in/two.PDF", "../out.pdf", "/abs.pdf", "note.txt"):
+            z.writestr(name, name)
+    (tmp_path / "b.zip").write_bytes(b"no archive")
+    (tmp_path / "c.pdf").write_bytes(b"pdf")
+    uploads = files.read_uploads(spark, str(tmp_path))
+    assert uploads.count() == 3
+    assert {r.member: bytes(r.content).decode() for r in files.zip_members(uploads.filter("path like '%.zip'")).collect()} == {"one.pdf": "one.pdf", "in/two.PDF": "in/two.PDF"}
+    rows = spark.createDataFrame([(1, 0, 2, i, c) for i, c in enumerate([["a", 'say "x", y'], ["", "b"]])], f"{KEYS}, page_number int, row_idx int, cells array<string>")
+    files.write_table_index(rows, str(tmp_path / "index"))
+    got = spark.read.schema(files.TABLE_INDEX).json(str(tmp_path / "index")).first()
+    assert (got.document_id, got.row_count, got.rows) == (1, 2, [["a", 'say "x", y'], ["", "b"]])
+    files.write_csv(rows.select(F.col("cells")[0].alias("x"), F.col("cells")[1].alias("y")), str(tmp_path / "csv"))
+    assert {tuple(r) for r in files.read_grid_csv(spark, str(tmp_path / "csv")).collect()} == {("x", "y"), ("a", 'say "x", y'), ("", "b")}
+    counted = spark.createDataFrame([(1, "E1", "A", 2), (1, "E2", "A", 0), (1, "E1", "B", 1)], "document_id long, sheet string, code string, n long")
+    assert files.counts_json(counted).first().counts == '{"A":{"E1":2,"E2":0},"B":{"E1":1}}'
+    pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c")], "document_id long, page_number int, extracted_text string")
+    files.write_pages(pages, str(tmp_path / "pages"))
+    assert spark.read.parquet(str(tmp_path / "pages")).count() == 3
+
+
 def test_overlap(spark):
     rows = [(1, 1, c, k, x, 10.0, x + 12, 18.0, c) for c, k, x in (("AA1", 0, 10.0), ("A1", 1, 14.0), ("A1", 1, 80.0))]
     df = spark.createDataFrame(rows, "document_id long, page_number int, code string, code_ord int, x0 double, y0 double, x1 double, y1 double, word string")
