@@ -12,6 +12,8 @@ from planweave.operators import rules as R
 from planweave.operators.grid import KEY
 
 NONE = "No Description"
+#: Height of the strips of a page in which words meet, in points.
+STRIP = 32.0
 
 
 def schedule_rows(cells: DataFrame) -> DataFrame:
@@ -91,13 +93,18 @@ def sheet_ids(words: DataFrame, known: Sequence[str], width: float, height: floa
 def matches(words: DataFrame, known: Sequence[str]) -> DataFrame:
     """Places of codes: document_id, page_number, code, code_ord, x0 ... y1, word. A word that holds a code in
     any case is a candidate; the text around it (2 points, 30 to the right) without spaces must hold the
-    code in its own case with no letter or digit beside it. A range join within pages."""
+    code in its own case with no letter or digit beside it. A range join within pages, by strips of `STRIP` points:
+    both sides go to every strip that they touch, and a pair counts in the first one they share."""
     codes = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(k).alias("code_ord")) for k, c in enumerate(known)])
     box = words.select("document_id", "page_number", "x0", "y0", "x1", "y1", "word")
     found = box.withColumn("c", F.explode(F.filter(codes, lambda c: F.contains(F.upper("word"), F.upper(c["code"])))))
     found = found.groupBy("document_id", "page_number", "x0", "y0", "x1", "y1", "word", "c").agg(F.count(F.lit(1)).alias("copies"))
     near = box.select(F.col("document_id").alias("d"), F.col("page_number").alias("p"), *[F.col(c).alias(f"w_{c}") for c in ("x0", "y0", "x1", "y1", "word")])
-    on = (F.col("d") == F.col("document_id")) & (F.col("p") == F.col("page_number")) & (F.col("w_x1") >= F.col("x0") - 2) & (F.col("w_x0") <= F.col("x1") + 30) & (F.col("w_y1") >= F.col("y0") - 2) & (F.col("w_y0") <= F.col("y1") + 2)
+    strip_of = lambda y: F.floor(y / STRIP).cast("int")
+    found = found.withColumn("first", strip_of(F.col("y0") - 2)).withColumn("strip", F.explode(F.sequence("first", strip_of(F.col("y1") + 2))))
+    near = near.withColumn("w_first", strip_of(F.col("w_y0"))).withColumn("w_strip", F.explode(F.sequence("w_first", strip_of(F.col("w_y1")))))
+    same = (F.col("d") == F.col("document_id")) & (F.col("p") == F.col("page_number")) & (F.col("strip") == F.col("w_strip")) & (F.col("strip") == F.greatest("first", "w_first"))
+    on = same & (F.col("w_x1") >= F.col("x0") - 2) & (F.col("w_x0") <= F.col("x1") + 30) & (F.col("w_y1") >= F.col("y0") - 2) & (F.col("w_y0") <= F.col("y1") + 2)
     keys = ["document_id", "page_number", "x0", "y0", "x1", "y1", "word", "c", "copies"]
     line = found.join(near, on).groupBy(*keys, "w_y0").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("w_x0", "w_word"))), lambda w: w["w_word"]), "").alias("line"))
     around = line.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("w_y0", "line"))), lambda x: x["line"]), "\n").alias("around"))
