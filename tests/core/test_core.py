@@ -246,4 +246,6 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     docs = spark.read.parquet(str(tmp_path / "out/documents"))
     assert docs.select("owner_id", "hash").distinct().count() == docs.count() == 10
-    assert ingest.done(spark, str(tmp_path / "out")).count() >= 1
+    want = {r.batch_id for r in ingest.done(spark, str(tmp_path / "out")).collect()}
+    ingest.start_complete(spark, str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
+    assert {r.batch_id for r in spark.read.parquet(str(tmp_path / "out/complete")).collect()} == want and want
