@@ -55,14 +55,32 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._planweave_path = path
+    _STORED.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
+_STORED: dict[str, set[str]] = {}
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete every table that stored() has written in this application; call it when the results that read them are
+    written themselves. Returns how many there were."""
+    paths = _STORED.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete tables of stored() that nothing reads any more: what was made from them is stored itself."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._planweave_path)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _STORED.get(t.sparkSession.sparkContext.applicationId, set()).discard(t._planweave_path)
+        _delete(t.sparkSession, t._planweave_path)
 
 
 def row_keys(id_col: str, text_col: str) -> list[Column]:

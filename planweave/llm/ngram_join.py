@@ -26,8 +26,10 @@ common shingle only, and a cell emits one number per member, weighted by class s
 
 Cells of more than `block` classes, or in step 3 of more than `block_shingles` shingles in all, are cut twice: by size
 (classes whose sizes are in a ratio below the threshold cannot link; a class goes to the band of its size and to the one
-below, and a pair belongs to the lower of its members' bands), and, where a band is still too large, into pairs of blocks, each a
-group of its own. So a worker holds two blocks.
+below, and a pair belongs to the lower of its members' bands), and into pairs of blocks, each a group of its own. Classes that share
+an earlier large cell are blocks of a kind, and blocks of the same kind do not meet, as their pairs belong to that cell or one
+before. So a group of near copies, which share nearly all of their cells, is solved in about one of them, and a worker holds two
+blocks.
 
 Links become components by star contraction. Edge cases: a text that is null or without words has no
 shingles and links with nothing; fewer words than `k` are one shingle; repeated rows are equal sets; a
@@ -43,7 +45,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -316,24 +318,43 @@ def classes_of(docs: DataFrame, k: int, percent: int, route: int | None, sketch:
     return docs.select(F.col(f"`{id_col}`").alias("id"), *row_keys(id_col, text_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, out)
 
 
-def dealt(posted: DataFrame, percent: int, block: int, shingles: int | None) -> DataFrame:
-    """posted(cell, fp, n, ...) with band, low, high, side: the groups that a row goes to. Cells of one class are gone."""
-    weight = F.sum("n") if shingles else F.lit(0)
-    per_cell = stored(posted.groupBy("cell").agg(F.count(F.lit(1)).alias("df"), weight.alias("all")).filter("df > 1"), "cells")  # a table, so that the join may split a hot cell
+def dealt(posted: DataFrame, percent: int, block: int, shingles: int | None, broadcast_rows: int) -> DataFrame:
+    """posted(cell, place, fp, n, ...) with band, low, high, side: the groups that a row goes to. Cells of one class are
+    gone. Large cells are at most a `block`th of the rows; their list is broadcast up to `broadcast_rows`."""
+    names = [c for c in posted.columns if c != "cell"]
+    weight = F.sum("n") if shingles else F.lit(0).cast("long")
+    per_cell = stored(posted.groupBy("cell").agg(F.count(F.lit(1)).alias("df"), weight.alias("all")).filter("df > 1"), "cells")  # a table, so that the joins may split a hot cell
     large = (F.col("df") > block) | (F.col("all") > (shingles or 0)) if shingles else F.col("df") > block
-    rows = posted.join(per_cell.select("cell", large.alias("large")), "cell")
+    zero = F.lit(0)
+    small = posted.join(per_cell.filter(~large).select("cell"), "cell").select("cell", zero.alias("band"), zero.alias("low"), zero.alias("high"), F.lit(2).alias("side"), *names)
+    cut = per_cell.filter(large).select("cell")
+    n_cut = cut.count()
+    if not n_cut:
+        return small
+    spread = lambda df: F.broadcast(df) if n_cut <= broadcast_rows else df
     own = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")  # sizes of two bands or more apart cannot link
-    bands = F.when(F.col("large"), F.array(own, own - 1)).otherwise(F.array(F.lit(0)))
-    rows = rows.withColumn("own_band", F.when(F.col("large"), own).otherwise(0)).withColumn("band", F.explode(bands))
-    small, big = rows.filter("not large"), rows.filter("large")
-    per_band = big.groupBy("cell", "band").agg(F.count(F.lit(1)).alias("rows"), weight.alias("band_all"))
-    parts = F.ceil(F.greatest(F.col("rows") / block, F.col("band_all") / (shingles or 1))).cast("int")
-    big = big.join(per_band.filter("rows > 1").select("cell", "band", parts.alias("parts")), ["cell", "band"])
-    big = big.withColumn("mine", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1) + F.when(F.col("own_band") != F.col("band"), 4).otherwise(0)
-    names = [c for c in posted.columns if c != "cell"]
-    big = big.select("cell", "band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), side.alias("side"), *names)
-    return big.unionByName(small.select("cell", "band", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(2).alias("side"), *names))
+    first = F.first(F.struct("place", "cell")).over(Window.partitionBy("fp").orderBy("place"))
+    big = posted.join(spread(cut), "cell").withColumn("first", first)
+    # Classes of this cell that share an earlier large cell: their pairs belong there or before, not here.
+    big = big.withColumn("told", F.when(F.col("first.place") < F.col("place"), F.col("first.cell")))
+    big = stored(big.withColumn("own", own).withColumn("band", F.explode(F.array("own", F.col("own") - 1))).drop("first"), "large")
+    sized = big.groupBy("cell", "band", "told").agg(F.count(F.lit(1)).alias("rows"), weight.alias("all"))
+    sized = sized.withColumn("kind", F.when((F.col("rows") > block) | (F.col("all") > (shingles or 0)) if shingles else F.col("rows") > block, F.col("told")))
+    kinds = stored(sized.groupBy("cell", "band", "kind").agg(F.sum("rows").alias("rows"), F.sum("all").alias("all")), "kinds")
+    parts = F.ceil(F.greatest(F.col("rows") / block, F.col("all") / (shingles or 1), F.lit(1))).cast("int")
+    kinds = kinds.select("cell", "band", F.col("kind"), parts.alias("parts"))
+    each = F.transform("list", lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda i: F.struct(x["kind"].alias("kind"), i.alias("i"))))
+    blocks = kinds.groupBy("cell", "band").agg(F.sort_array(F.collect_list(F.struct("kind", "parts"))).alias("list")).select("cell", "band", "list", F.flatten(each).alias("blocks"))
+    rows = big.join(spread(blocks), ["cell", "band"])
+    # A row's kind is the large cell it was told of, if many rows were; the rest are one kind.
+    kind = F.when(F.exists("list", lambda x: x["kind"].eqNullSafe(F.col("told"))), F.col("told"))
+    rows = rows.withColumn("kind", kind)
+    n_parts = F.get(F.filter("list", lambda x: x["kind"].eqNullSafe(F.col("kind"))), F.lit(0))["parts"]
+    rows = rows.withColumn("mine", F.array_position("blocks", F.struct(F.col("kind").alias("kind"), F.pmod(F.xxhash64("fp"), n_parts).cast("int").alias("i"))).cast("int"))
+    to = F.array_compact(F.transform("blocks", lambda b, i: F.when(F.col("kind").isNull() | b["kind"].isNull() | (b["kind"] != F.col("kind")), i + 1)))
+    rows = rows.withColumn("other", F.explode(to))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1) + F.when(F.col("own") != F.col("band"), 4).otherwise(0)
+    return small.unionByName(rows.select("cell", "band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), side.alias("side"), *names))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int | None = 18, sketch: int | None = 64, block: int = 1024, block_shingles: int = 2_000_000, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
@@ -345,18 +366,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int |
     key = F.struct("k1", "k2")
     found = rows.filter("n > 0")
     classes = stored(found.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", key.alias("row_key"))).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("posted").alias("posted"), F.first("sketch").alias("sketch")), "classes")
-    posted = classes.select("fp", "n", F.posexplode("posted").alias("place", "cell"))
+    posted = classes.select("fp", "n", F.posexplode("posted").alias("place", "cell"))  # of a class, in order of hashes
     keys = ["cell", "band", "low", "high"]
-    entries = dealt(posted, percent, block, None).join(classes.select("fp", "sketch"), "fp").select(*keys, "side", "place", "n", "fp", "sketch")
+    entries = dealt(posted, percent, block, None, broadcast_rows).join(classes.select("fp", "sketch"), "fp").select(*keys, "side", "place", "n", "fp", "sketch")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 4):
             if t.num_rows > 1:
                 has = candidates(_arrays(t["sketch"], np.uint64), t["place"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy(), percent, sketch)
                 if has.any():
-                    yield from t.select(["cell", "fp", "n"]).filter(pa.array(has)).combine_chunks().to_batches()
+                    yield from t.select(["cell", "place", "fp", "n"]).filter(pa.array(has)).combine_chunks().to_batches()
 
-    kinds = "cell long, fp binary, n long"
+    kinds = "cell long, place int, fp binary, n long"
     hot = stored(entries.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(find, kinds).distinct(), "candidates")
     # Whole sets, of the classes that are left only, from one of their texts.
     left = hot.select("fp").distinct().join(classes.select("fp", F.col("least.row_key.k1").alias("l1"), F.col("least.row_key.k2").alias("l2")), "fp").select("l1", "l2").distinct()
@@ -387,7 +408,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int |
                 counts = link_counts(own, n, t["side"].to_numpy(), t["rows"].to_numpy(), cell, percent)
                 yield pa.RecordBatch.from_arrays([fp, pa.nulls(len(own), pa.binary()), pa.array(counts, pa.int64())], ["a", "b", "n"])
 
-    solved = dealt(hot, percent, block, block_shingles).join(sets, "fp").select(*keys, "side", "fp", "set", "rows").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(solve, "a binary, b binary, n long")
+    solved = dealt(hot, percent, block, block_shingles, broadcast_rows).join(sets, "fp").select(*keys, "side", "fp", "set", "rows").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(solve, "a binary, b binary, n long")
     solved = stored(solved, "solved") if count_links else solved
     edges = solved.filter("b is not null").select("a", "b")
     roots = components(edges)

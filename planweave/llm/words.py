@@ -8,7 +8,7 @@ import xxhash
 class WordHashes(dict):
     """xxh3 of a word's bytes; bounded, cleared when full."""
 
-    def __init__(self, entries: int = 500_000):
+    def __init__(self, entries: int = 100_000):
         super().__init__()
         self.entries = entries
 
