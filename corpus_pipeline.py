@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planweave.llm import langid, line_dedup, mixing, ngram_join, packing
-from planweave.llm.common import row_keys, stored
+from planweave.llm.common import n_words, row_keys, stored
 
 #: Below this share of the languages' likelihoods, a text is no language for sure.
 LEAST_SCORE = 0.35
+#: Below this share of its words, what line dedup leaves of a document is scraps of a copy.
+LEAST_LEFT = 0.25
 
 
 def _columns(docs: DataFrame) -> list:
@@ -30,11 +32,13 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated passages; a document that has lost its last word goes, one that never had a word stays. Rows alike in
-    id and text are one document; a null id comes last. n_chars, if there, follows the text."""
+    """Removes repeated passages. A document that has lost its last word goes, and so does one that keeps less than LEAST_LEFT of
+    its words and has none of its repeats from itself: a copy, of which only scraps would stay. One that never had a word
+    stays. Rows alike in id and text are one document; a null id comes last. n_chars, if there, follows the text."""
     rows = line_dedup.dedup(docs)
     word = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    rows = rows.filter((F.size("_ld_drop") == 0) | word)
+    scraps = ~F.col("_ld_own") & (n_words(F.col("text")) < LEAST_LEFT * n_words(F.col("_ld_before")))
+    rows = rows.filter((F.size("_ld_drop") == 0) | (word & ~scraps))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size("_ld_drop") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*_columns(docs))

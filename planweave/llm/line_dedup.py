@@ -81,8 +81,8 @@ def places(chunks: DataFrame, repeated: DataFrame, around: bool) -> DataFrame:
 
 
 def marks(docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
-    """m1, m2 (the row's keys) and marks, in order: each repeated chunk, whether it is a later occurrence, and for those
-    the lines around the first."""
+    """m1, m2 (the row's keys) and marks, in order: each repeated chunk, whether it is a later occurrence, for those
+    the lines around the first, and whether that is in the same document."""
     chunks = stored(cut(docs, id_col, text_col), "chunks")
     counted = chunks.select(F.explode(F.filter("spans", lambda s: s["size"] > 1)["h"]).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     repeated = stored(counted.filter("n > 1").select("g"), "repeated")
@@ -91,8 +91,9 @@ def marks(docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> D
     first = places(chunks, known, True).groupBy(F.col("h").alias("fh")).agg(F.min(place).alias("first"))
     first = stored(first.select("fh", *[F.col(f"first.{c}").alias(c) for c in ("f1", "f2", "fstart", *_SIDES)]), "first")
     held = places(chunks, known, False).join(first, F.col("h") == F.col("fh"))
-    later = (F.col("f1") != F.col("k1")) | (F.col("f2") != F.col("k2")) | (F.col("fstart") != F.col("start"))
-    row = F.struct("start", "size", "h", later.alias("later"), *[F.when(later, F.col(c)).alias(c) for c in _SIDES])
+    other = (F.col("f1") != F.col("k1")) | (F.col("f2") != F.col("k2"))
+    later = other | (F.col("fstart") != F.col("start"))
+    row = F.struct("start", "size", "h", later.alias("later"), *[F.when(later, F.col(c)).alias(c) for c in _SIDES], (later & ~other).alias("own"))
     out = stored(held.groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(F.sort_array(F.collect_set(row)).alias("marks")), "marks")
     drop_stored(chunks, repeated, first)
     return out
@@ -165,14 +166,14 @@ def _found(text: Column, min_words: int) -> Column:
 
 
 def _applied(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, min_words: int, how: str) -> DataFrame:
-    """The rows of docs (with an inner join those that have marks) with _ld_drop, _ld_clean and _ld_check."""
+    """The rows of docs (with an inner join those that have marks) with _ld_drop, _ld_clean, _ld_own and _ld_check."""
     columns, text = [F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text_col}`")
     found = found.select(*[F.col(c).alias(f"_ld_{c}") for c in ("m1", "m2", "marks")])
     rows = _keyed(docs, id_col, text_col).join(found, F.expr(_SAME), how)
     inside = rows.select(F.struct(*columns).alias("_ld_row"), text.alias("_ld_text"), F.col("_ld_marks").alias("marks"))
-    inside = inside.select("_ld_row", "_ld_text", F.when(F.col("marks").isNotNull(), _found(F.col("_ld_text"), min_words)).alias("_ld_found"))
+    inside = inside.select("_ld_row", "_ld_text", F.when(F.col("marks").isNotNull(), _found(F.col("_ld_text"), min_words)).alias("_ld_found"), F.coalesce(F.exists("marks", lambda m: m["own"]), F.lit(False)).alias("_ld_own"))
     got = F.col("_ld_found")
-    return inside.select(*[F.col(f"_ld_row.`{c}`").alias(c) for c in docs.columns], F.coalesce(got["drop"], _NOTHING()).alias("_ld_drop"), F.when(got.isNull(), F.col("_ld_text")).otherwise(got["clean"]).alias("_ld_clean"), got["check"].alias("_ld_check"))
+    return inside.select(*[F.col(f"_ld_row.`{c}`").alias(c) for c in docs.columns], F.coalesce(got["drop"], _NOTHING()).alias("_ld_drop"), F.when(got.isNull(), F.col("_ld_text")).otherwise(got["clean"]).alias("_ld_clean"), "_ld_own", got["check"].alias("_ld_check"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -184,8 +185,8 @@ _NOTHING = lambda: F.array().cast("array<struct<start:int,size:int>>")  # noqa:
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of docs with _ld_drop (array of struct<start, size>: the lines to remove) and _ld_clean
-    (the text without them). Names that begin with _ld_ are reserved."""
+    """The rows of docs with _ld_drop (array of struct<start, size>: the lines to remove), _ld_clean (the text
+    without them) and _ld_own (whether a text repeats a chunk of its own). Names that begin with _ld_ are reserved."""
     found = marks(docs, id_col, text_col, broadcast_rows)
     keys = found.select(F.col("m1").alias("_ld_m1"), F.col("m2").alias("_ld_m2"))
     few = keys.count() <= broadcast_rows / 2
@@ -210,10 +211,10 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
         drop_stored(found)
         return rows
     rest = _keyed(docs, id_col, text_col).join(F.broadcast(keys), F.expr(_SAME), "left_anti").drop("_ld_k1", "_ld_k2")
-    return rows.unionByName(rest.withColumns({"_ld_drop": _NOTHING(), "_ld_clean": F.col(f"`{text_col}`")}))
+    return rows.unionByName(rest.withColumns({"_ld_drop": _NOTHING(), "_ld_clean": F.col(f"`{text_col}`"), "_ld_own": F.lit(False)}))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
-    """The rows of docs, their texts without repeated passages, and _ld_drop."""
+    """The rows of docs, their texts without repeated passages, and _ld_drop, _ld_own, _ld_before (the text as it was)."""
     rows = mark(docs, id_col, text_col, **bounds)
-    return rows.select(*[F.col("_ld_clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "_ld_drop")
+    return rows.select(*[F.col("_ld_clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "_ld_drop", "_ld_own", F.col(f"`{text_col}`").alias("_ld_before"))

@@ -27,8 +27,8 @@ def cut(text):
     return b, [(s, e) for s, e in zip([0, *ends], ends, strict=False) if e - s > 1]
 
 
-def dedup_brute(docs, min_words=25, reach=3):
-    """doc (id, text) -> cleaned text."""
+def dedup_brute(docs, min_words=25, reach=3, own=None):
+    """doc (id, text) -> cleaned text. own: gets the documents that repeat a chunk of their own."""
     distinct = sorted(set((d[0], d[1]) for d in docs), key=lambda d: (d[0] is None, d[0] or 0))
     first, made, out = {}, {d: cut(d[1]) for d in distinct}, {}
     for d in distinct:
@@ -38,6 +38,8 @@ def dedup_brute(docs, min_words=25, reach=3):
     for d in distinct:
         b, chunks = made[d]
         later = [(s, e, *first[tuple(b[s:e])]) for s, e in chunks if first[tuple(b[s:e])] != (d, s)]
+        if own is not None and any(fd == d for *_, fd, _ in later):
+            own.add(d)
         gone = set()
         for k, (s, e, fd, fs) in enumerate(later):
             fb, fe = made[fd][0], fs + e - s
