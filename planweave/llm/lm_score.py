@@ -19,8 +19,10 @@ or more is stored (1, the default: all), so a text's score does not depend on th
 known by their range and 32 more bits; since a range holds about `range_entries` at any size, two share these
 with a probability below that of a false probe.
 
-Bounds. A worker holds a block, or a range of about `range_entries` counts; a hot word or bigram is one entry a
-block. The driver gets two numbers. A text longer than a block is a block of its own.
+Bounds. A worker holds a block, or a range of about `range_entries` counts. A hot word or bigram is one entry a block, so
+beyond `spread` blocks there is a step between: blocks are dealt into groups of about `spread`, a group of neighbouring ranges
+and of blocks merges its counts and asks as one block would, and hands the answers on. Then a hot one is an entry a group.
+The driver gets a few numbers. A text longer than a block is a block of its own.
 
 Words are runs of anything but ASCII white space, in ASCII lower case, by 64-bit hash; a text's tokens
 are its words and one end, which is also the history of its first word. Edge cases: a null or empty
@@ -218,29 +220,87 @@ def _sent(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "hashes", "counts"])
 
 
-def word_counts(blocks: DataFrame, bits: int) -> DataFrame:
+class _Hashes:
+    """How the hashes of a range are sent: words whole, bigrams without the bits that the range tells."""
+
+    def __init__(self, kind: int, bits: int):
+        self.kind, self.bits = kind, bits
+
+    def whole(self, part: int, sent: bytes) -> np.ndarray:
+        if self.kind == 1:
+            return np.frombuffer(sent, "<u8")
+        return np.frombuffer(sent, "<u4").astype(np.uint64) | (np.uint64(part) << np.uint64(32))
+
+    def parts(self, keys: np.ndarray) -> np.ndarray:
+        if self.kind == 1:
+            return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        return (keys >> np.uint64(32)).astype(np.int64)
+
+    def sent(self, keys: np.ndarray) -> bytes:
+        return keys.tobytes() if self.kind == 1 else (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def _counts(pdf: pd.DataFrame, how: _Hashes) -> np.ndarray:
+    """Of a block 32 bits each, of a group of blocks 64."""
+    wide = sum(map(len, pdf["counts"])) > sum(map(len, pdf["hashes"])) // (8 if how.kind == 1 else 4) * 4
+    return _joined(pdf["counts"], "<i8" if wide else "<u4").astype(np.int64)
+
+
+def _asked(pdf: pd.DataFrame, how: _Hashes) -> list[np.ndarray]:
+    return [how.whole(int(p), x) for p, x in zip(pdf["part"], pdf["hashes"], strict=True)]
+
+
+def by_groups(sent: DataFrame, how: _Hashes, n_blocks: int, spread: int, answer) -> DataFrame:
+    """answer(sent), of groups of blocks in their place if there are more than `spread`."""
+    if n_blocks <= spread:
+        return answer(sent)
+    n = 1 << math.ceil(math.log2(n_blocks / spread))  # groups, and ranges that a group takes together
+    group = F.floor(F.col("part") / n) * n + F.pmod(F.xxhash64("block"), n)
+    rows = sent.withColumn("group", group.cast("long"))
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, c = _merge(np.concatenate(_asked(pdf, how)), _counts(pdf, how))
+        group = int(pdf["group"].iloc[0])
+        out = [(p, group, how.sent(h[x:y]), c[x:y].tobytes()) for p, x, y in _runs(how.parts(h))]
+        return pd.DataFrame(out, columns=["part", "block", "hashes", "counts"])
+
+    def hand_on(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        asked = _asked(pdf, how)
+        keys = np.unique(np.concatenate(asked))
+        data = _joined(answers.sort_values("part")["data"], "<i8" if how.kind == 1 else "u1")
+        back = [data[np.searchsorted(keys, x)].tobytes() for x in asked]
+        return pd.DataFrame({"block": pdf["block"], "kind": how.kind, "part": pdf["part"], "data": back, "tokens": 0, "types": 0})
+
+    told = answer(rows.groupBy("group").applyInPandas(gather, _SENT))
+    handed = rows.groupBy("group").cogroup(told.filter("block >= 0").groupBy("block")).applyInPandas(hand_on, _BACK)
+    return handed.unionByName(told.filter("block < 0"))
+
+
+def word_counts(blocks: DataFrame, bits: int, n_blocks: int, spread: int) -> DataFrame:
     """block, kind 1, part, data (corpus counts of the block's words of that range), and a row for each range
     with its tokens and types."""
+    how = _Hashes(1, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, b in _rows(batch):
                 block = batch.column(0)[i].as_py()
                 c = np.bincount(b.tokens[b.trained()], minlength=len(b.words)).astype("<u4")
-                parts = (b.words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(b.words), np.int64)
-                yield _sent([(p, block, b.words[x:y].tobytes(), c[x:y].tobytes()) for p, x, y in _runs(parts)])
+                yield _sent([(p, block, how.sent(b.words[x:y]), c[x:y].tobytes()) for p, x, y in _runs(how.parts(b.words))])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, c = _merge(_joined(pdf["hashes"], "<u8"), _joined(pdf["counts"], "<u4").astype(np.int64))
+        h, c = _merge(_joined(pdf["hashes"], "<u8"), _counts(pdf, how))
         back = [c[np.searchsorted(h, np.frombuffer(x, "<u8"))].tobytes() for x in pdf["hashes"]]
         n = len(back)
         return pd.DataFrame({"block": [*pdf["block"], -1], "kind": 1, "part": int(pdf["part"].iloc[0]), "data": [*back, b""], "tokens": [0] * n + [int(c.sum())], "types": [0] * n + [int((c > 0).sum())]})
 
-    return blocks.select("block", "train", "sizes", "words", "tokens").mapInArrow(count, _SENT).groupBy("part").applyInPandas(merge, _BACK)
+    sent = blocks.select("block", "train", "sizes", "words", "tokens").mapInArrow(count, _SENT)
+    return by_groups(sent, how, n_blocks, spread, lambda x: x.groupBy("part").applyInPandas(merge, _BACK))
 
 
-def gram_levels(blocks: DataFrame, bits: int, base: float, probes: int, min_count: int) -> DataFrame:
+def gram_levels(blocks: DataFrame, bits: int, base: float, probes: int, min_count: int, n_blocks: int, spread: int) -> DataFrame:
     """block, kind 2, part, data (a level for each of the block's bigrams of that range, in order of keys)."""
+    how = _Hashes(2, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,14 +312,12 @@ def gram_levels(blocks: DataFrame, bits: int, base: float, probes: int, min_coun
                 keys = b.keys(pairs, bits)
                 order = np.argsort(keys, kind="stable")
                 keys, c = keys[order], c[order]
-                low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
-                yield _sent([(p, block, low[x:y].tobytes(), c[x:y].tobytes()) for p, x, y in _runs((keys >> np.uint64(32)).astype(np.int64))])
+                yield _sent([(p, block, how.sent(keys[x:y]), c[x:y].tobytes()) for p, x, y in _runs(how.parts(keys))])
 
     def probe(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
-        whole = lambda x: x.astype(np.uint64) | (np.uint64(part) << np.uint64(32))
-        asked = whole(_joined(pdf["hashes"], "<u4"))
-        h, c = _merge(asked, _joined(pdf["counts"], "<u4").astype(np.int64))
+        asked = how.whole(part, b"".join(pdf["hashes"]))
+        h, c = _merge(asked, _counts(pdf, how))
         kept = c >= min_count
         segment = Filter.of(h[kept], level(c[kept], base), probes, base)
         del h, c, kept
@@ -267,17 +325,18 @@ def gram_levels(blocks: DataFrame, bits: int, base: float, probes: int, min_coun
         at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in pdf["hashes"]])))
         return pd.DataFrame({"block": pdf["block"], "kind": 2, "part": part, "data": [levels[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], "tokens": 0, "types": 0})
 
-    return blocks.select("block", "train", "sizes", "words", "tokens").mapInArrow(count, _SENT).groupBy("part").applyInPandas(probe, _BACK)
+    sent = blocks.select("block", "train", "sizes", "words", "tokens").mapInArrow(count, _SENT)
+    return by_groups(sent, how, n_blocks, spread, lambda x: x.groupBy("part").applyInPandas(probe, _BACK))
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.1, mu: float = 2.0, base: float = math.sqrt(2), probes: int = 6, min_count: int = 1, block_tokens: int = 1 << 19, range_entries: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.1, mu: float = 2.0, base: float = math.sqrt(2), probes: int = 6, min_count: int = 1, block_tokens: int = 1 << 19, range_entries: int = 1 << 20, spread: int = 1 << 17) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score. train is a condition on docs' columns."""
     ship(docs.sparkSession)
     blocks = stored(blocks_of(docs, train, id_col, text_col, block_tokens), "blocks", codec="uncompressed")  # its columns are packed already
-    size = blocks.agg(F.sum(F.length("words") / 8).alias("words"), F.sum("n").alias("tokens")).first()
+    size = blocks.agg(F.sum(F.length("words") / 8).alias("words"), F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("blocks")).first()
     bits = lambda n: max(0, math.ceil(math.log2(max(1, n or 0) / range_entries)))
     gram_bits = min(31, bits(size.tokens))
-    known = stored(word_counts(blocks, min(31, bits(size.words))), "known", codec="zstd")
+    known = stored(word_counts(blocks, min(31, bits(size.words)), size.blocks, spread), "known", codec="zstd")
     totals = known.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     n_train, n_types = totals.tokens or 0, totals.types or 0
 
@@ -298,7 +357,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 out = [b.sizes, per((c > 0).astype(np.int64)[b.tokens]), np.full(len(b.sizes), n_train, np.int64), per(np.log10(p1)[b.tokens]), per(logs[at])]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("ids"))[i].values, *map(pa.array, out)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    answers = known.filter("block >= 0").unionByName(gram_levels(blocks, gram_bits, base, probes, min_count))
+    answers = known.filter("block >= 0").unionByName(gram_levels(blocks, gram_bits, base, probes, min_count, size.blocks, spread))
     pieces = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "data")).alias("pieces"))
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(x, T.DoubleType()) for x in ("base_score", "score"))])
     return blocks.drop("n").join(pieces, "block").mapInArrow(rate, out).withColumnRenamed("id", id_col)

@@ -53,13 +53,13 @@ def agrees(got, want):
     assert off <= 0.002 * -sum(w[5] for w in want)
 
 
-@pytest.mark.parametrize(("block", "entries", "least"), [(5000, 3000, 1), (5000, 3000, 3), (1 << 19, 1 << 20, 1)])
-def test_score(spark, block, entries, least):
-    """Many small blocks and ranges, and one of each; a very long text; nulls, empty and repeated rows."""
+@pytest.mark.parametrize(("block", "entries", "least", "spread"), [(5000, 3000, 1, 1 << 17), (5000, 3000, 3, 4), (1 << 19, 1 << 20, 1, 1 << 17)])
+def test_score(spark, block, entries, least, spread):
+    """Many small blocks and ranges, asked by groups or not, and one of each; a very long text; nulls, empty and repeated rows."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     rows += [(None, "The of"), (9001, None), (9002, ""), (9003, "  \n"), (rows[0]), (9004, "é x y Aİ"), (9005, "the of and " * 60_000)]
     docs = spark.createDataFrame([(i, t, None, "x", "y") for i, t in rows], SCHEMA).repartition(3)
-    got = lm_score.score(docs, F.col("doc_id") % 10 != 0, block_tokens=block, range_entries=entries, min_count=least).collect()
+    got = lm_score.score(docs, F.col("doc_id") % 10 != 0, block_tokens=block, range_entries=entries, min_count=least, spread=spread).collect()
     agrees(got, brute([(i, t, i is not None and i % 10 != 0) for i, t in rows], least))
 
 
