@@ -52,7 +52,8 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     that the loss of an executor costs no more than the tasks that read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/planweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    # No marker of success: nothing reads a table before the write has returned.
+    df.write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._planweave_path = path
     _STORED.setdefault(spark.sparkContext.applicationId, set()).add(path)

@@ -195,17 +195,17 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
     rows = stored(_applied(hit, found, id_col, text_col, min_words, how), "marked", codec="zstd")
     # Byte comparison: what shares a key is the same text if the key has one distinct text.
     texts = rows.select(F.explode("_ld_check").alias("c")).select("c.*").distinct()
-    bad = stored(texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("b")), "unequal")
+    bad = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("b"))
     if bad.limit(1).count():
+        bad = stored(bad, "unequal")
         flat = found.select("m1", "m2", F.explode("marks").alias("m"))
         keys_of = F.array(F.col("m.h"), *[_key(F.col("m.h"), c) for c in _SIDES])
         off = flat.select("m1", "m2", F.col("m.start").alias("start"), F.explode(keys_of).alias("k")).join(bad, F.col("k") == F.col("b"), "left_semi").select("m1", "m2", "start").distinct()
         flat = flat.withColumn("start", F.col("m.start")).join(off, ["m1", "m2", "start"], "left_anti")
         good = stored(flat.groupBy("m1", "m2").agg(F.sort_array(F.collect_set("m")).alias("marks")), "marks")
         again = stored(_applied(hit, good, id_col, text_col, min_words, "left"), "marked")
-        drop_stored(rows, good)
+        drop_stored(rows, good, bad)
         rows = again
-    drop_stored(bad)
     rows = rows.drop("_ld_check")
     if not few:
         drop_stored(found)
