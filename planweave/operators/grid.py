@@ -219,7 +219,7 @@ def first_of_code(records: DataFrame, keys: tuple[str, ...] = ("page_number", "t
     """The first record of each code of a document, without regard to case and space; records without code all stay."""
     code = F.lower(strip(F.col("code")))
     nth = F.row_number().over(Window.partitionBy("document_id", code).orderBy(*keys))
-    return records.filter(code == "").unionByName(records.filter(code != "").withColumn("nth", nth).filter("nth = 1").drop("nth"))
+    return records.withColumn("_nth", nth).filter((code == "") | (F.col("_nth") == 1)).drop("_nth")
 
 
 def only_new(records: DataFrame, known: DataFrame) -> DataFrame:
@@ -315,10 +315,12 @@ def extract(records: DataFrame, pages: DataFrame) -> DataFrame:
     typed = pages.select("document_id", "page_number", "page_type")
     rows = records.join(typed, ["document_id", "page_number"], "left")
     own = F.max((F.col("page_type") == "SCHEDULE").cast("int")).over(Window.partitionBy("document_id"))
-    rows = rows.withColumn("own", F.coalesce(own, F.lit(0)))
-    scheduled = rows.filter("page_type = 'SCHEDULE' or own = 0").select(*records.columns)
-    plans = rows.filter("own = 1 and page_type = 'LIGHTING_PLAN'").select(*records.columns)
-    return first_of_code(scheduled.unionByName(only_new(plans, scheduled)))
+    rows = rows.withColumn("_own", F.coalesce(own, F.lit(0)))
+    # Schedules first, plans second; of a code only the first kind that has it counts.
+    kind = F.when((F.col("page_type") == "SCHEDULE") | (F.col("_own") == 0), 0).when(F.col("page_type") == "LIGHTING_PLAN", 1)
+    rows = rows.withColumn("_kind", kind).filter("_kind is not null")
+    least = F.min("_kind").over(Window.partitionBy("document_id", F.lower(strip(F.col("code")))))
+    return first_of_code(rows.withColumn("_least", least).filter("_kind = _least").select(*records.columns))
 
 
 def kept_grids(rows: DataFrame) -> DataFrame:
