@@ -149,6 +149,7 @@ def render_info(documents: DataFrame) -> DataFrame:
 def artifacts(files: DataFrame) -> DataFrame:
     """files(document_id, path) of a pipeline's output folder -> per document: images, whether there is a text, a table index, a
     schedule, and by which engine it was made."""
+    # The paths of an output folder and the names of the two engines.
     has = lambda name: F.bool_or(F.col("path") == name)
     return files.groupBy("document_id").agg(
         F.count_if(F.col("path").like("images/%.png")).alias("images"), has("text/full_text.txt").alias("has_text"), has("tables_all.json").alias("has_tables"),
