@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,39 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: What a worker remembers from task to task, by the work it is for, as a way to forget it.
+_REMEMBERED: dict[str, Callable[[], object]] = {}
+_AT_WORK: str | None = None
+
+
+def remembered(work: str, forget: Callable[[], object]) -> None:
+    """Register what a module remembers. A function inside a function is sent to the workers with copies of the globals it
+    names, so what is to outlast a task must be reached through a function of a module."""
+    _REMEMBERED[work] = forget
+
+
+def at_work(work: str) -> None:
+    """A worker says so when it begins a task: what it remembers for other work is forgotten, so that a worker that
+    goes through many stages holds the tables of one."""
+    global _AT_WORK
+    if work != _AT_WORK:
+        _AT_WORK = work
+        for other, forget in _REMEMBERED.items():
+            if other != work:
+                forget()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which a worker that waits or goes on to other work would keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back: cuts the lineage, so
     that the loss of an executor costs no more than the tasks that read it."""

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planweave.llm.common import ship
+from planweave.llm.common import at_work, give_back, remembered, ship
 
 UNDETERMINED = "und"
 #: Distinct letters that have a symbol of their own; all others share one.
@@ -198,9 +198,11 @@ def sample(docs: DataFrame, docs_per_language: int = 64, symbols: int = 1 << 16,
 
 
 _MODELS: dict[str, Model] = {}
+remembered("languages", _MODELS.clear)
 
 
 def _model(key: str) -> Model:
+    at_work("languages")
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = Model(**json.loads(key))
@@ -215,6 +217,7 @@ def identifier(docs: DataFrame, samples: dict[str, list[str]], segment: int = 81
     @F.pandas_udf("lang string, score double, bits double")
     def run(texts: pd.Series) -> pd.DataFrame:
         lang, score, bits = _model(sent.value).predict(texts.tolist())
+        give_back()
         return pd.DataFrame({"lang": lang, "score": score, "bits": bits})
 
     return run

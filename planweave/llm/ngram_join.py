@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planweave.llm.common import row_keys, ship, stored
+from planweave.llm.common import at_work, row_keys, ship, stored
 from planweave.llm.components import components
 from planweave.llm.words import HASHES
 
@@ -300,6 +300,7 @@ def classes_of(docs: DataFrame, k: int, percent: int, route: int | None, sketch:
     """One row per document: id, k1, k2, n, fp (fingerprint of the set), posted (hashes), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("shingles")
         for b in batches:
             n, fp, posted, sk = [], [], [], []
             for x in b.column(3).cast(pa.binary()):
@@ -371,6 +372,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int |
     entries = dealt(posted, percent, block, None, broadcast_rows).join(classes.select("fp", "sketch"), "fp").select(*keys, "side", "place", "n", "fp", "sketch")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("shingles")
         for t in _groups(batches, 4):
             if t.num_rows > 1:
                 has = candidates(_arrays(t["sketch"], np.uint64), t["place"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy(), percent, sketch)
@@ -386,6 +388,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int |
     chosen = docs.select(*row_keys(id_col, text_col), F.col(f"`{text_col}`").alias("text")).join(left, (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")), "left_semi")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("shingles")
         for b in batches:
             sets = [shingles(x.as_py(), k).tobytes() for x in b.column(0).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["fp", "set"])
@@ -393,6 +396,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, route: int |
     sets = chosen.select("text").mapInArrow(whole, "fp binary, set binary").groupBy("fp").agg(F.first("set").alias("set")).join(classes.select("fp", "rows"), "fp")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("shingles")
         for t in _groups(batches, 4):
             own = _arrays(t["set"], np.uint64)
             if len(own) < 2:

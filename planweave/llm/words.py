@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import xxhash
 
+from planweave.llm.common import remembered
+
 
 class WordHashes(dict):
     """xxh3 of a word's bytes; bounded, cleared when full."""
@@ -20,3 +22,4 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+remembered("shingles", HASHES.clear)

@@ -2,13 +2,16 @@
 
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from planweave.llm import langid
+from planweave.llm import langid, packing
 from tests_llm_brute import dedup_brute, fill, groups_brute, words
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +109,20 @@ def test_extra_columns(spark, docs):
     clash = docs.withColumns({c: F.lit("clash") for c in ("n", "fp", "target", "rate", "h", "id", "row_key", "size", "score", "block")})
     for name, stage in cp.STAGES[:-1]:
         assert stage(spark, clash, SF).columns == clash.columns, name
+
+
+def test_workers_remember_one_stage(docs, monkeypatch):
+    """All tasks of a worker share one table of word ids; what it remembers of another stage is forgotten."""
+    sent, built = [], []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: sent.append(cloudpickle.dumps(f)) or self)
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    init = packing.WordIds.__init__
+    monkeypatch.setattr(packing.WordIds, "__init__", lambda self, *a: built.append(a) or init(self, *a))
+    packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"), 2, "doc_id", "text")
+    langid._model('{"samples": {"en": ["the thing"], "xx": ["jeg er"]}}')
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["some words", None]})
+    tasks = [[b.to_pydict() for b in cloudpickle.loads(sent[0])([batch])] for _ in range(3)]
+    assert len(built) == 1 and tasks[0] == tasks[1] == tasks[2] and tasks[0][0]["n"][1] == 1
+    assert packing._WORDS and not langid._MODELS
+    langid._model('{"samples": {}}')
+    assert langid._MODELS and not packing._WORDS
