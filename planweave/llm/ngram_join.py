@@ -26,7 +26,7 @@ common shingle only, and a cell emits one number per member, weighted by class s
 
 Cells of more than `block` classes, or in step 3 of more than `block_shingles` shingles in all, are cut twice: by size
 (classes whose sizes are in a ratio below the threshold cannot link; a class goes to the band of its size and to the one
-below, and a pair belongs to the lower of its members' bands), and into pairs of blocks, each a group of its own. Classes that share
+below, and a pair belongs to the lower of its members' bands, so rows from the band above do not meet each other), and into pairs of blocks, each a group of its own. Classes that share
 an earlier large cell are blocks of a kind, and blocks of the same kind do not meet, as their pairs belong to that cell or one
 before. So a group of near copies, which share nearly all of their cells, is solved in about one of them, and a worker holds two
 blocks.
@@ -338,23 +338,23 @@ def dealt(posted: DataFrame, percent: int, block: int, shingles: int | None, bro
     big = posted.join(spread(cut), "cell").withColumn("first", first)
     # Classes of this cell that share an earlier large cell: their pairs belong there or before, not here.
     big = big.withColumn("told", F.when(F.col("first.place") < F.col("place"), F.col("first.cell")))
-    big = stored(big.withColumn("own", own).withColumn("band", F.explode(F.array("own", F.col("own") - 1))).drop("first"), "large")
-    sized = big.groupBy("cell", "band", "told").agg(F.count(F.lit(1)).alias("rows"), weight.alias("all"))
+    big = stored(big.withColumn("own", own).withColumn("band", F.explode(F.array("own", F.col("own") - 1))).drop("first").withColumn("above", F.col("own") != F.col("band")), "large")
+    sized = big.groupBy("cell", "band", "above", "told").agg(F.count(F.lit(1)).alias("rows"), weight.alias("all"))
     sized = sized.withColumn("kind", F.when((F.col("rows") > block) | (F.col("all") > (shingles or 0)) if shingles else F.col("rows") > block, F.col("told")))
-    kinds = stored(sized.groupBy("cell", "band", "kind").agg(F.sum("rows").alias("rows"), F.sum("all").alias("all")), "kinds")
+    kinds = stored(sized.groupBy("cell", "band", "above", "kind").agg(F.sum("rows").alias("rows"), F.sum("all").alias("all")), "kinds")
     parts = F.ceil(F.greatest(F.col("rows") / block, F.col("all") / (shingles or 1), F.lit(1))).cast("int")
-    kinds = kinds.select("cell", "band", F.col("kind"), parts.alias("parts"))
-    each = F.transform("list", lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda i: F.struct(x["kind"].alias("kind"), i.alias("i"))))
-    blocks = kinds.groupBy("cell", "band").agg(F.sort_array(F.collect_list(F.struct("kind", "parts"))).alias("list")).select("cell", "band", "list", F.flatten(each).alias("blocks"))
+    kinds = kinds.select("cell", "band", "above", "kind", parts.alias("parts"))
+    each = F.transform("list", lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda i: F.struct(x["above"].alias("above"), x["kind"].alias("kind"), i.alias("i"))))
+    blocks = kinds.groupBy("cell", "band").agg(F.sort_array(F.collect_list(F.struct("above", "kind", "parts"))).alias("list")).select("cell", "band", "list", F.flatten(each).alias("blocks"))
     rows = big.join(spread(blocks), ["cell", "band"])
-    # A row's kind is the large cell it was told of, if many rows were; the rest are one kind.
-    kind = F.when(F.exists("list", lambda x: x["kind"].eqNullSafe(F.col("told"))), F.col("told"))
+    # A row's kind is the large cell it was told of, if many rows were; the rest are one kind. Rows from the band above are apart.
+    kind = F.when(F.exists("list", lambda x: (x["above"] == F.col("above")) & x["kind"].eqNullSafe(F.col("told"))), F.col("told"))
     rows = rows.withColumn("kind", kind)
-    n_parts = F.get(F.filter("list", lambda x: x["kind"].eqNullSafe(F.col("kind"))), F.lit(0))["parts"]
-    rows = rows.withColumn("mine", F.array_position("blocks", F.struct(F.col("kind").alias("kind"), F.pmod(F.xxhash64("fp"), n_parts).cast("int").alias("i"))).cast("int"))
-    to = F.array_compact(F.transform("blocks", lambda b, i: F.when(F.col("kind").isNull() | b["kind"].isNull() | (b["kind"] != F.col("kind")), i + 1)))
+    n_parts = F.get(F.filter("list", lambda x: (x["above"] == F.col("above")) & x["kind"].eqNullSafe(F.col("kind"))), F.lit(0))["parts"]
+    rows = rows.withColumn("mine", F.array_position("blocks", F.struct(F.col("above").alias("above"), F.col("kind").alias("kind"), F.pmod(F.xxhash64("fp"), n_parts).cast("int").alias("i"))).cast("int"))
+    to = F.array_compact(F.transform("blocks", lambda b, i: F.when(~(b["above"] & F.col("above")) & (F.col("kind").isNull() | b["kind"].isNull() | (b["kind"] != F.col("kind"))), i + 1)))
     rows = rows.withColumn("other", F.explode(to))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1) + F.when(F.col("own") != F.col("band"), 4).otherwise(0)
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1) + F.when(F.col("above"), 4).otherwise(0)
     return small.unionByName(rows.select("cell", "band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), side.alias("side"), *names))
 
 

@@ -2,7 +2,7 @@
 
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -121,6 +121,21 @@ def test_ngram_join_counts_links(spark, docs, block):
     assert Counter(map(tuple, got)) == want and max(n for _, _, n in want) > 20
 
 
+def test_rows_from_the_band_above_do_not_meet(spark):
+    """A cell of one size goes to the groups of its own band only, and every pair of a cell of two sizes meets once."""
+    for sizes, bands in (([100], 1), ([100, 120], 2)):
+        rows = [(f"{k}".encode(), sizes[k % len(sizes)], 0, 7) for k in range(24)]
+        posted = spark.createDataFrame(rows, "fp binary, n long, place int, cell long")
+        got = ngram_join.dealt(posted, 80, 4, None, 1000).collect()
+        assert len({r.band for r in got}) == bands
+        groups = defaultdict(list)
+        for r in got:
+            groups[r.band, r.low, r.high].append(r)
+        met = Counter(frozenset((bytes(a.fp), bytes(b.fp))) for g in groups.values() for i, a in enumerate(g) for b in g[:i] if ngram_join._fits(a.side, b.side))
+        assert len(met) == 24 * 23 // 2 and set(met.values()) == {1}
+        assert not any(all(r.side & 4 for r in g) for g in groups.values())
+
+
 def test_ngram_join_empty(spark, docs):
     assert ngram_join.near_duplicates(frame(spark, docs).limit(0)).count() == 0
 
