@@ -84,13 +84,15 @@ def give_back() -> None:
         pass
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy", unlike: tuple[str, ...] = ()) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back: cuts the lineage, so
-    that the loss of an executor costs no more than the tasks that read it."""
+    that the loss of an executor costs no more than the tasks that read it. For the columns in `unlike` (paths in
+    the file), whose values hardly repeat, no dictionary is tried."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/planweave/{name}-{uuid.uuid4().hex}"
     # No marker of success: nothing reads a table before the write has returned.
-    df.write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in unlike}
+    df.write.options(**plain).option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._planweave_path = path
     _STORED.setdefault(spark.sparkContext.applicationId, set()).add(path)

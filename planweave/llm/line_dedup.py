@@ -36,9 +36,20 @@ REACH = 3
 _SIDES = [f"{side}{j}" for side in "lr" for j in range(1, REACH + 1)]
 
 
+#: A line: what can not end one is passed over at once, and only from there each place is tried.
+_LINE = r"(?s)(?!\z)[^.!?,;:\n]*(?:[.!?,;:] |\n|\z|.+?(?:(?<=[.!?,;:] )|(?<=\n)|\z))"
+#: The same without spaces at its ends, in group 1, for a text that does not end with a space.
+_BARE_LINE = r"(?s)(?!\z) *+([^.!?,;:\n]*(?:[.!?,;:](?= )|\n|\z|.+?(?:(?<=[.!?,;:])(?= )|(?<=\n)|\z)))"
+
+
 def lines(text: Column) -> Column:
     """The lines of a text; joined without anything between, they are the text."""
-    return F.array_remove(F.split(text, r"(?<=[ \n])(?<=[.!?,;:] |\n)"), "")
+    return F.regexp_extract_all(text, F.lit(_LINE), F.lit(0))
+
+
+def bare_lines(text: Column) -> Column:
+    """The same, each without spaces at its ends."""
+    return F.when(text.endswith(" "), F.transform(lines(text), _bare)).otherwise(F.regexp_extract_all(text, F.lit(_BARE_LINE), F.lit(1)))
 
 
 def _bare(line: Column) -> Column:
@@ -56,35 +67,35 @@ def _bind(made: Column, body) -> Column:
 
 
 def cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k1, k2, id, x (a hash of each line) and spans (h, start, size of each chunk): a row for each document."""
+    """k1, k2, id, x (a hash of each line) and spans (h, start, size of each chunk of two lines or more): a row for each document."""
 
     def spans(m: Column) -> Column:
         low = F.array_compact(F.transform(m, lambda h, i: F.when(h < F.get(m, i + 1), i + 1)))
-        h = lambda start, end: F.xxhash64(F.slice(m, start + 1, end - start))
-        row = lambda start, end: F.struct(h(start, end).alias("h"), start.alias("start"), (end - start).alias("size"))
-        return _bind(F.when(F.size(m) > 0, F.concat(low, F.array(F.size(m)))), lambda ends: F.transform(ends, lambda e, j: _bind(F.coalesce(F.get(ends, j - 1), F.lit(0)), lambda start: row(start, e))))
+        h = lambda start, size: F.xxhash64(F.slice(m, start + 1, size))
+        row = lambda start, size: F.when(size > 1, F.struct(h(start, size).alias("h"), start.alias("start"), size.alias("size")))
+        return F.array_compact(_bind(low, lambda ends: F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(ends, F.array(F.size(m))), lambda start, end: row(start, end - start))))
 
     def hashed(b: Column) -> Column:
         return F.struct(F.transform(b, lambda x: F.hash(x)).alias("x"), _bind(F.transform(b, lambda x: F.md5(x.cast("binary"))), spans).alias("spans"))
 
     text = F.col(f"`{text_col}`")
-    df = docs.select(*row_keys(id_col, text_col), F.col(f"`{id_col}`").alias("id"), _bind(F.transform(lines(text), _bare), hashed).alias("c"))
+    df = docs.select(*row_keys(id_col, text_col), F.col(f"`{id_col}`").alias("id"), _bind(bare_lines(text), hashed).alias("c"))
     return df.select("k1", "k2", "id", "c.x", "c.spans")
 
 
 def places(chunks: DataFrame, repeated: DataFrame, around: bool) -> DataFrame:
     """k1, k2, id, h, start, size of every repeated chunk, and if asked for l1... and r1..., the hashes of the lines before and after it."""
     near = lambda s: [F.get("x", s["start"] - j).alias(f"l{j}") for j in range(1, REACH + 1)] + [F.get("x", s["start"] + s["size"] + j - 1).alias(f"r{j}") for j in range(1, REACH + 1)]
-    row = lambda s: F.struct(s["h"].alias("h"), s["start"].alias("start"), s["size"].alias("size"), *(near(s) if around else []))
-    rows = chunks.select("k1", "k2", "id", F.explode(F.transform("spans", row)).alias("s")).select("k1", "k2", "id", "s.*")
-    return rows.filter("size > 1").join(repeated, F.col("h") == F.col("g"), "left_semi")
+    row = lambda s: F.struct(s["h"].alias("h"), s["start"].alias("start"), s["size"].alias("size"), *near(s))
+    rows = chunks.select("k1", "k2", "id", F.explode(F.transform("spans", row) if around else F.col("spans")).alias("s")).select("k1", "k2", "id", "s.*")
+    return rows.join(repeated, F.col("h") == F.col("g"), "left_semi")
 
 
 def marks(docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
     """m1, m2 (the row's keys) and marks, in order: each repeated chunk, whether it is a later occurrence, for those
     the lines around the first, and whether that is in the same document."""
-    chunks = stored(cut(docs, id_col, text_col), "chunks")
-    counted = chunks.select(F.explode(F.filter("spans", lambda s: s["size"] > 1)["h"]).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    chunks = stored(cut(docs, id_col, text_col), "chunks", unlike=("k1", "k2", "x.list.element", "spans.list.element.h"))
+    counted = chunks.select(F.explode("spans.h").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     repeated = stored(counted.filter("n > 1").select("g"), "repeated")
     known = F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated
     place = F.struct(F.col("id").isNull().alias("none"), "id", F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("start").alias("fstart"), *_SIDES)
@@ -192,7 +203,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
     few = keys.count() <= broadcast_rows / 2
     hit = _keyed(docs, id_col, text_col).join(F.broadcast(keys), F.expr(_SAME), "left_semi").drop("_ld_k1", "_ld_k2") if few else docs
     how = "inner" if few else "left"
-    rows = stored(_applied(hit, found, id_col, text_col, min_words, how), "marked", codec="zstd")
+    rows = stored(_applied(hit, found, id_col, text_col, min_words, how), "marked", codec="zstd", unlike=(text_col, "_ld_clean", "_ld_check.list.element.key", "_ld_check.list.element.t"))
     # Byte comparison: what shares a key is the same text if the key has one distinct text.
     texts = rows.select(F.explode("_ld_check").alias("c")).select("c.*").distinct()
     bad = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("b"))

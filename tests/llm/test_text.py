@@ -3,15 +3,17 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from planweave.llm import line_dedup, mixing, ngram_join, quality, queries
-from planweave.llm.common import row_keys
-from tests_llm_brute import dedup_brute, fill, groups_brute, shingle_set, words
+from planweave.llm.common import row_keys, stored
+from tests_llm_brute import cut, dedup_brute, fill, groups_brute, lines, shingle_set, words
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,6 +62,31 @@ def test_line_dedup_joins(spark, docs, bound):
     assert Counter(map(tuple, got)) == Counter((d[0], want[d[0], d[1]]) for d in rows)
 
 
+def test_line_dedup_cut(spark):
+    """Lines are found as by the rule in any text, at any length without recursion; chunks of a single line, which are half
+    of all, are neither hashed nor kept."""
+    rng = random.Random(11)
+    texts = [None, "", " ", ". ", "a.  ", "1," * 300_000, "a b " * 200_000, ". " * 50_000, *("".join(rng.choices("ab .!,;:\n\x01\r\té😀  ", k=rng.randrange(16))) for _ in range(20_000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = df.select("doc_id", line_dedup.lines(F.col("text")).alias("whole"), line_dedup.bare_lines(F.col("text")).alias("bare")).collect()
+    made = {r.id: r.spans for r in line_dedup.cut(df, "doc_id", "text").collect()}
+    for r in got:
+        t = texts[r.doc_id]
+        b, chunks = cut(t)
+        assert (r.whole, r.bare) == ((None, None) if t is None else (lines(t), b))
+        assert [(s.start, s.start + s.size) for s in made[r.doc_id] or []] == chunks
+
+
+def test_stored_without_dictionary(spark):
+    """Columns named as unlike get no dictionary, and the others keep theirs."""
+    df = spark.range(100).selectExpr("id", "array(named_struct('h', id, 'n', 1)) as s")
+    got = stored(df.coalesce(1), "plain", unlike=("id", "s.list.element.h"))
+    (file,) = Path(got._planweave_path.removeprefix("file:")).glob("*.parquet")
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    tried = {c.path_in_schema: c.has_dictionary_page for c in (group.column(i) for i in range(group.num_columns))}
+    assert tried == {"id": False, "s.list.element.h": False, "s.list.element.n": True} and got.count() == 100
+
+
 def test_line_dedup_finds_passages(spark):
     """Passages of 51 to 150 words put anywhere into two texts lose most of the second copy; clean texts stay."""
     rng = random.Random(4)
